@@ -109,29 +109,29 @@ def nested_fold_plan(df: DataFrame, endpoints, seeds=(42,), n_outer: int = 5, n_
     from riskfold.functions.exprs import unpivot
 
     lab = unpivot(df, [key], list(endpoints), "endpoint", "y", cast="string").filter(F.col("y").isNotNull())
-    grid = F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.lit(int(o)).alias("outer"))
+    grid = F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.lit(int(o)).alias("outer_fold"))
                      for s in seeds for o in range(n_outer)])
-    x = lab.withColumn("_g", F.explode(grid)).select("*", "_g.seed", "_g.outer").drop("_g")
-    outer = ranked(x, ["endpoint", "seed", "outer", "y"],
+    x = lab.withColumn("_g", F.explode(grid)).select("*", "_g.seed", "_g.outer_fold").drop("_g")
+    outer = ranked(x, ["endpoint", "seed", "outer_fold", "y"],
                    F.md5(F.concat_ws("|", col(key).cast("string"), F.col("seed").cast("string"),
-                                     F.col("outer").cast("string"))), "orn")
+                                     F.col("outer_fold").cast("string"))), "orn")
     cnt = lab.groupBy("endpoint", "y").agg(F.count(F.lit(1)).alias("_n"))
     o = (outer.join(cnt, ["endpoint", "y"])
          .withColumn("role", F.when(F.col("orn") <= F.round(F.lit(test_fraction) * F.col("_n")), "test")
                      .otherwise("train"))
          .drop("_n", "orn"))
     tr = o.filter(F.col("role") == "train")
-    inner = ranked(tr, ["endpoint", "seed", "outer", "y"],
+    inner = ranked(tr, ["endpoint", "seed", "outer_fold", "y"],
                    F.md5(F.concat_ws("|", col(key).cast("string"), F.col("seed").cast("string"),
-                                     F.col("outer").cast("string"), F.lit("inner"))), "irn")
-    tr = inner.select(key, "endpoint", "seed", "outer", "y", "role",
-                      ((F.col("irn") - 1) % n_inner).cast("int").alias("inner"))
-    te = o.filter(F.col("role") == "test").select(key, "endpoint", "seed", "outer", "y", "role",
-                                                   F.lit(None).cast("int").alias("inner"))
+                                     F.col("outer_fold").cast("string"), F.lit("inner"))), "irn")
+    tr = inner.select(key, "endpoint", "seed", "outer_fold", "y", "role",
+                      ((F.col("irn") - 1) % n_inner).cast("int").alias("inner_fold"))
+    te = o.filter(F.col("role") == "test").select(key, "endpoint", "seed", "outer_fold", "y", "role",
+                                                   F.lit(None).cast("int").alias("inner_fold"))
     return tr.unionByName(te)
 
 
-def split_sizes(plan: DataFrame, by=("endpoint", "seed", "outer")) -> DataFrame:
+def split_sizes(plan: DataFrame, by=("endpoint", "seed", "outer_fold")) -> DataFrame:
     """Rows and share per role."""
     by = list(by)
     g = plan.groupBy(*by, "role").agg(F.count(F.lit(1)).alias("n"))
