@@ -11,6 +11,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,6 +263,8 @@ def prepare(df: DataFrame, catalog, cfg: PrepConfig | None = None, key: str = "r
 
     cfg = cfg or PrepConfig()
     df, cat, feats, ends = C.select_columns(df, catalog, cfg.feature_set, cfg.drop_declared, external, key)
+    # Fitting makes several aggregate passes over the same rows.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     dropped: dict = {}
     if cfg.drop_missing_value > 0:
         df = FL.drop_sparse_rows(df, cfg.drop_missing_value, key)

@@ -148,8 +148,9 @@ def estimator(spec: ModelSpec, n_rows: int, features="features", label="y", weig
 def mlp_estimator(spec: ModelSpec, n_features: int, features="features", label="y", seed: int = 42):
     p = spec.p
     layers = [n_features, *list(p["hidden"]), 2]
+    # l-bfgs: each iteration is one distributed pass; far fewer passes than plain gradient steps.
     return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=layers, seed=seed,
-                                          stepSize=float(p["learning_rate_init"]), maxIter=500, solver="gd")
+                                          stepSize=float(p["learning_rate_init"]), maxIter=100, solver="l-bfgs")
 
 
 @dataclass

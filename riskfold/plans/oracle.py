@@ -65,5 +65,10 @@ def rounded(sql: str, cols, digits: int = 6) -> str:
     cols = list(cols)
     if not cols:
         return sql
-    rep = ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in cols)
+    def r(c):
+        x = f'CAST("{c}" AS DOUBLE)'
+        return (f"CASE WHEN {x} IS NULL OR isnan({x}) THEN {x} WHEN abs({x}) < 1e-9 THEN 0.0 "
+                f"ELSE round({x} / pow(10.0, floor(log10(abs({x}))) - 3), {digits}) "
+                f"* pow(10.0, floor(log10(abs({x}))) - 3) END")
+    rep = ", ".join(f'{r(c)} AS "{c}"' for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"

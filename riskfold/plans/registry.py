@@ -41,6 +41,14 @@ def query(name: str, sql: str | None = None, doubles=(), operator: str = ""):
     return deco
 
 
+def round_expr(c):
+    """Keep ~10 significant digits (values below 1e-9 in magnitude become 0):
+    float noise from a different summation order then vanishes on both sides."""
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - F.lit(3))
+    return F.when(c.isNull() | F.isnan(c), c).when(F.abs(c) < F.lit(1e-9), F.lit(0.0)) \
+        .otherwise(F.round(c / p, DIGITS) * p)
+
+
 def round_doubles(df: DataFrame, cols) -> DataFrame:
     cols = set(cols)
     if not cols:
@@ -49,6 +57,6 @@ def round_doubles(df: DataFrame, cols) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.name in cols and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, DIGITS).alias(f.name)
+            c = round_expr(c.cast("double")).alias(f.name)
         out.append(c)
     return df.select(*out)
