@@ -105,7 +105,16 @@ def _average_precision(scored: DataFrame) -> float:
 def _task(spark: SparkSession, data: DataFrame, plan: DataFrame, features, key, cfg: EvalConfig, root: str):
     endpoint, seed, outer, family = key
     rows = plan.filter((F.col("endpoint") == endpoint) & (F.col("seed") == seed) & (F.col("outer_fold") == outer))
-    rows = rows.select("row_id", F.col("y").cast("int").alias("y"), "role", "inner_fold").join(data, "row_id")
+    rows = (rows.select("row_id", F.col("y").cast("int").alias("y"), "role", "inner_fold").join(data, "row_id")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        return _task_body(rows, features, key, cfg, root)
+    finally:
+        rows.unpersist()
+
+
+def _task_body(rows, features, key, cfg: EvalConfig, root: str):
+    endpoint, seed, outer, family = key
     train = rows.filter(F.col("role") == "train")
     test = rows.filter(F.col("role") == "test")
     d = len(features)

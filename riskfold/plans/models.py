@@ -18,6 +18,7 @@ import json
 import random
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -190,11 +191,15 @@ def fit(spec: ModelSpec, train: DataFrame, n_features: int, features="features",
     """Fit one candidate; the label is cast to double for Spark ML."""
     if spec.family == "dummy":
         return Fitted(spec, None)
-    n = n_rows if n_rows is not None else train.count()
-    est = mlp_estimator(spec, n_features, features, label, seed) if spec.family == "mlp" else \
-        estimator(spec, n, features, label, weight, seed)
-    data = train.withColumn(label, col(label).cast("double"))
-    return Fitted(spec, est.fit(data))
+    # Iterative solvers make one pass per iteration: materialise the rows once.
+    data = train.withColumn(label, col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = n_rows if n_rows is not None else data.count()
+        est = mlp_estimator(spec, n_features, features, label, seed) if spec.family == "mlp" else \
+            estimator(spec, n, features, label, weight, seed)
+        return Fitted(spec, est.fit(data))
+    finally:
+        data.unpersist()
 
 
 def assemble(df: DataFrame, features, out="features") -> DataFrame:

@@ -266,3 +266,8 @@ FROM w GROUP BY {K2S}, metric, q1, median, q3, iqr""",
        ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"], "A8")
 def q_metric_boxplot(spark, sf):
     return RP.metric_boxplot(_fold_metrics(spark, sf), K2)
+
+
+@query("metrics_json_map", None, [], "S9 metric → {model: fold values} map (JSON on write)")
+def q_metrics_json_map(spark, sf):
+    return RP.metrics_map(_fold_metrics(spark, sf))

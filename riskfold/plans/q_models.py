@@ -40,8 +40,14 @@ def _prepared(spark, sf):
 def _split(spark, sf):
     df, feats = _prepared(spark, sf)
     roles = train_test_split(df, "returned", 0.2, 42).select("row_id", "role")
-    d = df.join(roles, "row_id").withColumn("y", F.col("returned"))
-    return d.filter(F.col("role") == "train"), d.filter(F.col("role") == "test"), feats
+    key = ("split", sf)
+    with _LOCK:
+        if key not in _CACHE:
+            d = df.join(roles, "row_id").withColumn("y", F.col("returned"))
+            _CACHE[key] = (d.filter(F.col("role") == "train").persist(StorageLevel.MEMORY_AND_DISK),
+                           d.filter(F.col("role") == "test").persist(StorageLevel.MEMORY_AND_DISK))
+        train, test = _CACHE[key]
+    return train, test, feats
 
 
 def _fit_score(spark, sf, spec, weight=False):
@@ -126,17 +132,25 @@ def q_platt(spark, sf):
 
 @query("random_search", None, [], "M8 random search on inner folds (average precision)")
 def q_random_search(spark, sf):
+    from concurrent.futures import ThreadPoolExecutor
     train, _test, feats = _split(spark, sf)
     folds = stratified_kfold(train, "y", 3, 42).select("row_id", "fold")
-    tr = train.join(folds, "row_id")
-    rows = []
-    for spec in MO.random_candidates("logistic", 4, 42):
-        aps = []
-        for f in range(3):
-            fitted = MO.fit(spec, MO.assemble(tr.filter(F.col("fold") != f), feats), len(feats))
-            sc = fitted.score(MO.assemble(tr.filter(F.col("fold") == f), feats))
-            aps.append(CV.pr_summary(sc, []).first()["avg_precision"])
-        rows.append((spec.describe(), float(sum(aps) / len(aps))))
+    tr = train.join(folds, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(job):
+        spec, f = job
+        fitted = MO.fit(spec, MO.assemble(tr.filter(F.col("fold") != f), feats), len(feats))
+        sc = fitted.score(MO.assemble(tr.filter(F.col("fold") == f), feats))
+        return spec.describe(), float(CV.pr_summary(sc, []).first()["avg_precision"] or 0.0)
+
+    jobs = [(spec, f) for spec in MO.random_candidates("logistic", 4, 42) for f in range(3)]
+    with ThreadPoolExecutor(max_workers=6) as pool:  # independent fits run as concurrent Spark jobs
+        res = list(pool.map(one, jobs))
+    tr.unpersist()
+    agg: dict = {}
+    for name, ap in res:
+        agg.setdefault(name, []).append(ap)
+    rows = [(k, sum(v) / len(v)) for k, v in agg.items()]
     return spark.createDataFrame(rows, "params string, mean_avg_precision double")
 
 
@@ -232,3 +246,11 @@ def q_impute_iterative(spark, sf):
     means = fit_impute(oc, cols, "mean")
     models = fit_iterative(oc, cols, means, rounds=3)
     return apply_iterative(oc, cols, models, means)
+
+
+@query("model_exp_boost", None, [], "M4b boosting with exponential loss (AdaBoost)")
+def q_exp_boost(spark, sf):
+    from riskfold.plans.boost import fit_exp_boost
+    train, test, feats = _split(spark, sf)
+    model = fit_exp_boost(MO.assemble(train, feats), n_rounds=10, max_depth=3)
+    return model.score(MO.assemble(test, feats)).select("row_id", "y", "score")
