@@ -39,7 +39,7 @@ _IMP_SQL = OC + ",\nimp AS (" + "\nUNION ALL\n".join(
     f"IS NOT NULL THEN {c} END) * stddev_pop(CASE WHEN {c} IS NOT NULL THEN returned END), 0)), 10), 0.0) "
     f"AS importance FROM oc" for c in NUMS) + """),
 cum AS (SELECT feature, importance, coalesce(importance / nullif(sum(importance) OVER (), 0), 0.0) AS normalized_importance,
-        row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM imp),
+        CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM imp),
 cum2 AS (SELECT *, sum(normalized_importance) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cumulative_importance
          FROM cum)"""
 
@@ -106,7 +106,7 @@ def _coefs(spark, sf):
 
 
 @query("coef_report", _COEF_SQL + """
-SELECT feature, coef, row_number() OVER (ORDER BY abs(coef) DESC, feature) AS rank FROM co
+SELECT feature, coef, CAST(row_number() OVER (ORDER BY abs(coef) DESC, feature) AS INTEGER) AS rank FROM co
 WHERE abs(coef) > 0.001 QUALIFY rank <= 3""", ["coef"], "P16 coefficient filter, top-n by |coef|")
 def q_coef_report(spark, sf):
     from pyspark.sql import Window
@@ -183,7 +183,7 @@ def q_pooled_attribution(spark, sf):
 
 @query("attribution_summary", _POOLED_SQL + """
 SELECT feature, avg(abs(phi)) AS mean_abs_phi,
-       row_number() OVER (ORDER BY avg(abs(phi)) DESC, feature) AS rank FROM pa GROUP BY feature QUALIFY rank <= 40""",
+       CAST(row_number() OVER (ORDER BY avg(abs(phi)) DESC, feature) AS INTEGER) AS rank FROM pa GROUP BY feature QUALIFY rank <= 40""",
        ["mean_abs_phi"], "A7 mean |attribution|, top 40")
 def q_attribution_summary(spark, sf):
     return EX.attribution_summary(_pooled(spark, sf), top=40)
@@ -191,7 +191,7 @@ def q_attribution_summary(spark, sf):
 
 @query("top_features", _POOLED_SQL + """
 SELECT feature, avg(abs(phi)) AS mean_abs_phi,
-       row_number() OVER (ORDER BY avg(abs(phi)) DESC, feature) AS rank FROM pa GROUP BY feature QUALIFY rank <= 3""",
+       CAST(row_number() OVER (ORDER BY avg(abs(phi)) DESC, feature) AS INTEGER) AS rank FROM pa GROUP BY feature QUALIFY rank <= 3""",
        ["mean_abs_phi"], "K3 top-n report")
 def q_top_features(spark, sf):
     return EX.attribution_summary(_pooled(spark, sf), top=3)

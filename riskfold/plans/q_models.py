@@ -24,7 +24,7 @@ from riskfold.plans import selection as SE
 from riskfold.sources.cohorts import order_cohort
 
 _CACHE: dict = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # re-entrant: cached builders call each other
 
 
 def _prepared(spark, sf):
