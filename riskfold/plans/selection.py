@@ -5,6 +5,9 @@ handful of fits (seeds, elimination steps), never over rows."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +44,18 @@ def select_from_model(imp: DataFrame) -> DataFrame:
 
 def _cv_ap(train: DataFrame, feats, spec, cv: int, seed: int = 42) -> float:
     folds = stratified_kfold(train, "y", cv, seed).select("row_id", "fold")
-    tr = train.join(folds, "row_id")
-    aps = []
-    for f in range(cv):
+    tr = train.join(folds, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(f):
         fitted = MO.fit(spec, MO.assemble(tr.filter(F.col("fold") != f), feats), len(feats))
         sc = fitted.score(MO.assemble(tr.filter(F.col("fold") == f), feats))
-        aps.append(float(CV.pr_summary(sc, []).first()["avg_precision"] or 0.0))
+        return float(CV.pr_summary(sc, []).first()["avg_precision"] or 0.0)
+
+    try:
+        with ThreadPoolExecutor(max_workers=cv) as pool:  # folds fit as concurrent Spark jobs
+            aps = list(pool.map(one, range(cv)))
+    finally:
+        tr.unpersist()
     return sum(aps) / len(aps)
 
 
