@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from riskfold.functions.exprs import col
 from riskfold.session import ensure_checkpoint_dir
 
-QUERY_CHUNK = 8192     # query rows per broadcast chunk (bounded driver / executor memory)
-DONOR_BLOCK = 2048     # donor rows per numpy block inside a task
+QUERY_CHUNK = 4096     # query rows per broadcast chunk (bounded driver / executor memory)
+DONOR_BLOCK = 1024     # donor rows per numpy block inside a task
 
 
 def donor_table(df: DataFrame, columns, key="row_id") -> DataFrame:
@@ -34,29 +35,66 @@ def donor_table(df: DataFrame, columns, key="row_id") -> DataFrame:
 
 
 def _masked_dist(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """(nq, nx) missing-aware Euclidean distances; inf where no coordinate is shared."""
+    """(nq, nx) missing-aware Euclidean distances; inf where no coordinate is shared.
+
+    Works in place on one (nq, nx) buffer: per column, zero-filled difference,
+    squared, then the (few) rows / columns missing that column are zeroed.
+    The shared-coordinate count is an exact 0/1 matrix product."""
     d = q.shape[1]
+    mq, mx = ~np.isnan(q), ~np.isnan(x)
+    q0, x0 = np.where(mq, q, 0.0), np.where(mx, x, 0.0)
     ss = np.zeros((q.shape[0], x.shape[0]))
-    m = np.zeros((q.shape[0], x.shape[0]))
+    buf = np.empty_like(ss)
     for j in range(d):
-        diff = q[:, j][:, None] - x[:, j][None, :]
-        ok = ~np.isnan(diff)
-        ss = ss + np.where(ok, diff * diff, 0.0)
-        m = m + ok
+        np.subtract(q0[:, j][:, None], x0[:, j][None, :], out=buf)
+        np.multiply(buf, buf, out=buf)
+        rq, rx = np.flatnonzero(~mq[:, j]), np.flatnonzero(~mx[:, j])
+        if rq.size:
+            buf[rq, :] = 0.0
+        if rx.size:
+            buf[:, rx] = 0.0
+        ss += buf
+    m = mq.astype("float64") @ mx.astype("float64").T
     with np.errstate(divide="ignore", invalid="ignore"):
-        dist = np.sqrt(ss * d / m)
-    dist[m == 0] = np.inf
-    return dist
+        np.multiply(ss, d, out=ss)
+        np.divide(ss, m, out=ss)
+        np.sqrt(ss, out=ss)
+    ss[m == 0] = np.inf
+    return ss
 
 
 def _merge_topk(best_d, best_i, best_v, d, ids, vals, k):
-    """Merge candidate block into running top-k ordered by (distance, id)."""
+    """Merge a candidate block into the running top-k ordered by (distance, id).
+
+    ``argpartition`` finds the k smallest distances; only rows where a
+    distance ties the k-th value fall back to an exact (distance, id) sort.
+    Ids and values are gathered by position, never broadcast to full blocks."""
+    q = d.shape[0]
     cd = np.concatenate([best_d, d], axis=1)
-    ci = np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
-    cv = np.concatenate([best_v, np.broadcast_to(vals, d.shape)], axis=1)
-    order = np.lexsort((ci, cd), axis=1)[:, :k]
-    r = np.arange(cd.shape[0])[:, None]
-    return cd[r, order], ci[r, order], cv[r, order]
+    if cd.shape[1] > k:
+        sel = np.argpartition(cd, k - 1, axis=1)[:, :k]
+        kth = np.take_along_axis(cd, sel, axis=1).max(axis=1)
+        ties = np.flatnonzero((cd <= kth[:, None]).sum(axis=1) > k)
+        if ties.size:
+            ci_t = np.concatenate([best_i[ties], np.broadcast_to(ids, (ties.size, ids.size))], axis=1)
+            sel[ties] = np.lexsort((ci_t, cd[ties]), axis=1)[:, :k]
+    else:
+        sel = np.broadcast_to(np.arange(cd.shape[1]), (q, cd.shape[1])).copy()
+    r = np.arange(q)[:, None]
+    from_best = sel < best_d.shape[1]
+    blk = np.where(from_best, 0, sel - best_d.shape[1])
+    nd = cd[r, sel]
+    ni = np.where(from_best, best_i[r, np.minimum(sel, best_d.shape[1] - 1)], ids[blk])
+    nv = np.where(from_best, best_v[r, np.minimum(sel, best_d.shape[1] - 1)], vals[blk])
+    order = np.lexsort((ni, nd), axis=1)
+    return nd[r, order], ni[r, order], nv[r, order]
+
+
+def _spread(donors: DataFrame) -> DataFrame:
+    """Distance work is CPU-bound: give every core a share of the donors even
+    when the donor table is small enough for AQE to coalesce it into one task."""
+    sc = donors.sparkSession.sparkContext
+    return donors.repartition(max(2 * sc.defaultParallelism, 2))
 
 
 _CAND_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("c", T.IntegerType()),
@@ -84,8 +122,12 @@ def _impute_candidates(qids: np.ndarray, qx: np.ndarray, k: int, d: int):
                     has = ~np.isnan(x[:, c])
                     if not has.any():
                         continue
-                    dd = dist[st[0]][:, has]
-                    st[1], st[2], st[3] = _merge_topk(st[1], st[2], st[3], dd, ids[has], x[has, c], k)
+                    if has.all():
+                        dd, di, dv = dist[st[0]], ids, x[:, c]
+                    else:
+                        hi = np.flatnonzero(has)
+                        dd, di, dv = dist[np.ix_(st[0], hi)], ids[hi], x[hi, c]
+                    st[1], st[2], st[3] = _merge_topk(st[1], st[2], st[3], dd, di, dv, k)
         for c, (r, bd, bi, bv) in best.items():
             ok = np.isfinite(bd)
             rr, kk = np.nonzero(ok)
@@ -128,20 +170,29 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "row_id", donors:
                                          *[col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
     parts = []
     ckpt = ensure_checkpoint_dir(spark)
+    many = queries.count() > chunk
+    spread = _spread(donors)
+    if many:
+        # Every chunk scans all donors: keep them materialised across chunks.
+        spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
     import uuid
-    for ch in _chunks(queries, chunk):
-        arr = np.array([r[1:] for r in ch], dtype="float64").reshape(len(ch), d)
-        qids = np.array([r[0] for r in ch], dtype="int64")
-        cand = donors.mapInPandas(_impute_candidates(qids, arr, k, d), _CAND_SCHEMA)
-        w = Window.partitionBy("qid", "c").orderBy("dist", "did")
-        top = (cand.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
-               .groupBy("qid", "c").agg(F.avg("v").alias("v")))
-        if len(ch) >= chunk:
-            # Several chunks: materialise each result in the shared checkpoint folder.
-            path = f"{ckpt.rstrip('/')}/knn-{uuid.uuid4().hex}"
-            top.write.parquet(path)
-            top = spark.read.parquet(path)
-        parts.append(top)
+    try:
+        for ch in _chunks(queries, chunk):
+            arr = np.array([r[1:] for r in ch], dtype="float64").reshape(len(ch), d)
+            qids = np.array([r[0] for r in ch], dtype="int64")
+            cand = spread.mapInPandas(_impute_candidates(qids, arr, k, d), _CAND_SCHEMA)
+            w = Window.partitionBy("qid", "c").orderBy("dist", "did")
+            top = (cand.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+                   .groupBy("qid", "c").agg(F.avg("v").alias("v")))
+            if many:
+                # Several chunks: materialise each result in the shared checkpoint folder.
+                path = f"{ckpt.rstrip('/')}/knn-{uuid.uuid4().hex}"
+                top.write.parquet(path)
+                top = spark.read.parquet(path)
+            parts.append(top)
+    finally:
+        if many:
+            spread.unpersist()
     if not parts:
         return df
     found = parts[0]
@@ -198,22 +249,30 @@ def nearest_neighbours(queries: DataFrame, donors: DataFrame, columns, k: int, k
     columns = list(columns)
     d = len(columns)
     spark = queries.sparkSession
-    dsel = donors.select(col(key).alias("_id"), *[col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    dsel = _spread(donors.select(col(key).alias("_id"),
+                                 *[col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]))
     qsel = queries.select(col(key), *[col(c).cast("double") for c in columns])
     ckpt = ensure_checkpoint_dir(spark)
     import uuid
     parts = []
-    for ch in _chunks(qsel, chunk):
-        arr = np.array([r[1:] for r in ch], dtype="float64").reshape(len(ch), d)
-        qids = np.array([r[0] for r in ch], dtype="int64")
-        cand = dsel.mapInPandas(_neighbour_candidates(qids, arr, k, d), _NB_SCHEMA)
-        w = Window.partitionBy("qid").orderBy("dist", "did")
-        top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        if len(ch) >= chunk:
-            path = f"{ckpt.rstrip('/')}/nn-{uuid.uuid4().hex}"
-            top.write.parquet(path)
-            top = spark.read.parquet(path)
-        parts.append(top)
+    many = qsel.count() > chunk
+    if many:
+        dsel = dsel.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for ch in _chunks(qsel, chunk):
+            arr = np.array([r[1:] for r in ch], dtype="float64").reshape(len(ch), d)
+            qids = np.array([r[0] for r in ch], dtype="int64")
+            cand = dsel.mapInPandas(_neighbour_candidates(qids, arr, k, d), _NB_SCHEMA)
+            w = Window.partitionBy("qid").orderBy("dist", "did")
+            top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            if many:
+                path = f"{ckpt.rstrip('/')}/nn-{uuid.uuid4().hex}"
+                top.write.parquet(path)
+                top = spark.read.parquet(path)
+            parts.append(top)
+    finally:
+        if many:
+            dsel.unpersist()
     if not parts:
         return spark.createDataFrame([], "qid long, rank int, did long, dist double")
     out = parts[0]
