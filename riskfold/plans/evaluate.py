@@ -130,24 +130,32 @@ def _task_body(rows, features, key, cfg: EvalConfig, root: str):
     # M8: search over candidates on the inner folds (failed fit scores 0).
     cands = _candidates(family, cfg, seed)
     best, best_score = cands[0], None
-    if len(cands) > 1:
-        for spec in cands:
-            try:
-                aps = []
-                for f in range(cfg.n_inner):
+    inner_pool = ThreadPoolExecutor(max_workers=max(1, cfg.n_inner))  # inner folds fit concurrently
+    try:
+        if len(cands) > 1:
+            def cv_score(spec):
+                def one(f):
                     fitted = fit_on(train.filter(F.col("inner_fold") != f), spec)
-                    aps.append(_average_precision(score(fitted, train.filter(F.col("inner_fold") == f))))
-                s = sum(aps) / len(aps)
-            except Exception:  # noqa: BLE001 - error_score = 0
-                s = 0.0
-            if best_score is None or s > best_score:
-                best, best_score = spec, s
-    # M9: validation predictions of the chosen candidate, per inner fold, at 0.5.
-    vals = []
-    for f in range(cfg.n_inner):
-        fitted = fit_on(train.filter(F.col("inner_fold") != f), best)
-        v = score(fitted, train.filter(F.col("inner_fold") == f))
-        vals.append(v.select(F.lit(f).alias("inner_fold"), "row_id", "y", "score"))
+                    return _average_precision(score(fitted, train.filter(F.col("inner_fold") == f)))
+                try:
+                    aps = list(inner_pool.map(one, range(cfg.n_inner)))
+                    return sum(aps) / len(aps)
+                except Exception:  # noqa: BLE001 - error_score = 0
+                    return 0.0
+            for spec in cands:
+                s = cv_score(spec)
+                if best_score is None or s > best_score:
+                    best, best_score = spec, s
+
+        # M9: validation predictions of the chosen candidate, per inner fold, at 0.5.
+        def val_fold(f):
+            fitted = fit_on(train.filter(F.col("inner_fold") != f), best)
+            v = score(fitted, train.filter(F.col("inner_fold") == f))
+            return v.select(F.lit(f).alias("inner_fold"), "row_id", "y", "score")
+
+        vals = list(inner_pool.map(val_fold, range(cfg.n_inner)))
+    finally:
+        inner_pool.shutdown()
     val = vals[0]
     for v in vals[1:]:
         val = val.unionByName(v)
