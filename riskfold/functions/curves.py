@@ -79,8 +79,9 @@ def roc_points(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
     pts = cum.select(*keys, F.col("score").alias("threshold"),
                      F.try_divide(F.col("fp").cast("double"), F.col("N")).alias("fpr"),
                      F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("tpr"))
-    origin = cum.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"),
-                                                 F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    # keys straight from the predictions (map-side distinct), not from the running sums
+    origin = pred.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"),
+                                                  F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(pts)
 
 
@@ -157,8 +158,8 @@ def pr_points(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
     pts = cum.select(*keys, F.col("score").alias("threshold"),
                      F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("recall"),
                      (F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))).alias("precision"))
-    end = cum.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"),
-                                              F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
+    end = pred.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"),
+                                               F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     return end.unionByName(pts)
 
 
