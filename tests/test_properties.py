@@ -119,3 +119,30 @@ def test_scan_prunes_columns(spark):
     df = order_cohort(spark, SF001).select("row_id", "total")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in plan and "o_orderdate" not in plan
+
+
+def test_exp_boost_scores_are_probabilities(spark):
+    from riskfold.plans.boost import fit_exp_boost
+    from riskfold.functions import curves as CV
+    oc = order_cohort(spark, SF001).na.drop(subset=["lines", "qty", "price"])
+    feats = ["total", "lines", "qty", "price"]
+    d = MO.assemble(oc.select("row_id", *feats, F.col("returned").alias("y")), feats)
+    m = fit_exp_boost(d, n_rounds=4, max_depth=2)
+    sc = m.score(d).select("y", "score")
+    lo, hi = sc.agg(F.min("score"), F.max("score")).first()
+    assert 0.0 < lo <= hi < 1.0
+    assert CV.roc_auc(sc, []).first()["roc_auc"] > 0.6
+
+
+def test_iterative_imputation_fills_everything(spark):
+    from riskfold.operators.iterative import apply_iterative, fit_iterative
+    from riskfold.operators.transforms import fit_impute
+    cols = ["total", "acctbal", "lines", "qty"]
+    oc = order_cohort(spark, SF001).select("row_id", *cols)
+    means = fit_impute(oc, cols, "mean")
+    out = apply_iterative(oc, cols, fit_iterative(oc, cols, means, rounds=2), means)
+    assert out.count() == oc.count()
+    assert out.filter(" OR ".join(f"{c} IS NULL" for c in cols)).count() == 0
+    # observed values are kept as they are
+    j = oc.join(out.select("row_id", F.col("acctbal").alias("a2")), "row_id").filter("acctbal IS NOT NULL")
+    assert j.filter("acctbal <> a2").count() == 0
