@@ -187,16 +187,48 @@ def _task_body(rows, features, key, cfg: EvalConfig, root: str):
             "search_score": best_score, "importances": imps}
 
 
-def evaluate(df: DataFrame, features, endpoints, cfg: EvalConfig | None = None) -> Results:
-    """Nested evaluation of every family over endpoints x seeds x outer splits."""
+def external_fold_plan(df: DataFrame, external: DataFrame, endpoints, seeds=(42,), n_inner: int = 5,
+                       key: str = "row_id") -> DataFrame:
+    """Fold table for an external test cohort: every training row is ``train``
+    (stratified inner folds per endpoint and seed), every external row ``test``;
+    one outer split (``outer_fold = 0``)."""
+    from riskfold.functions.exprs import unpivot
+    from riskfold.operators.split import ranked
+
+    grid = F.array(*[F.lit(int(s)) for s in seeds])
+    lab = (unpivot(df, [key], list(endpoints), "endpoint", "y", cast="string").filter(F.col("y").isNotNull())
+           .withColumn("seed", F.explode(grid)))
+    tr = ranked(lab, ["endpoint", "seed", "y"],
+                F.md5(F.concat_ws("|", col(key).cast("string"), F.col("seed").cast("string"), F.lit("inner"))), "irn")
+    tr = tr.select(key, "endpoint", "seed", F.lit(0).alias("outer_fold"), "y", F.lit("train").alias("role"),
+                   ((F.col("irn") - 1) % n_inner).cast("int").alias("inner_fold"))
+    ex = (unpivot(external, [key], list(endpoints), "endpoint", "y", cast="string").filter(F.col("y").isNotNull())
+          .withColumn("seed", F.explode(grid))
+          .select(key, "endpoint", "seed", F.lit(0).alias("outer_fold"), "y", F.lit("test").alias("role"),
+                  F.lit(None).cast("int").alias("inner_fold")))
+    return tr.unionByName(ex)
+
+
+def evaluate(df: DataFrame, features, endpoints, cfg: EvalConfig | None = None,
+             external: DataFrame | None = None) -> Results:
+    """Nested evaluation of every family over endpoints x seeds x outer splits.
+
+    With ``external`` (already transformed by the preparation fitted on
+    ``df``), models are validated on inner folds of all of ``df`` and tested on
+    the external cohort (one outer split)."""
     cfg = cfg or EvalConfig()
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/eval-{uuid.uuid4().hex}"
     features = list(features)
-    plan = cut_lineage(nested_fold_plan(df, endpoints, cfg.seeds, cfg.n_outer, cfg.n_inner, cfg.test_fraction))
-    data = df.select("row_id", *[col(c).cast("double").alias(c) for c in features]).persist(
+    if external is None:
+        plan = cut_lineage(nested_fold_plan(df, endpoints, cfg.seeds, cfg.n_outer, cfg.n_inner, cfg.test_fraction))
+        both, n_outer = df, cfg.n_outer
+    else:
+        plan = cut_lineage(external_fold_plan(df, external, endpoints, cfg.seeds, cfg.n_inner))
+        both, n_outer = df.select("row_id", *features).unionByName(external.select("row_id", *features)), 1
+    data = both.select("row_id", *[col(c).cast("double").alias(c) for c in features]).persist(
         StorageLevel.MEMORY_AND_DISK)
-    keys = [(e, int(s), o, m) for e in endpoints for s in cfg.seeds for o in range(cfg.n_outer) for m in cfg.models]
+    keys = [(e, int(s), o, m) for e in endpoints for s in cfg.seeds for o in range(n_outer) for m in cfg.models]
     try:
         with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
             outs = list(pool.map(lambda k: _task(spark, data, plan, features, k, cfg, root), keys))

@@ -254,3 +254,21 @@ def q_exp_boost(spark, sf):
     train, test, feats = _split(spark, sf)
     model = fit_exp_boost(MO.assemble(train, feats), n_rounds=10, max_depth=3)
     return model.score(MO.assemble(test, feats)).select("row_id", "y", "score")
+
+
+@query("evaluate_external", None, [], "M11 with an external test cohort (orders from 2000 on)")
+def q_evaluate_external(spark, sf):
+    from riskfold.operators.transforms import PrepConfig, prepare
+    from riskfold.sources.cohorts import ORDER_CATALOG, order_split
+    key = ("ext", sf)
+    with _LOCK:
+        if key not in _CACHE:
+            train, ext = order_split(order_cohort(spark, sf))
+            prep = prepare(train, ORDER_CATALOG, PrepConfig(imputer="mean", missing_threshold=0.5,
+                                                            drop_single_unique=True, correlation_threshold=0.95))
+            tr = prep.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
+            ex = prep.transform(ext).persist(StorageLevel.MEMORY_AND_DISK)
+            cfg = EvalConfig(models=("dummy", "logistic"), seeds=(42,), n_inner=3, balancing="class_weight",
+                             parallelism=4)
+            _CACHE[key] = evaluate(tr, prep.features, ["returned"], cfg, external=ex)
+        return _CACHE[key].summary()
