@@ -264,7 +264,7 @@ def prepare(df: DataFrame, catalog, cfg: PrepConfig | None = None, key: str = "r
     cfg = cfg or PrepConfig()
     df, cat, feats, ends = C.select_columns(df, catalog, cfg.feature_set, cfg.drop_declared, external, key)
     # Fitting makes several aggregate passes over the same rows.
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = df = df.persist(StorageLevel.MEMORY_AND_DISK)
     dropped: dict = {}
     if cfg.drop_missing_value > 0:
         df = FL.drop_sparse_rows(df, cfg.drop_missing_value, key)
@@ -302,8 +302,8 @@ def prepare(df: DataFrame, catalog, cfg: PrepConfig | None = None, key: str = "r
         raise ValueError(f"Imputer type {cfg.imputer} not supported")
     if cfg.normaliser not in (None, "none"):
         nums_kept = [c for c in nums if prep.impute.get(c, 0.0) is not None]
-        saved_scale, prep.scale = prep.scale, {}
+        prep.scale = {}
         imputed = prep.transform(df, keep_endpoints=False)
-        prep.scale = saved_scale
         prep.scale = fit_scale(imputed, nums_kept, cfg.normaliser)
+    cached.unpersist()  # fitting is done; later transforms recompute from the source
     return prep

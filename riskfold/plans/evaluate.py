@@ -130,7 +130,9 @@ def _task_body(rows, features, key, cfg: EvalConfig, root: str):
     # M8: search over candidates on the inner folds (failed fit scores 0).
     cands = _candidates(family, cfg, seed)
     best, best_score = cands[0], None
-    inner_pool = ThreadPoolExecutor(max_workers=max(1, cfg.n_inner))  # inner folds fit concurrently
+    # Inner folds fit concurrently while the total number of concurrent fits
+    # (tasks x inner folds) stays near the core budget of the driver pool.
+    inner_pool = ThreadPoolExecutor(max_workers=max(1, min(cfg.n_inner, 6 // max(1, cfg.parallelism))))
     try:
         if len(cands) > 1:
             def cv_score(spec):

@@ -20,7 +20,7 @@ def prepared_orders(spark: SparkSession, sf_dir: str, imputer: str = "knn", norm
 
 
 FLAGSHIP = EvalConfig(models=("dummy", "logistic", "forest"), seeds=(42,), n_outer=2, n_inner=3,
-                      search="none", balancing="class_weight", parallelism=6,
+                      search="none", balancing="class_weight", parallelism=3,
                       overrides={"forest": {"n_estimators": 10, "max_depth": 5}})
 
 

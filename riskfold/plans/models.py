@@ -193,15 +193,13 @@ def fit(spec: ModelSpec, train: DataFrame, n_features: int, features="features",
     """Fit one candidate; the label is cast to double for Spark ML."""
     if spec.family == "dummy":
         return Fitted(spec, None)
-    # Iterative solvers make one pass per iteration: materialise the rows once.
-    data = train.withColumn(label, col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = n_rows if n_rows is not None else data.count()
-        est = mlp_estimator(spec, n_features, features, label, seed) if spec.family == "mlp" else \
-            estimator(spec, n, features, label, weight, seed)
-        return Fitted(spec, est.fit(data))
-    finally:
-        data.unpersist()
+    # Spark ML caches its own instance / tree-point RDD for the iterations; the
+    # caller persists the (unassembled) rows it reuses across fits.
+    data = train.withColumn(label, col(label).cast("double"))
+    n = n_rows if n_rows is not None else (data.count() if spec.family in ("logistic", "svm") else 0)
+    est = mlp_estimator(spec, n_features, features, label, seed) if spec.family == "mlp" else \
+        estimator(spec, n, features, label, weight, seed)
+    return Fitted(spec, est.fit(data))
 
 
 def assemble(df: DataFrame, features, out="features") -> DataFrame:
