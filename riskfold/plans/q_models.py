@@ -160,7 +160,7 @@ def _evaluation(spark, sf):
         if key not in _CACHE:
             df, feats = _prepared(spark, sf)
             cfg = EvalConfig(models=("dummy", "logistic", "tree"), seeds=(42,), n_outer=2, n_inner=3,
-                             balancing="class_weight", parallelism=6, overrides={"tree": {"max_depth": 5}})
+                             balancing="class_weight", parallelism=3, overrides={"tree": {"max_depth": 5}})
             _CACHE[key] = evaluate(df, feats, ["returned", "pending"], cfg)
         return _CACHE[key]
 
