@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -68,6 +69,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, so Python workers import it by name even
+    where it is neither installed nor on their path.  Once per application."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="riskfold-ship-")
+    path = os.path.join(folder, "riskfold-src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("riskfold", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED["app"] = sc.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
+
+
 def cut_lineage(df):
     """Reliable checkpoint (written to the shared checkpoint folder)."""
     ensure_checkpoint_dir(df.sparkSession)
