@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from riskfold.llm import line_runs
+import public_tokenizers
+
+from riskfold.llm import bpe, line_runs, packing
 from riskfold.llm.common import table
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op1_squares_packing(spark, sf_dir):
+    return packing.op1_squares_packing(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op2_bpe_codec(spark, sf_dir):
+    return bpe.op2_bpe_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
 
 def op9_line_runs(spark, sf_dir):
     return line_runs.op9_line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_line_runs": op9_line_runs}
+QUERIES = {"op1_squares_packing": op1_squares_packing, "op2_bpe_codec": op2_bpe_codec, "op9_line_runs": op9_line_runs}
 ORACLE = {"op9_line_runs": line_runs.OP9_SQL}
