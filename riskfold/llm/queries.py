@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from riskfold.llm import bpe, line_runs, packing
+from riskfold.llm import bpe, language_codes, line_crf, line_runs, packing
 from riskfold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,9 +18,18 @@ def op2_bpe_codec(spark, sf_dir):
     return bpe.op2_bpe_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_line_crf(spark, sf_dir):
+    return line_crf.op6_line_crf(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def op7_language_codes(spark, sf_dir):
+    return language_codes.op7_language_codes(table(spark, sf_dir, "documents"))
+
+
 def op9_line_runs(spark, sf_dir):
     return line_runs.op9_line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_squares_packing": op1_squares_packing, "op2_bpe_codec": op2_bpe_codec, "op9_line_runs": op9_line_runs}
+QUERIES = {f.__name__: f for f in (
+    op1_squares_packing, op2_bpe_codec, op6_line_crf, op7_language_codes, op9_line_runs)}
 ORACLE = {"op9_line_runs": line_runs.OP9_SQL}
