@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from riskfold.llm import bpe, language_codes, line_crf, line_runs, packing
+from riskfold.llm import bpe, language_codes, line_crf, line_runs, packing, site_templates, url_filter
 from riskfold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op2_bpe_codec(spark, sf_dir):
     return bpe.op2_bpe_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_host_words(spark, sf_dir):
+    return url_filter.op3_host_words(table(spark, sf_dir, "pages"))
+
+
 def op6_line_crf(spark, sf_dir):
     return line_crf.op6_line_crf(spark, table(spark, sf_dir, "documents"), sf_dir)
 
@@ -30,6 +34,10 @@ def op9_line_runs(spark, sf_dir):
     return line_runs.op9_line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_site_templates(spark, sf_dir):
+    return site_templates.op10_site_templates(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_squares_packing, op2_bpe_codec, op6_line_crf, op7_language_codes, op9_line_runs)}
+    op1_squares_packing, op2_bpe_codec, op3_host_words, op6_line_crf, op7_language_codes, op9_line_runs, op10_site_templates)}
 ORACLE = {"op9_line_runs": line_runs.OP9_SQL}
