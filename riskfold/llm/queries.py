@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from riskfold.llm import bpe, language_codes, line_crf, line_runs, packing, site_templates, url_filter
+from riskfold.llm import backoff_lm, bpe, language_codes, line_crf, line_runs, packing, site_templates, url_filter
 from riskfold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op7_language_codes(spark, sf_dir):
     return language_codes.op7_language_codes(table(spark, sf_dir, "documents"))
 
 
+def op8_backoff_automaton(spark, sf_dir):
+    return backoff_lm.op8_backoff_automaton(table(spark, sf_dir, "documents"))
+
+
 def op9_line_runs(spark, sf_dir):
     return line_runs.op9_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,6 @@ def op10_site_templates(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_squares_packing, op2_bpe_codec, op3_host_words, op6_line_crf, op7_language_codes, op9_line_runs, op10_site_templates)}
+    op1_squares_packing, op2_bpe_codec, op3_host_words, op6_line_crf, op7_language_codes,
+    op8_backoff_automaton, op9_line_runs, op10_site_templates)}
 ORACLE = {"op9_line_runs": line_runs.OP9_SQL}
