@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from riskfold.llm import backoff_lm, bpe, jaccard_join, language_codes, line_crf, line_runs, packing, site_templates, url_filter
+from riskfold.llm import backoff_lm, bpe, jaccard_join, language_codes, line_crf, line_runs, packing, site_templates, url_filter, vector_graph
 from riskfold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op3_host_words(spark, sf_dir):
     return url_filter.op3_host_words(table(spark, sf_dir, "pages"))
 
 
+def op4_flat_graph(spark, sf_dir):
+    return vector_graph.op4_flat_graph(table(spark, sf_dir, "embeddings"))
+
+
 def op5_order_filters(spark, sf_dir):
     return jaccard_join.op5_order_filters(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_site_templates(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_squares_packing, op2_bpe_codec, op3_host_words, op5_order_filters, op6_line_crf, op7_language_codes,
+    op1_squares_packing, op2_bpe_codec, op3_host_words, op4_flat_graph, op5_order_filters, op6_line_crf, op7_language_codes,
     op8_backoff_automaton, op9_line_runs, op10_site_templates)}
 ORACLE = {"op9_line_runs": line_runs.OP9_SQL}
