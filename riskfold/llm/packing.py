@@ -14,7 +14,9 @@ against the token bound is about 0.1 %.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskfold.llm.bpe import byte_letters, lower_each
 from riskfold.llm.common import ship_package, stash, text_chunks
 
 CAPACITY = 2048
@@ -35,51 +38,62 @@ class PieceIds:
 
     White space never joins a token in the word tokenizer, so a text's ids are
     those of its white-space-free pieces in order; pieces met before are
-    remembered.  New ASCII pieces are encoded together and cut apart by offsets.
+    remembered.  The file lower-cases, so ASCII capitals are folded first (not
+    where a special token might be spelt).  A new piece that is one word of
+    letters, with or without a tail of ASCII marks, goes straight to the
+    library's BPE model; all others pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tool = Tokenizer.from_file(path)
+        self.model = self.tool.model
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.seen: dict[bytes, bytes] = {}
 
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [p for p in new if p.isascii()]
-        for at in range(0, len(plain), 1000):
-            part = plain[at:at + 1000]
-            done = self.tool.encode(b" ".join(part).decode(), add_special_tokens=False)
-            firsts = np.cumsum([0, *(len(p) + 1 for p in part[:-1])])
-            ids = np.array(done.ids, np.uint32)
-            cuts = np.searchsorted(np.array([o[0] for o in done.offsets], np.int64), [*firsts[1:], 1 << 40])
-            raw, b = ids.tobytes(), 0
-            for p, e in zip(part, cuts.tolist(), strict=True):
-                self.seen[p] = raw[4 * b:4 * e]
-                b = e
-        rest = [p for p in new if not p.isascii()]
-        for p, done in zip(rest, self.tool.encode_batch([p.decode() for p in rest], add_special_tokens=False), strict=True):
-            self.seen[p] = np.array(done.ids, np.uint32).tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        pieces = text.split()
-        try:
-            return b"".join(map(self.seen.__getitem__, pieces))
-        except KeyError:
-            if len(self.seen) > REMEMBER:
-                self.seen.clear()
-            self._learn(list(set(pieces).difference(self.seen)))
-            return b"".join(map(self.seen.__getitem__, pieces))
-
-    def prepare(self, texts: list[bytes]) -> None:
-        """Learn the new pieces of many texts at once."""
+    def _word(self, word: str) -> bytes:
+        """Ids of letters only; the model wants the bytes' printable letters."""
+        if not word.isascii():
+            word = lower_each(unicodedata.normalize("NFC", word)).encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _whole(self, piece: str) -> bytes:
+        return array("I", self.tool.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        seen = self.seen
+        for p in new:
+            text = p.decode()
+            base = text.rstrip(_MARKS)
+            if not (base.isalpha() and base.lower().isalpha()) or (base.isascii() and not base.islower()):
+                seen[p] = self._whole(text)
+                continue
+            key = base.encode()
+            ids = seen.get(key)
+            if ids is None:
+                ids = seen[key] = self._word(base)
+            if len(base) < len(text):
+                tail = p[len(key):]
+                if tail not in seen:
+                    seen[tail] = self._whole(text[len(base):])
+                seen[p] = ids + seen[tail]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
         if len(self.seen) > REMEMBER:
             self.seen.clear()
+        pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new: set[bytes] = set()
-        for t in texts:
-            new.update(t.split())
-        self._learn(list(new.difference(self.seen)))
+        for p in pieces:
+            new.update(p)
+        self._learn(new.difference(self.seen))
+        find = self.seen.__getitem__
+        return [b"".join(map(find, p)) for p in pieces]
 
 
+#: ASCII characters that are neither letters, digits nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOADED: dict[str, PieceIds] = {}
 
 
@@ -97,10 +111,9 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for at, part in text_chunks(batch.column(1)):
                 texts = [t or b"" for t in part.cast(pa.binary()).to_pylist()]
-                tool.prepare(texts)
                 row, piece, length, crc = [], [], [], []
-                for i, t in enumerate(texts):
-                    raw = tool.ids(t) + end
+                for i, ids in enumerate(tool.ids(texts)):
+                    raw = ids + end
                     for k, b in enumerate(range(0, len(raw), width)):
                         cut = raw[b:b + width]
                         row.append(i)
