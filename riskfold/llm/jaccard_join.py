@@ -52,7 +52,7 @@ def needed(n, t: int = THRESHOLD):
     return -(-n * t // 100)
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
+def rarity(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
     """Rarity class of each hash bucket: the bits of its number of (text, shingle)
     pairs.  Tasks send their counts packed by range; the result has a fixed size."""
     size = 1 << BUCKET_BITS
@@ -62,7 +62,7 @@ def rarity(texts: DataFrame) -> np.ndarray:
         seen = np.zeros(size, np.int64)
         for batch in batches:
             for _, part in text_chunks(batch.column(0)):
-                grams = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(part)])
+                grams = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(part, k)])
                 seen += np.bincount((grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(_RANGES, dtype=np.int32)),
@@ -100,15 +100,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
 
 
-def describe(texts: DataFrame, kind: str, t: int = THRESHOLD) -> DataFrame:
+def describe(texts: DataFrame, kind: str, t: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """(id, n, s1, s2, p1, p2, p3) per row: set size, 128-bit hash of the set, prefixes."""
-    packed = zlib.compress(rarity(texts.select("text")).tobytes())
+    packed = zlib.compress(rarity(texts.select("text"), k).tobytes())
 
     def run(batches):
         classes = np.frombuffer(zlib.decompress(packed), np.uint8)
         for batch in batches:
             for at, part in text_chunks(batch.column(1)):
-                sets = shingle_sets(part)
+                sets = shingle_sets(part, k)
                 sign = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
                 first = [prefixes(s, classes, t) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -120,7 +120,7 @@ def describe(texts: DataFrame, kind: str, t: int = THRESHOLD) -> DataFrame:
         run, f"id {kind}, n long, s1 long, s2 long, p1 array<long>, p2 array<long>, p3 array<long>")
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, kind: str, t: int = THRESHOLD) -> DataFrame:
+def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, kind: str, t: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold, of distinct candidate pairs."""
     part = nodes.select("id", "p2", "p3")
     both = pairs.join(part.toDF("a", "a2", "a3"), "a").join(part.toDF("b", "b2", "b3"), "b")
@@ -129,7 +129,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, kind: str, t: i
     def sets(batches):
         for batch in batches:
             for at, piece in text_chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(piece)), _lists(shingle_sets(piece))], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(piece)), _lists(shingle_sets(piece, k))], ["id", "s"])
 
     ends = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     whole = stash(texts.join(ends, "id", "left_semi").select("id", "text").mapInArrow(sets, f"id {kind}, s array<long>"), "sets")
@@ -138,7 +138,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, kind: str, t: i
     return full.filter(100 * common >= t * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = THRESHOLD) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id), one row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, the row's own id where
@@ -149,7 +149,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = stash(describe(texts, kind, t), "sets")
+    rows = stash(describe(texts, kind, t, k), "sets")
     reps = stash(rows.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("s1", "s2").agg(F.min("id").alias("rep")), "reps")
     nodes = stash(rows.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
                   .drop("s1", "s2"), "nodes")
@@ -174,7 +174,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int
     def distinct_pairs(df):
         return df.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    first = stash(linked(distinct_pairs(near.unionByName(star)), nodes, texts, kind, t), "links")
+    first = stash(linked(distinct_pairs(near.unionByName(star)), nodes, texts, kind, t, k), "links")
     roots = components(first)
     marked = member.join(roots.select(c("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = marked.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("gram")
@@ -182,7 +182,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int
     a, b = open_.alias("a"), open_.alias("b")
     cross = a.join(b, (c("a.gram") == c("b.gram")) & (c("a.id") < c("b.id")) & (c("a.root") != c("b.root"))
                    & may(c("a.n"), c("a.i"), c("b.n"), c("b.i"))).select(c("a.id").alias("x"), c("b.id").alias("y"))
-    second = linked(distinct_pairs(cross), nodes, texts, kind, t)
+    second = linked(distinct_pairs(cross), nodes, texts, kind, t, k)
     final = components(first.unionByName(second))
 
     known = reps.join(final.select(c("node").alias("rep"), "root"), "rep", "left") \
@@ -197,7 +197,8 @@ def op5_order_filters(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the
-    smallest id stays."""
-    gone = join(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """Pipeline stage: of each group of near duplicates (five-word shingles,
+    similarity 0.8) the document with the smallest id stays, with all its rows.
+    Documents without words are no near duplicates and stay."""
+    gone = join(docs, t=80, k=5).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -116,6 +116,15 @@ def op9_line_dedup(docs: DataFrame) -> DataFrame:
                       F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("kept_sha256"))
 
 
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: texts without their repeated lines; ``n_chars`` follows the text."""
+    out = dedup_lines(docs)
+    changed = F.size("kept") < F.size("lines")
+    new = {"text": F.array_join("kept", "\n"), "n_chars": F.char_length(F.array_join("kept", "\n")).cast("long")}
+    return out.select(*[F.when(changed, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`")
+                        for c in docs.columns])
+
+
 OP9_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -181,3 +181,8 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, sh
 def op1_squares_packing(docs: DataFrame, path: str) -> DataFrame:
     return pack(stash(token_pieces(docs, path), "pieces"))
 
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents that are left, as pieces in sequences."""
+    import public_tokenizers
+    return op1_squares_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
