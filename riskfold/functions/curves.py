@@ -3,26 +3,28 @@ for every key of a predictions table at once.
 
 Plan (no global sort per key):
 1. group by ``(keys, score)`` → positive / negative counts (map-side partial
-   aggregation; a hot score value collapses to one row);
+   aggregation; a hot score value collapses to one row), checkpointed once: the
+   predictions are read by this one pass only;
 2. running sums in score-descending order in two levels: per-(key, bucket)
    totals give bucket offsets, rows are then summed inside their bucket.
-   ``bucket`` is a monotone function of the score, so one key's scores are
-   spread over many tasks;
-3. areas are plain aggregates over the running sums (the previous point is
-   "running sum minus own counts", no ``lag`` needed);
+   ``bucket`` is a quantile range of the scores, so buckets are even however the
+   scores lie;
+3. ROC and PR points, areas and the grid all derive from that one table
+   (:func:`curve_table`); callers that want several of them build it once and
+   hand it over as ``cum``;
 4. grid interpolation and threshold sweeps aggregate into 101 cells per key
    and finish with a window over those cells only.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskfold.operators.ranges import value_bucket
+from riskfold.session import cut_lineage
+
 GRID = 101          # fixed value: 101-point grid 0, 0.01, ..., 1
-BUCKETS = 8192
 CAL_BINS = 10       # fixed value: 10 equal-width calibration bins
 
 
@@ -32,11 +34,6 @@ def grid_value(i) -> F.Column:
     return F.when(i >= GRID - 1, F.lit(1.0)).otherwise(i.cast("double") * F.lit(0.01))
 
 
-def _bucket(score: F.Column) -> F.Column:
-    b = F.floor((F.atan(score) / F.lit(math.pi) + F.lit(0.5)) * F.lit(BUCKETS)).cast("int")
-    return F.least(F.greatest(b, F.lit(0)), F.lit(BUCKETS - 1))
-
-
 def score_counts(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
     """``(keys..., score, pos, neg)`` per distinct score."""
     return (pred.groupBy(*keys, F.col(score).alias("score"))
@@ -47,7 +44,7 @@ def score_counts(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
 def cumulative(counts: DataFrame, keys) -> DataFrame:
     """Add ``tp, fp`` (counts at score >= this score) and key totals ``P, N``."""
     keys = list(keys)
-    c = counts.withColumn("_b", _bucket(F.col("score")))
+    c = value_bucket(counts, "score", "_b")
     per_b = c.groupBy(*keys, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wk = Window.partitionBy(*keys)
     wb = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -64,45 +61,45 @@ def cumulative(counts: DataFrame, keys) -> DataFrame:
                     "P", "N")
 
 
-def _cum(pred, keys, y, score):
-    return cumulative(score_counts(pred, keys, y, score), keys)
+def curve_table(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
+    """Running sums of every key, materialised: the input of all curves and areas."""
+    return cut_lineage(cumulative(cut_lineage(score_counts(pred, list(keys), y, score)), keys))
 
 
 # -- ROC (C2, C3, C4) ----------------------------------------------------------
 
 
-def roc_points(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
+def roc_points(pred: DataFrame, keys, y="y", score="score", cum: DataFrame | None = None) -> DataFrame:
     """``(keys..., threshold, fpr, tpr)``: the origin (threshold NULL) and
     one point per distinct score."""
     keys = list(keys)
-    cum = _cum(pred, keys, y, score)
+    cum = cum if cum is not None else curve_table(pred, keys, y, score)
     pts = cum.select(*keys, F.col("score").alias("threshold"),
                      F.try_divide(F.col("fp").cast("double"), F.col("N")).alias("fpr"),
                      F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("tpr"))
-    # keys straight from the predictions (map-side distinct), not from the running sums
-    origin = pred.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"),
+    origin = cum.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"),
                                                   F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(pts)
 
 
-def roc_auc(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
+def roc_auc(pred: DataFrame, keys, y="y", score="score", cum: DataFrame | None = None) -> DataFrame:
     """Exact trapezoidal ROC AUC with tied scores grouped: ``(keys..., roc_auc)``."""
     keys = list(keys)
-    cum = _cum(pred, keys, y, score)
+    cum = cum if cum is not None else curve_table(pred, keys, y, score)
     term = F.col("neg").cast("double") * (F.col("tp").cast("double") - F.col("pos").cast("double") / 2)
     return (cum.groupBy(*keys)
             .agg(F.sum(term).alias("_a"), F.first("P").alias("P"), F.first("N").alias("N"))
             .select(*keys, F.try_divide(F.col("_a"), F.col("P").cast("double") * F.col("N")).alias("roc_auc")))
 
 
-def roc_grid(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
+def roc_grid(pred: DataFrame, keys, y="y", score="score", cum: DataFrame | None = None) -> DataFrame:
     """ROC interpolated on the 101-point grid, ``(keys..., g, fpr, tpr)``.
 
     At grid x: left = last curve point with fpr <= x (highest tpr among tied
     fpr), right = first point with fpr > x; linear interpolation; x beyond the
     last point → last tpr."""
     keys = list(keys)
-    pts = roc_points(pred, keys, y, score).filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull())
+    pts = roc_points(pred, keys, y, score, cum).filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull())
     x = F.col("fpr")
     c0 = F.least(F.floor(x * 100).cast("int"), F.lit(GRID - 1))
     # cell = largest grid index with grid_value <= fpr (guards float edges)
@@ -150,26 +147,26 @@ def mean_roc(grid: DataFrame, aucs: DataFrame, keys) -> DataFrame:
 # -- precision-recall (C5, C6, C7) -----------------------------------------------
 
 
-def pr_points(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
+def pr_points(pred: DataFrame, keys, y="y", score="score", cum: DataFrame | None = None) -> DataFrame:
     """``(keys..., threshold, recall, precision)`` per distinct score plus the
     end point (recall 0, precision 1, threshold NULL)."""
     keys = list(keys)
-    cum = _cum(pred, keys, y, score)
+    cum = cum if cum is not None else curve_table(pred, keys, y, score)
     pts = cum.select(*keys, F.col("score").alias("threshold"),
                      F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("recall"),
                      (F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))).alias("precision"))
-    end = pred.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"),
+    end = cum.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"),
                                                F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     return end.unionByName(pts)
 
 
-def pr_summary(pred: DataFrame, keys, y="y", score="score") -> DataFrame:
+def pr_summary(pred: DataFrame, keys, y="y", score="score", cum: DataFrame | None = None) -> DataFrame:
     """C5 + C6: ``(keys..., avg_precision, prc_auc, positive_share)``.
 
     AP = Σ (R_n - R_{n-1}) P_n; PR AUC = trapezoid over the PR points
     including the (0, 1) end point."""
     keys = list(keys)
-    cum = _cum(pred, keys, y, score)
+    cum = cum if cum is not None else curve_table(pred, keys, y, score)
     tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
     prec = tp / (tp + fp)
     ptp, pfp = tp - pos, fp - neg

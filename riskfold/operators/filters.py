@@ -86,9 +86,6 @@ def drop_sparse_cols(df: DataFrame, threshold: float, columns=None, key="row_id"
 
 # -- A5 / P8 -----------------------------------------------------------------
 
-_WIDE = 40
-
-
 def _pair_corr(x, y):
     """Pearson correlation over rows where both are present; NULL when either
     side has zero variance there (ANSI-safe, unlike ``corr``)."""
@@ -97,30 +94,18 @@ def _pair_corr(x, y):
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
-def correlation_pairs(df: DataFrame, columns, method: str = "auto") -> DataFrame:
+def correlation_pairs(df: DataFrame, columns) -> DataFrame:
     """A5: upper-triangle pairwise-complete Pearson correlations as
     ``(i, j, feature_i, feature_j, n, corr)`` with ``i < j`` in column order.
 
-    Up to ~40 columns this is one aggregate with one expression per pair.
-    Wider tables use Gram blocks: each task emits the masked moment matrices
-    of its rows (numpy matrix products), summed by ``(i, j)``.
+    One path at every width: each task emits the masked moment matrices of its
+    rows (numpy matrix products), summed by ``(i, j)``.
     """
     columns = list(columns)
-    d = len(columns)
-    if d < 2:
+    if len(columns) < 2:
         spark = df.sparkSession
         return spark.createDataFrame([], "i int, j int, feature_i string, feature_j string, n long, corr double")
-    if method == "gram" or (method == "auto" and d > _WIDE):
-        return _correlation_gram(df, columns)
-    aggs = []
-    for i in range(d):
-        for j in range(i + 1, d):
-            x, y = col(columns[i]).cast("double"), col(columns[j]).cast("double")
-            aggs.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                 F.lit(columns[i]).alias("feature_i"), F.lit(columns[j]).alias("feature_j"),
-                                 F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n"),
-                                 _pair_corr(x, y).alias("corr")))
-    return df.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    return _correlation_gram(df, columns)
 
 
 def _correlation_gram(df: DataFrame, columns) -> DataFrame:
@@ -219,21 +204,35 @@ METHODS = ("missing", "single_unique", "collinear", "zero_importance", "low_impo
 
 
 def removal_table(records: dict) -> DataFrame:
-    """Union of per-method removal records into ``(method, feature)``."""
+    """Union of per-method removal records into ``(method, feature)``; the
+    record of ``collinear`` names its feature ``drop_feature``."""
     out = None
     for method, frame in records.items():
-        part = frame.select(F.lit(method).alias("method"), F.col("feature"))
+        name = "feature" if "feature" in frame.columns else "drop_feature"
+        part = frame.select(F.lit(method).alias("method"), F.col(name).alias("feature")).distinct()
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def identify_all(df: DataFrame, columns, importance: DataFrame, missing_threshold: float, correlation_threshold: float,
+                 cumulative_threshold: float) -> DataFrame:
+    """All five methods at once; ``importance`` is a cumulated table."""
+    stats = column_stats(df, columns)
+    return removal_table({
+        "missing": sparse_columns(stats, missing_threshold),
+        "single_unique": single_value_columns(stats),
+        "collinear": collinear_pairs(correlation_pairs(df, columns), correlation_threshold),
+        "zero_importance": zero_importance(importance),
+        "low_importance": low_importance(importance, cumulative_threshold)})
+
+
 def features_to_remove(table: DataFrame, methods="all") -> DataFrame:
     """Distinct features chosen by ``methods`` (a list, or 'all')."""
     if methods != "all":
         present = {r[0] for r in table.select("method").distinct().collect()}
         for m in methods:
             if m not in present:
-                raise ValueError(f"{m} selection method has not been run")
+                raise ValueError(f"no removal record for method {m!r}")
         table = table.filter(F.col("method").isin(list(methods)))
     return table.select("feature").distinct()
 
@@ -247,4 +246,4 @@ def select_features(df: DataFrame, table: DataFrame, methods="all") -> DataFrame
 __all__ = ["min_non_null", "drop_sparse_rows", "column_stats", "sparse_columns", "single_value_columns",
            "drop_sparse_cols", "correlation_pairs", "collinear_pairs", "drop_correlated",
            "cumulative_importance", "low_importance", "zero_importance", "features_needed",
-           "removal_table", "features_to_remove", "select_features", "unpivot"]
+           "removal_table", "identify_all", "features_to_remove", "select_features", "unpivot"]

@@ -1,12 +1,14 @@
-"""Exact blocked k-nearest-neighbour search (J7 / K4) and kNN imputation.
-
-Plan: the query rows (rows to impute, or minority rows for oversampling)
-are shipped to the tasks in bounded chunks; every donor partition runs a
-``mapInPandas`` that computes masked distances block by block with numpy
-and keeps a running top-k per query (and per missing column).  Only
-``partitions x k`` candidates per query are shuffled; the final top-k is a
-window ordered by ``(distance, donor row_id)``, so ties resolve the same
-way everywhere.  Nothing forms all query-donor pairs as rows.
+"""Exact k-nearest-neighbour search (J7 / K4) and kNN imputation.
+
+Plan: queries and donors are both distributed.  Queries are dealt by hash into
+blocks of about ``QUERY_BLOCK`` rows, donors into blocks of about
+``DONOR_BLOCK`` rows; every (query block, donor block) pair is one group of a
+cogrouped pandas function that computes masked distances with numpy and keeps
+the top-k of its block per query (and per missing column).  Only
+``donor blocks x k`` candidates per query are shuffled again; the final top-k is
+a window ordered by ``(distance, donor key)``, so ties resolve the same way
+everywhere.  Neither pairs nor queries reach the driver, the plan is the same
+at every size, and keys may be of any ordered type.
 
 Distance (missing-aware Euclidean): ``sqrt(d / m * sum over coordinates
 present in both of (a - b)^2)`` with ``d`` columns and ``m`` shared ones;
@@ -17,16 +19,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskfold.functions.exprs import col
-from riskfold.session import ensure_checkpoint_dir
+from riskfold.session import cut_lineage, ship_package
 
-QUERY_CHUNK = 4096     # query rows per broadcast chunk (bounded driver / executor memory)
-DONOR_BLOCK = 1024     # donor rows per numpy block inside a task
+QUERY_BLOCK = 4096     # query rows of a group
+DONOR_BLOCK = 16384    # donor rows of a group
+STEP = 1024            # donor rows of one numpy step inside a group
 
 
 def donor_table(df: DataFrame, columns, key="row_id") -> DataFrame:
@@ -90,67 +92,60 @@ def _merge_topk(best_d, best_i, best_v, d, ids, vals, k):
     return nd[r, order], ni[r, order], nv[r, order]
 
 
-def _spread(donors: DataFrame) -> DataFrame:
-    """Distance work is CPU-bound: give every core a share of the donors even
-    when the donor table is small enough for AQE to coalesce it into one task."""
-    sc = donors.sparkSession.sparkContext
-    return donors.repartition(max(2 * sc.defaultParallelism, 2))
+def _cogrouped(queries: DataFrame, donors: DataFrame, fn, schema: T.StructType) -> DataFrame:
+    """Run ``fn(query rows, donor rows)`` on every pair of blocks.  ``queries`` and
+    ``donors`` have the key ``_id``; a row is copied once per block of the other side."""
+    ship_package(queries.sparkSession)
+    nq = max(1, -(-queries.count() // QUERY_BLOCK))
+    nd = max(1, -(-donors.count() // DONOR_BLOCK))
+
+    def dealt(df, own, n_own, other, n_other):
+        return df.withColumn(own, F.pmod(F.xxhash64("_id"), F.lit(n_own))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
+
+    q = dealt(queries, "_qb", nq, "_db", nd).groupBy("_qb", "_db")
+    return q.cogroup(dealt(donors, "_db", nd, "_qb", nq).groupBy("_qb", "_db")).applyInPandas(fn, schema)
 
 
-_CAND_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("c", T.IntegerType()),
-                             T.StructField("dist", T.DoubleType()), T.StructField("did", T.LongType()),
-                             T.StructField("v", T.DoubleType())])
+def _schema(qtype, dtype, *names) -> T.StructType:
+    kinds = {"qid": qtype, "did": dtype, "c": T.IntegerType(), "dist": T.DoubleType(), "v": T.DoubleType()}
+    return T.StructType([T.StructField(n, kinds[n]) for n in names])
 
 
-def _impute_candidates(qids: np.ndarray, qx: np.ndarray, k: int, d: int):
-    qmiss = np.isnan(qx)
+def _numbers(pdf: pd.DataFrame, d: int) -> np.ndarray:
+    return pdf[[f"_c{i}" for i in range(d)]].to_numpy(dtype="float64")
 
-    def fn(it):
-        best = {}
-        for c in range(d):
-            r = np.flatnonzero(qmiss[:, c])
-            if r.size:
-                best[c] = [r, np.full((r.size, k), np.inf), np.full((r.size, k), np.iinfo(np.int64).max),
-                           np.zeros((r.size, k))]
-        for pdf in it:
-            ids_all = pdf["_id"].to_numpy(dtype="int64")
-            x_all = pdf[[f"_c{i}" for i in range(d)]].to_numpy(dtype="float64")
-            for s in range(0, len(ids_all), DONOR_BLOCK):
-                ids, x = ids_all[s:s + DONOR_BLOCK], x_all[s:s + DONOR_BLOCK]
+
+def _impute_candidates(k: int, d: int):
+    none = np.iinfo(np.int64).max
+
+    def fn(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(qpdf) and len(xpdf):
+            xpdf = xpdf.sort_values("_id", kind="stable")   # positions order ties by key
+            qx, x_all, ids = _numbers(qpdf, d), _numbers(xpdf, d), xpdf["_id"].to_numpy()
+            qids, best = qpdf["_id"].to_numpy(), {}
+            for c in range(d):
+                r = np.flatnonzero(np.isnan(qx[:, c]))
+                if r.size:
+                    best[c] = [r, np.full((r.size, k), np.inf), np.full((r.size, k), none), np.zeros((r.size, k))]
+            for s in range(0, len(ids), STEP):
+                x, at = x_all[s:s + STEP], np.arange(s, min(s + STEP, len(ids)))
                 dist = _masked_dist(qx, x)
                 for c, st in best.items():
-                    has = ~np.isnan(x[:, c])
-                    if not has.any():
-                        continue
-                    if has.all():
-                        dd, di, dv = dist[st[0]], ids, x[:, c]
-                    else:
-                        hi = np.flatnonzero(has)
-                        dd, di, dv = dist[np.ix_(st[0], hi)], ids[hi], x[hi, c]
-                    st[1], st[2], st[3] = _merge_topk(st[1], st[2], st[3], dd, di, dv, k)
-        for c, (r, bd, bi, bv) in best.items():
-            ok = np.isfinite(bd)
-            rr, kk = np.nonzero(ok)
-            if rr.size:
-                yield pd.DataFrame({"qid": qids[r[rr]], "c": np.full(rr.size, c, dtype="int32"),
-                                    "dist": bd[rr, kk], "did": bi[rr, kk], "v": bv[rr, kk]})
+                    hi = np.flatnonzero(~np.isnan(x[:, c]))
+                    if hi.size:
+                        st[1], st[2], st[3] = _merge_topk(st[1], st[2], st[3], dist[np.ix_(st[0], hi)], at[hi], x[hi, c], k)
+            for c, (r, bd, bi, bv) in best.items():
+                rr, kk = np.nonzero(np.isfinite(bd))
+                out.append(pd.DataFrame({"qid": qids[r[rr]], "c": np.full(rr.size, c, dtype="int32"), "dist": bd[rr, kk],
+                                         "did": ids[bi[rr, kk]], "v": bv[rr, kk]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["qid", "c", "dist", "did", "v"])
     return fn
 
 
-def _chunks(df: DataFrame, size: int):
-    """Stream a query DataFrame to the driver in bounded pandas chunks."""
-    buf = []
-    for row in df.toLocalIterator(prefetchPartitions=False):
-        buf.append(tuple(row))
-        if len(buf) >= size:
-            yield buf
-            buf = []
-    if buf:
-        yield buf
-
-
 def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "row_id", donors: DataFrame | None = None,
-               means: dict | None = None, chunk: int = QUERY_CHUNK) -> DataFrame:
+               means: dict | None = None) -> DataFrame:
     """Fill missing values of ``columns`` with the mean of the column over
     the ``k`` nearest donors having it (uniform weights); a query with no
     usable donor gets the donor column mean.  Complete rows pass through."""
@@ -158,7 +153,6 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "row_id", donors:
     d = len(columns)
     if d == 0:
         return df
-    spark = df.sparkSession
     donors = donors if donors is not None else donor_table(df, columns, key)
     if means is None:
         mrow = donors.agg(*[F.avg(f"_c{i}").alias(f"m{i}") for i in range(d)]).first()
@@ -168,38 +162,14 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "row_id", donors:
         any_null = any_null | col(c).isNull()
     queries = df.filter(any_null).select(col(key).alias("_id"),
                                          *[col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
-    parts = []
-    ckpt = ensure_checkpoint_dir(spark)
-    many = queries.count() > chunk
-    spread = _spread(donors)
-    if many:
-        # Every chunk scans all donors: keep them materialised across chunks.
-        spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
-    import uuid
-    try:
-        for ch in _chunks(queries, chunk):
-            arr = np.array([r[1:] for r in ch], dtype="float64").reshape(len(ch), d)
-            qids = np.array([r[0] for r in ch], dtype="int64")
-            cand = spread.mapInPandas(_impute_candidates(qids, arr, k, d), _CAND_SCHEMA)
-            w = Window.partitionBy("qid", "c").orderBy("dist", "did")
-            top = (cand.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
-                   .groupBy("qid", "c").agg(F.avg("v").alias("v")))
-            if many:
-                # Several chunks: materialise each result in the shared checkpoint folder.
-                path = f"{ckpt.rstrip('/')}/knn-{uuid.uuid4().hex}"
-                top.write.parquet(path)
-                top = spark.read.parquet(path)
-            parts.append(top)
-    finally:
-        if many:
-            spread.unpersist()
-    if not parts:
-        return df
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    wide = found.groupBy(F.col("qid").alias("_qid")).agg(
-        *[F.max(F.when(F.col("c") == i, F.col("v"))).alias(f"_k{i}") for i in range(d)])
+    schema = _schema(queries.schema["_id"].dataType, donors.schema["_id"].dataType, "qid", "c", "dist", "did", "v")
+    cand = _cogrouped(queries, donors, _impute_candidates(k, d), schema)
+    w = Window.partitionBy("qid", "c").orderBy("dist", "did")
+    found = (cand.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+             .groupBy("qid", "c").agg(F.avg("v").alias("v")))
+    # checkpointed: the join below, and every later use, reads the distances' result, not the search
+    wide = cut_lineage(found.groupBy(F.col("qid").alias("_qid")).agg(
+        *[F.max(F.when(F.col("c") == i, F.col("v"))).alias(f"_k{i}") for i in range(d)]))
     joined = df.join(wide, col(key) == F.col("_qid"), "left")
     out = []
     for c in df.columns:
@@ -214,68 +184,44 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "row_id", donors:
 
 # -- plain kNN over complete vectors (SMOTE / ADASYN) ---------------------------
 
-_NB_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("dist", T.DoubleType()),
-                           T.StructField("did", T.LongType())])
-
-
-def _neighbour_candidates(qids: np.ndarray, qx: np.ndarray, k: int, d: int):
-    def fn(it):
-        bd = np.full((len(qids), k), np.inf)
-        bi = np.full((len(qids), k), np.iinfo(np.int64).max)
-        bv = np.zeros((len(qids), k))
-        for pdf in it:
-            ids_all = pdf["_id"].to_numpy(dtype="int64")
-            x_all = pdf[[f"_c{i}" for i in range(d)]].to_numpy(dtype="float64")
-            for s in range(0, len(ids_all), DONOR_BLOCK):
-                ids, x = ids_all[s:s + DONOR_BLOCK], x_all[s:s + DONOR_BLOCK]
-                diff2 = np.zeros((len(qids), len(ids)))
-                for j in range(d):
-                    t = qx[:, j][:, None] - x[:, j][None, :]
-                    diff2 += t * t
-                dist = np.sqrt(diff2)
-                dist[qids[:, None] == ids[None, :]] = np.inf  # a row is not its own neighbour
-                bd, bi, bv = _merge_topk(bd, bi, bv, dist, ids, np.zeros(len(ids)), k)
-        ok = np.isfinite(bd)
-        rr, kk = np.nonzero(ok)
-        if rr.size:
-            yield pd.DataFrame({"qid": qids[rr], "dist": bd[rr, kk], "did": bi[rr, kk]})
+
+def _neighbour_candidates(k: int, d: int):
+    none = np.iinfo(np.int64).max
+
+    def fn(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(qpdf) or not len(xpdf):
+            return pd.DataFrame(columns=["qid", "dist", "did"])
+        xpdf = xpdf.sort_values("_id", kind="stable")
+        qx, x_all, ids, qids = _numbers(qpdf, d), _numbers(xpdf, d), xpdf["_id"].to_numpy(), qpdf["_id"].to_numpy()
+        place = {key: i for i, key in enumerate(ids)}
+        own = np.array([place.get(key, -1) for key in qids])
+        bd, bi, bv = np.full((len(qids), k), np.inf), np.full((len(qids), k), none), np.zeros((len(qids), k))
+        for s in range(0, len(ids), STEP):
+            x, at = x_all[s:s + STEP], np.arange(s, min(s + STEP, len(ids)))
+            diff2 = np.zeros((len(qids), len(at)))
+            for j in range(d):
+                t = qx[:, j][:, None] - x[:, j][None, :]
+                diff2 += t * t
+            dist = np.sqrt(diff2)
+            here = np.flatnonzero((own >= s) & (own < s + len(at)))
+            dist[here, own[here] - s] = np.inf              # a row is not its own neighbour
+            bd, bi, bv = _merge_topk(bd, bi, bv, dist, at, np.zeros(len(at)), k)
+        rr, kk = np.nonzero(np.isfinite(bd))
+        return pd.DataFrame({"qid": qids[rr], "dist": bd[rr, kk], "did": ids[bi[rr, kk]]})
     return fn
 
 
-def nearest_neighbours(queries: DataFrame, donors: DataFrame, columns, k: int, key: str = "row_id",
-                       chunk: int = QUERY_CHUNK) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, donors: DataFrame, columns, k: int, key: str = "row_id") -> DataFrame:
     """Exact k nearest donors of every query row (Euclidean, complete
     vectors), excluding the row itself: ``(qid, rank, did, dist)``."""
     columns = list(columns)
-    d = len(columns)
-    spark = queries.sparkSession
-    dsel = _spread(donors.select(col(key).alias("_id"),
-                                 *[col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]))
-    qsel = queries.select(col(key), *[col(c).cast("double") for c in columns])
-    ckpt = ensure_checkpoint_dir(spark)
-    import uuid
-    parts = []
-    many = qsel.count() > chunk
-    if many:
-        dsel = dsel.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for ch in _chunks(qsel, chunk):
-            arr = np.array([r[1:] for r in ch], dtype="float64").reshape(len(ch), d)
-            qids = np.array([r[0] for r in ch], dtype="int64")
-            cand = dsel.mapInPandas(_neighbour_candidates(qids, arr, k, d), _NB_SCHEMA)
-            w = Window.partitionBy("qid").orderBy("dist", "did")
-            top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            if many:
-                path = f"{ckpt.rstrip('/')}/nn-{uuid.uuid4().hex}"
-                top.write.parquet(path)
-                top = spark.read.parquet(path)
-            parts.append(top)
-    finally:
-        if many:
-            dsel.unpersist()
-    if not parts:
-        return spark.createDataFrame([], "qid long, rank int, did long, dist double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("qid", F.col("rank").cast("int").alias("rank"), "did", "dist")
+
+    def numbered(df):
+        return df.select(col(key).alias("_id"), *[col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+
+    q, x = numbered(queries), numbered(donors)
+    schema = _schema(q.schema["_id"].dataType, x.schema["_id"].dataType, "qid", "dist", "did")
+    cand = _cogrouped(q, x, _neighbour_candidates(k, len(columns)), schema)
+    w = Window.partitionBy("qid").orderBy("dist", "did")
+    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cut_lineage(top.select("qid", F.col("rank").cast("int").alias("rank"), "did", "dist"))

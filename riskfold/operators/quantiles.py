@@ -2,12 +2,15 @@
 
 ``percentile``/``median`` keep every distinct value of a group in one
 aggregation buffer, which does not hold for a column of billions of values.
-Here the k-th smallest value is found by range narrowing: each round counts
-the values of the current range in ``buckets`` equal-width sub-ranges (one
-grouped aggregate, partial per task) and keeps the sub-range holding rank k,
-re-bounded to its actual min / max.  Rounds stop when a range holds one
-distinct value or few enough values to fetch.  Interpolation follows the
-usual linear (type 7) definition: position ``q * (n - 1)``.
+Here the value of rank k is bracketed: each round takes approximate quantiles
+of the open range that still holds rank k (a sketch of fixed size per task),
+picks the two that surround the rank, and counts exactly how many values lie
+below, at and above them.  The rank is then one of the two bounds, or in the
+open range between them, which holds about a hundredth of the rows.  The
+bounds are ranks, not equal widths, so the number of rounds depends on the
+number of rows only (four for 10^9), never on how the values are spread or
+tied.  Interpolation follows the usual linear (type 7) definition: position
+``q * (n - 1)``.
 """
 
 from __future__ import annotations
@@ -18,107 +21,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.functions.exprs import col, unpivot
+from riskfold.session import cut_lineage
 
-_FETCH = 4096
+STEPS = 256          # approximate quantiles per round
+ACCURACY = 10_000    # their rank error is at most 1 / ACCURACY of the range
 
 
-def exact_quantiles(df: DataFrame, columns, qs=(0.5,), buckets: int = 2048,
-                    max_rounds: int = 12) -> dict:
+def exact_quantiles(df: DataFrame, columns, qs=(0.5,)) -> dict:
     """Return ``{column: [value at q for q in qs]}`` (None for an all-null column)."""
-    columns = list(columns)
-    qs = list(qs)
+    columns, qs = list(columns), list(qs)
     if not columns:
         return {}
-    long = (unpivot(df, [], columns, "feature", "v").filter(F.col("v").isNotNull()))
-    long = long.persist()
-    try:
-        base = {r["feature"]: (r["n"], r["lo"], r["hi"])
-                for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                                     F.max("v").alias("hi")).collect()}
-        # targets: (feature, k) -> [lo, hi, offset]; rank k is 0-based.
-        targets = {}
-        for c in columns:
-            n = base.get(c, (0, None, None))[0]
-            for q in qs:
-                if n:
-                    pos = q * (n - 1)
-                    for k in {math.floor(pos), math.ceil(pos)}:
-                        targets[(c, k)] = [base[c][1], base[c][2], 0]
-        found = {}
-        for _ in range(max_rounds):
-            open_t = {t: s for t, s in targets.items() if t not in found}
-            for t, (lo, hi, _off) in list(open_t.items()):
-                if lo == hi:
-                    found[t] = lo
-            open_t = {t: s for t, s in open_t.items() if t not in found}
-            if not open_t:
-                break
-            _narrow(long, open_t, targets, found, buckets)
-        out = {}
-        for c in columns:
-            n = base.get(c, (0, None, None))[0]
-            vals = []
-            for q in qs:
-                if not n:
-                    vals.append(None)
-                    continue
-                pos = q * (n - 1)
-                lo_v, hi_v = found[(c, math.floor(pos))], found[(c, math.ceil(pos))]
-                frac = pos - math.floor(pos)
-                vals.append(lo_v + (hi_v - lo_v) * frac if frac else lo_v)
-            out[c] = vals
-        return out
-    finally:
-        long.unpersist()
+    wide = cut_lineage(df.select(*[col(c).cast("double").alias(c) for c in columns]))
+    long = unpivot(wide, [], columns, "feature", "v").filter(F.col("v").isNotNull())
+    size = {r["feature"]: r["n"] for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranks = {(c, k) for c in columns if c in size for q in qs
+             for k in (math.floor(q * (size[c] - 1)), math.ceil(q * (size[c] - 1)))}
+    # rank -> open range (lo, hi) that holds it, values below the range, values in it
+    state = {t: (-math.inf, math.inf, 0, size[t[0]]) for t in ranks}
+    found: dict = {}
+    while len(found) < len(state):
+        _round(long, {t: s for t, s in state.items() if t not in found}, state, found)
+    out = {}
+    for c in columns:
+        if c not in size:
+            out[c] = [None] * len(qs)
+            continue
+        vals = []
+        for q in qs:
+            pos = q * (size[c] - 1)
+            lo, hi, part = found[c, math.floor(pos)], found[c, math.ceil(pos)], pos - math.floor(pos)
+            vals.append(lo + (hi - lo) * part if part else lo)
+        out[c] = vals
+    return out
 
 
-def _narrow(long: DataFrame, open_t: dict, targets: dict, found: dict, buckets: int) -> None:
-    spark = long.sparkSession
-    # Distinct ranges to examine (several targets can share one).
-    ranges = sorted({(t[0], s[0], s[1]) for t, s in open_t.items()})
-    rdf = spark.createDataFrame(ranges, "feature string, lo double, hi double").withColumn(
-        "rid", F.monotonically_increasing_id())
-    rid_of = {(r["feature"], r["lo"], r["hi"]): r["rid"] for r in rdf.collect()}
-    j = long.join(F.broadcast(rdf), (long.feature == rdf.feature) & (long.v >= rdf.lo) & (long.v <= rdf.hi))
-    b = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets).cast("int"),
-                F.lit(buckets - 1))
-    stats = (j.groupBy("rid", b.alias("b"))
-             .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-             .collect())
-    per = {}
-    for r in stats:
-        per.setdefault(r["rid"], []).append((r["b"], r["cnt"], r["bmin"], r["bmax"]))
-    fetch = []
-    for t, (lo, hi, off) in open_t.items():
-        rows = sorted(per[rid_of[(t[0], lo, hi)]])
-        k = t[1] - off
-        acc = 0
-        for b_, cnt, bmin, bmax in rows:
-            if acc + cnt > k:
-                targets[t] = [bmin, bmax, off + acc]
-                if bmin == bmax:
-                    found[t] = bmin
-                elif cnt <= _FETCH:
-                    fetch.append(t)
-                break
-            acc += cnt
-    if fetch:
-        # Few values left in each range: fetch them (bounded by _FETCH each).
-        want = sorted({(t[0], targets[t][0], targets[t][1]) for t in fetch})
-        wdf = spark.createDataFrame(want, "feature string, lo double, hi double")
-        vals = (long.join(F.broadcast(wdf), (long.feature == wdf.feature) & (long.v >= wdf.lo) & (long.v <= wdf.hi))
-                .select(wdf.feature, wdf.lo, wdf.hi, long.v).collect())
-        got = {}
-        for r in vals:
-            got.setdefault((r[0], r[1], r[2]), []).append(r[3])
-        for t in fetch:
-            lo, hi, off = targets[t]
-            vs = sorted(got[(t[0], lo, hi)])
-            found[t] = vs[t[1] - off]
+def _inside(long: DataFrame, ranges: list) -> DataFrame:
+    """Rows of the given (rid, feature, lo, hi) ranges; as many ranges as open ranks at most."""
+    rdf = long.sparkSession.createDataFrame(ranges, "rid int, f string, lo double, hi double")
+    return long.join(F.broadcast(rdf), (F.col("feature") == F.col("f")) & (
+        (F.col("v") > F.col("lo")) | (F.col("lo") == -math.inf)) & ((F.col("v") < F.col("hi")) | (F.col("hi") == math.inf)))
 
 
-def exact_median(df: DataFrame, column: str):
-    return exact_quantiles(df, [column], (0.5,))[column][0]
+def _round(long: DataFrame, open_t: dict, state: dict, found: dict) -> None:
+    spots = sorted({(t[0], s[0], s[1]) for t, s in open_t.items()})
+    rid = {s: i for i, s in enumerate(spots)}
+    ranges = [(i, *s) for s, i in rid.items()]
+    marks = [i / STEPS for i in range(STEPS + 1)]
+    near = {r["rid"]: r["q"] for r in _inside(long, ranges).groupBy("rid").agg(
+        F.percentile_approx("v", marks, ACCURACY).alias("q")).collect()}
+    bounds = []
+    names = list(open_t)
+    for i, t in enumerate(names):
+        lo, hi, below, n = open_t[t]
+        at = (t[1] - below) / n * STEPS
+        q = near[rid[t[0], lo, hi]]
+        bounds.append((i, t[0], lo, hi, q[max(0, math.floor(at) - 1)], q[min(STEPS, math.ceil(at) + 1)]))
+    table = long.sparkSession.createDataFrame(bounds, "rid int, f string, lo double, hi double, a double, b double")
+    v, a, b = F.col("v"), F.col("a"), F.col("b")
+    counted = {r["rid"]: r for r in _inside(long, [x[:4] for x in bounds]).join(
+        F.broadcast(table.select("rid", "a", "b")), "rid").groupBy("rid").agg(
+            F.count(F.when(v < a, 1)).alias("lt_a"), F.count(F.when(v <= a, 1)).alias("le_a"),
+            F.count(F.when(v < b, 1)).alias("lt_b"), F.count(F.when(v <= b, 1)).alias("le_b")).collect()}
+    for i, t in enumerate(names):
+        below, n = open_t[t][2], open_t[t][3]
+        c, k, lo, hi = counted[i], t[1] - open_t[t][2], bounds[i][4], bounds[i][5]
+        if c["lt_a"] <= k < c["le_a"]:
+            found[t] = lo
+        elif c["lt_b"] <= k < c["le_b"]:
+            found[t] = hi
+        elif c["le_a"] <= k < c["lt_b"]:
+            state[t] = (lo, hi, below + c["le_a"], c["lt_b"] - c["le_a"])
+        else:                       # outside the sketch's bounds: keep the side that holds the rank
+            state[t] = (open_t[t][0], lo, below, c["lt_a"]) if k < c["lt_a"] else (
+                hi, open_t[t][1], below + c["le_b"], n - c["le_b"])
 
 
-__all__ = ["exact_quantiles", "exact_median", "col"]
+def exact_median(df: DataFrame, column: str):
+    return exact_quantiles(df, [column], (0.5,))[column][0]

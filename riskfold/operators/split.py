@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskfold.functions.exprs import col
+from riskfold.operators.ranges import value_bucket
+from riskfold.session import cut_lineage
 
 BUCKET_HEX = 3  # 4096 buckets per class
 
@@ -26,18 +28,23 @@ def ranked(df: DataFrame, by, order: F.Column, name: str = "rn", bucket_hex: int
     """``row_number() over (partition by by order by order)`` in two levels.
 
     ``order`` must be a hex digest string (its prefix is the bucket)."""
+    d = df.withColumn("_h", order)
+    return two_level_rank(d.withColumn("_b", F.substring("_h", 1, bucket_hex)), by, name).drop("_h")
+
+
+def two_level_rank(df: DataFrame, by, name: str) -> DataFrame:
+    """Rank by ``_h`` inside ``by``, given a bucket ``_b`` that is monotone in ``_h``."""
     by = list(by)
-    d = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, bucket_hex))
-    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     offs = counts.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(Window.partitionBy(*by).orderBy("_b")
                                                .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = Window.partitionBy(*by, "_b").orderBy("_h")
-    # The offset table has at most (classes x 16^bucket_hex) rows; AQE turns
+    # The offset table has at most (classes x buckets) rows; AQE turns
     # this join into a broadcast at runtime when it is small.
-    out = (d.join(offs.select(*by, "_b", "_off"), [*by, "_b"], "left")
+    out = (df.join(offs.select(*by, "_b", "_off"), [*by, "_b"], "left")
            .withColumn(name, (F.col("_off") + F.row_number().over(inner)).cast("long")))
-    return out.drop("_h", "_b", "_off")
+    return out.drop("_b", "_off")
 
 
 def class_counts(df: DataFrame, label: str, by=()) -> DataFrame:
@@ -94,9 +101,9 @@ def loo_folds(df: DataFrame, key: str = "row_id", max_rows: int | None = None) -
         n = df.count()
         if n > max_rows:
             raise ValueError(f"leave-one-out over {n} rows exceeds max_rows={max_rows}")
-    d = df.select(col(key).alias(key), F.lit(0).alias("_all"))
-    # Zero-padded hex of the key keeps key order, so the two-level rank applies.
-    r = ranked(d, ["_all"], F.lpad(F.hex(col(key).cast("long") + F.lit(2 ** 62)), 16, "0"))
+    # Buckets of nearly equal size between quantiles of the key, so that no task numbers more than one of them.
+    d = df.select(col(key).alias(key), col(key).alias("_h"), F.lit(0).alias("_all"))
+    r = two_level_rank(value_bucket(d, "_h", "_b"), ["_all"], "rn").drop("_h")
     return r.select(key, (F.col("rn") - 1).alias("fold"))
 
 
@@ -108,27 +115,19 @@ def nested_fold_plan(df: DataFrame, endpoints, seeds=(42,), n_outer: int = 5, n_
     k-fold over the outer training rows (inner is NULL for test rows)."""
     from riskfold.functions.exprs import unpivot
 
-    lab = unpivot(df, [key], list(endpoints), "endpoint", "y", cast="string").filter(F.col("y").isNotNull())
+    # Each rank reads its input twice (bucket counts, rows): checkpointed once, the cohort is scanned once.
+    lab = cut_lineage(unpivot(df, [key], list(endpoints), "endpoint", "y", cast="string").filter(F.col("y").isNotNull()))
     grid = F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.lit(int(o)).alias("outer_fold"))
                      for s in seeds for o in range(n_outer)])
     x = lab.withColumn("_g", F.explode(grid)).select("*", "_g.seed", "_g.outer_fold").drop("_g")
-    outer = ranked(x, ["endpoint", "seed", "outer_fold", "y"],
-                   F.md5(F.concat_ws("|", col(key).cast("string"), F.col("seed").cast("string"),
-                                     F.col("outer_fold").cast("string"))), "orn")
+    salt = [col(key).cast("string"), F.col("seed").cast("string"), F.col("outer_fold").cast("string")]
+    outer = ranked(x, ["endpoint", "seed", "outer_fold", "y"], F.md5(F.concat_ws("|", *salt)), "orn")
     cnt = lab.groupBy("endpoint", "y").agg(F.count(F.lit(1)).alias("_n"))
-    o = (outer.join(cnt, ["endpoint", "y"])
-         .withColumn("role", F.when(F.col("orn") <= F.round(F.lit(test_fraction) * F.col("_n")), "test")
-                     .otherwise("train"))
-         .drop("_n", "orn"))
-    tr = o.filter(F.col("role") == "train")
-    inner = ranked(tr, ["endpoint", "seed", "outer_fold", "y"],
-                   F.md5(F.concat_ws("|", col(key).cast("string"), F.col("seed").cast("string"),
-                                     F.col("outer_fold").cast("string"), F.lit("inner"))), "irn")
-    tr = inner.select(key, "endpoint", "seed", "outer_fold", "y", "role",
-                      ((F.col("irn") - 1) % n_inner).cast("int").alias("inner_fold"))
-    te = o.filter(F.col("role") == "test").select(key, "endpoint", "seed", "outer_fold", "y", "role",
-                                                   F.lit(None).cast("int").alias("inner_fold"))
-    return tr.unionByName(te)
+    role = F.when(F.col("orn") <= F.round(F.lit(test_fraction) * F.col("_n")), "test").otherwise("train")
+    o = cut_lineage(outer.join(cnt, ["endpoint", "y"]).withColumn("role", role).drop("_n", "orn"))
+    inner = ranked(o, ["endpoint", "seed", "outer_fold", "y", "role"], F.md5(F.concat_ws("|", *salt, F.lit("inner"))), "irn")
+    return inner.select(key, "endpoint", "seed", "outer_fold", "y", "role", F.when(
+        F.col("role") == "train", ((F.col("irn") - 1) % n_inner).cast("int")).alias("inner_fold"))
 
 
 def split_sizes(plan: DataFrame, by=("endpoint", "seed", "outer_fold")) -> DataFrame:

@@ -12,11 +12,13 @@ import warnings
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.ml.feature import FeatureHasher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.functions.exprs import col
+from riskfold.functions.exprs import add_all, col
 from riskfold.operators.quantiles import exact_quantiles
+from riskfold.session import cut_lineage
 
 CATEGORY_FILL = "0"  # fixed value: a missing category becomes its own level "0"
 
@@ -34,23 +36,33 @@ def fill_category(df: DataFrame, columns) -> DataFrame:
 def fit_vocabulary(df: DataFrame, columns, max_levels: int = 10000) -> dict:
     """Sorted distinct levels per categorical column (after the fill).
 
-    One distinct aggregation over ``(column, level)``; the level count is
-    checked before anything reaches the driver."""
+    One distinct aggregation over ``(column, level)``; levels are counted per
+    column before anything reaches the driver.  A column with more than
+    ``max_levels`` levels has no vocabulary: its entry is ``None``, and
+    :func:`wide_encode` turns it into one hashed vector column instead of
+    thousands of dummies."""
     columns = list(columns)
     if not columns:
         return {}
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"),
                                          F.coalesce(col(c).cast("string"), F.lit(CATEGORY_FILL)).alias("v"))
                                 for c in columns]))
-    levels = df.select(pairs.alias("p")).select("p.k", "p.v").distinct()
-    n = levels.count()
-    if n > max_levels:
-        raise ValueError(f"{n} categorical levels exceed max_levels={max_levels}; "
-                         "encode such columns as vectors (StringIndexer + OneHotEncoder)")
-    vocab = {c: [] for c in columns}
-    for r in levels.collect():
+    levels = cut_lineage(df.select(pairs.alias("p")).select("p.k", "p.v").distinct())
+    n = {r["k"]: r["n"] for r in levels.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    narrow = [c for c in columns if n.get(c, 0) <= max_levels]
+    vocab = {c: ([] if c in narrow else None) for c in columns}
+    for r in levels.filter(F.col("k").isin(narrow)).collect():
         vocab[r["k"]].append(r["v"])
-    return {c: sorted(v) for c, v in vocab.items()}
+    return {c: v if v is None else sorted(v) for c, v in vocab.items()}
+
+
+def wide_encode(df: DataFrame, columns, size: int = 1 << 18) -> DataFrame:
+    """T2 for columns without a vocabulary: each becomes the sparse vector
+    ``<col>_hashed`` of fixed width (two levels may share a slot)."""
+    for c in columns:
+        filled = df.withColumn("_level", F.coalesce(col(c).cast("string"), F.lit(CATEGORY_FILL)))
+        df = FeatureHasher(inputCols=["_level"], outputCol=f"{c}_hashed", numFeatures=size).transform(filled).drop("_level", c)
+    return df
 
 
 def one_hot_exprs(vocab: dict) -> list:
@@ -63,9 +75,11 @@ def one_hot_exprs(vocab: dict) -> list:
 
 
 def one_hot(df: DataFrame, vocab: dict) -> DataFrame:
-    """Replace the categorical columns by their dummies, appended at the end."""
-    keep = [col(c) for c in df.columns if c not in vocab]
-    return df.select(*keep, *one_hot_exprs(vocab))
+    """Replace the categorical columns by their dummies (or hashed vectors), appended at the end."""
+    narrow = {c: v for c, v in vocab.items() if v is not None}
+    wide = [c for c in vocab if c not in narrow]
+    keep = [col(c) for c in df.columns if c not in narrow]
+    return wide_encode(df.select(*keep, *one_hot_exprs(narrow)), wide)
 
 
 # -- T3 / T4 -------------------------------------------------------------------
@@ -224,18 +238,41 @@ class Prepared:
     knn_donors: DataFrame | None = None
     knn_k: int = 5
     iterative_models: list | None = None
+    min_non_null: int = 0             # P5: present cells a row needs over row_columns
+    row_columns: tuple = ()
+    imputed: DataFrame | None = None  # training rows after imputation, before scaling
 
     @property
     def features(self) -> list:
-        dummies = [f"{c}_{lv}" for c, lvs in self.vocab.items() for lv in lvs]
+        dummies = [x for c, lvs in self.vocab.items() for x in ([f"{c}_hashed"] if lvs is None else [f"{c}_{lv}" for lv in lvs])]
         nums = [c for c in self.numeric if self.impute.get(c, 0.0) is not None]
         return list(self.binary) + dummies + nums
 
+    def keep_rows(self, df: DataFrame) -> DataFrame:
+        """P5 with the threshold of the fit; a column that ``df`` lacks counts as missing."""
+        if not self.min_non_null:
+            return df
+        present = add_all(col(c).isNotNull().cast("int") for c in self.row_columns if c in df.columns)
+        return df.filter(present >= F.lit(self.min_non_null))
+
     def transform(self, df: DataFrame, keep_endpoints: bool = True) -> DataFrame:
+        return self._scaled(self._filled(df, keep_endpoints))
+
+    def fitted_rows(self) -> DataFrame:
+        """The transformed training rows, from the imputation that the fit has already done."""
+        return self._scaled(self.imputed)
+
+    def _scaled(self, base: DataFrame) -> DataFrame:
+        return apply_columns(base, scale_exprs(self.scale)) if self.scale else base
+
+    def _filled(self, df: DataFrame, keep_endpoints: bool = True) -> DataFrame:
         nums = [c for c in self.numeric if self.impute.get(c, 0.0) is not None]
-        base = df.select(col(self.key), *binary_exprs(self.binary), *one_hot_exprs(self.vocab),
-                         *[col(c).cast("double").alias(c) for c in nums],
-                         *([col(e) for e in self.endpoints] if keep_endpoints else []))
+        wide = [c for c, v in self.vocab.items() if v is None]
+        base = self.keep_rows(df).select(
+            col(self.key), *binary_exprs(self.binary), *one_hot_exprs({c: v for c, v in self.vocab.items() if v is not None}),
+            *[col(c) for c in wide], *[col(c).cast("double").alias(c) for c in nums],
+            *([col(e) for e in self.endpoints] if keep_endpoints else []))
+        base = wide_encode(base, wide)
         if self.knn_donors is not None:
             from riskfold.operators.knn import knn_impute
             base = knn_impute(base, nums, k=self.knn_k, key=self.key, donors=self.knn_donors,
@@ -245,8 +282,6 @@ class Prepared:
             base = apply_iterative(base, nums, self.iterative_models, self.impute)
         elif self.impute:
             base = apply_columns(base, impute_exprs({c: self.impute[c] for c in nums}))
-        if self.scale:
-            base = apply_columns(base, scale_exprs(self.scale))
         return base
 
 
@@ -266,7 +301,9 @@ def prepare(df: DataFrame, catalog, cfg: PrepConfig | None = None, key: str = "r
     # Fitting makes several aggregate passes over the same rows.
     cached = df = df.persist(StorageLevel.MEMORY_AND_DISK)
     dropped: dict = {}
+    row_columns, need = tuple(c for c in df.columns if c != key), 0
     if cfg.drop_missing_value > 0:
+        need = FL.min_non_null(len(row_columns), cfg.drop_missing_value)
         df = FL.drop_sparse_rows(df, cfg.drop_missing_value, key)
     if cfg.missing_threshold is not None or cfg.drop_single_unique:
         stats = FL.column_stats(df, feats).collect()
@@ -286,7 +323,7 @@ def prepare(df: DataFrame, catalog, cfg: PrepConfig | None = None, key: str = "r
     vocab = fit_vocabulary(df, cats)
     binary = fit_binary(df, bins)
     prep = Prepared(key=key, binary=binary, vocab=vocab, numeric=nums, impute={}, scale={},
-                    endpoints=ends, dropped=dropped, knn_k=cfg.knn_k)
+                    endpoints=ends, dropped=dropped, knn_k=cfg.knn_k, min_non_null=need, row_columns=row_columns)
     raw = df.select(col(key), *[col(c).cast("double").alias(c) for c in nums])
     if cfg.imputer in ("mean", "median"):
         prep.impute = fit_impute(raw, nums, cfg.imputer)
@@ -300,10 +337,10 @@ def prepare(df: DataFrame, catalog, cfg: PrepConfig | None = None, key: str = "r
         prep.iterative_models = fit_iterative(raw, nums, prep.impute, cfg.iterative_rounds)
     elif cfg.imputer is not None:
         raise ValueError(f"Imputer type {cfg.imputer} not supported")
+    # The imputation runs once: the scale is fitted on its materialised result, and fitted_rows() reads it again.
+    prep.imputed = cut_lineage(prep._filled(df))
     if cfg.normaliser not in (None, "none"):
         nums_kept = [c for c in nums if prep.impute.get(c, 0.0) is not None]
-        prep.scale = {}
-        imputed = prep.transform(df, keep_endpoints=False)
-        prep.scale = fit_scale(imputed, nums_kept, cfg.normaliser)
+        prep.scale = fit_scale(prep.imputed, nums_kept, cfg.normaliser)
     cached.unpersist()  # fitting is done; later transforms recompute from the source
     return prep

@@ -16,7 +16,7 @@ def prepared_orders(spark: SparkSession, sf_dir: str, imputer: str = "knn", norm
     cfg = PrepConfig(imputer=imputer, normaliser=normaliser, missing_threshold=0.5, drop_single_unique=True,
                      correlation_threshold=0.95)
     prep = prepare(oc, ORDER_CATALOG, cfg)
-    return prep.transform(oc), prep.features
+    return prep.fitted_rows(), prep.features
 
 
 FLAGSHIP = EvalConfig(models=("dummy", "logistic", "forest"), seeds=(42,), n_outer=2, n_inner=3,

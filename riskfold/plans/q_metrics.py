@@ -84,6 +84,12 @@ def _st(spark, sf):
     return score_table(spark, sf)
 
 
+def _mean_roc(spark, sf):
+    st = _st(spark, sf)
+    cum = CV.curve_table(st, K)
+    return CV.mean_roc(CV.roc_grid(st, K, cum=cum), CV.roc_auc(st, K, cum=cum), K2)
+
+
 @query("classification_metrics", ST + "," + _fmt(_CM, K) + "\nSELECT * FROM mets",
        list(ME.METRICS), "C1")
 def q_cls_metrics(spark, sf):
@@ -140,8 +146,7 @@ mr AS (SELECT m.{K[0]}, m.{K[1]}, g, fpr, mean_tpr, std_tpr, greatest(mean_tpr -
 @query("mean_roc", _MEAN_ROC + "\nSELECT * FROM mr",
        ["fpr", "mean_tpr", "std_tpr", "lower", "upper", "mean_auc", "std_auc"], "C4")
 def q_mean_roc(spark, sf):
-    st = _st(spark, sf)
-    return CV.mean_roc(CV.roc_grid(st, K), CV.roc_auc(st, K), K2)
+    return _mean_roc(spark, sf)
 
 
 @query("summary_curves", _MEAN_ROC + f"""
@@ -149,9 +154,7 @@ SELECT endpoint, model, g, fpr, mean_tpr, mean_auc,
        CASE model WHEN 'lines' THEN 'Line count' WHEN 'qty' THEN 'Quantity' ELSE model END AS label
 FROM mr WHERE model <> 'dummy'""", ["fpr", "mean_tpr", "mean_auc"], "C11")
 def q_summary_curves(spark, sf):
-    st = _st(spark, sf)
-    mr = CV.mean_roc(CV.roc_grid(st, K), CV.roc_auc(st, K), K2)
-    return RP.summary_curves(mr, {"lines": "Line count", "qty": "Quantity"})
+    return RP.summary_curves(_mean_roc(spark, sf), {"lines": "Line count", "qty": "Quantity"})
 
 
 @query("pr_points", ST + "," + _fmt(_CUM, K) + f"""

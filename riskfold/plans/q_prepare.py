@@ -5,18 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskfold.functions.exprs import col
 from riskfold.operators import columns as C
 from riskfold.operators import filters as FL
 from riskfold.operators import transforms as TR
 from riskfold.operators.knn import knn_impute
-from riskfold.operators.quantiles import exact_quantiles
 from riskfold.plans.oracle import ORDER_COHORT, TEXT_COHORT, with_
 from riskfold.plans.registry import query
 from riskfold.sources.cohorts import ORDER_CATALOG, order_cohort, order_split, text_cohort
 
 OC = with_(ORDER_COHORT)
 NUMS = ["total", "acctbal", "lines", "qty", "price", "disc", "constant", "total_x2"]
+PREP_NUMS = ["total", "acctbal", "lines", "qty", "price"]
 KNN_NUMS = ["total", "acctbal", "lines", "qty", "price", "constant", "total_x2"]
 FEATS = ORDER_CATALOG.all_features()
 ALL_COLS = FEATS + ORDER_CATALOG.all_endpoints()
@@ -132,9 +131,9 @@ def q_correlation_matrix(spark, sf):
     return FL.correlation_pairs(order_cohort(spark, sf), NUMS)
 
 
-@query("correlation_gram", OC + "\n" + _corr_sql(NUMS), ["corr"], "A5 (wide-table Gram blocks)")
+@query("correlation_gram", OC + "\n" + _corr_sql(PREP_NUMS), ["corr"], "A5 (features of the preparation)")
 def q_correlation_gram(spark, sf):
-    return FL.correlation_pairs(order_cohort(spark, sf), NUMS, method="gram")
+    return FL.correlation_pairs(order_cohort(spark, sf), PREP_NUMS)
 
 
 @query("collinear_pairs", OC + ", c AS (\n" + _corr_sql(NUMS) + ")\n"
@@ -268,7 +267,7 @@ def q_impute_knn(spark, sf):
 
 # -- T11 -----------------------------------------------------------------------------------
 
-_PREP_NUMS = ["total", "acctbal", "lines", "qty", "price"]
+_PREP_NUMS = PREP_NUMS
 
 
 def _prepare_sql():
@@ -291,6 +290,24 @@ def q_prepare_full(spark, sf):
     return prep.transform(oc)
 
 
+_SPARSE_PCT = 10.0
+
+
+def _prepare_sparse_sql():
+    """P5 first: rows with fewer present cells than int((100 - pct) / 100 * columns + 1) go, then the fit."""
+    present = " + ".join(f"CAST({_q(c)} IS NOT NULL AS INTEGER)" for c in ALL_COLS)
+    need = int((100 - _SPARSE_PCT) / 100 * len(ALL_COLS) + 1)
+    return _prepare_sql().replace("FROM oc)\nSELECT", f"FROM oc WHERE {present} >= {need})\nSELECT")
+
+
+@query("prepare_sparse", _prepare_sparse_sql(), ["half"] + DUMMIES + _PREP_NUMS, "T11 with P5 (rows and columns)")
+def q_prepare_sparse(spark, sf):
+    oc = order_cohort(spark, sf)
+    cfg = TR.PrepConfig(imputer="mean", normaliser="standard", drop_missing_value=_SPARSE_PCT, missing_threshold=0.5,
+                        drop_single_unique=True, correlation_threshold=0.95)
+    return TR.prepare(oc, ORDER_CATALOG, cfg).transform(oc)
+
+
 # -- J1 / J3 / A1 -------------------------------------------------------------------------
 
 @query("outer_join_blocks", OC + "\nSELECT row_id, half, total, acctbal FROM oc", ["total", "acctbal"], "J1")
@@ -326,5 +343,3 @@ def q_describe(spark, sf):
     from riskfold.operators.stats import describe
     return describe(order_cohort(spark, sf), ["lines", "qty", "price"])
 
-
-_ = (F, col, exact_quantiles)

@@ -18,8 +18,9 @@ def fold_metrics(pred: DataFrame, keys, y="y", score="score", p="pred") -> DataF
     """All metrics of every key: confusion counts, C1 metrics, ROC AUC, AP, PR AUC."""
     keys = list(keys)
     cm = ME.classification_metrics(pred, keys, y, p)
-    auc = CV.roc_auc(pred, keys, y, score)
-    prs = CV.pr_summary(pred, keys, y, score).select(*keys, "avg_precision", "prc_auc")
+    cum = CV.curve_table(pred, keys, y, score)
+    auc = CV.roc_auc(pred, keys, y, score, cum)
+    prs = CV.pr_summary(pred, keys, y, score, cum).select(*keys, "avg_precision", "prc_auc")
     return cm.join(auc, keys).join(prs, keys)
 
 
