@@ -3,7 +3,8 @@
 Discrete AdaBoost: each round fits a shallow weighted tree, computes its
 weighted error in one aggregate, and updates the row weights as a column
 ``w * exp(-alpha * y * h(x))``.  The weight column's lineage grows by one
-model per round, so it is cut with a reliable checkpoint every few rounds.
+model per round, so the weighted rows are checkpointed after each round: the
+next fit and its error read them once.
 The score is ``1 / (1 + exp(-2 F(x)))`` with ``F = sum(alpha_m h_m(x))``.
 """
 
@@ -35,7 +36,7 @@ class ExpBoost:
 
 
 def fit_exp_boost(train: DataFrame, n_rounds: int = 50, max_depth: int = 3, learning_rate: float = 1.0,
-                  label: str = "y", features: str = "features", checkpoint_every: int = 5, seed: int = 42) -> ExpBoost:
+                  label: str = "y", features: str = "features", seed: int = 42) -> ExpBoost:
     """Fit ``n_rounds`` weighted trees on ``train`` (0/1 label, assembled features)."""
     ys = 2 * F.col(label).cast("double") - 1
     cur = train.select(features, F.col(label).cast("double").alias(label), F.lit(1.0).alias("_w"))
@@ -44,7 +45,7 @@ def fit_exp_boost(train: DataFrame, n_rounds: int = 50, max_depth: int = 3, lear
         tree = DecisionTreeClassifier(featuresCol=features, labelCol=label, weightCol="_w", maxDepth=max_depth,
                                       seed=seed + r, predictionCol="_h", rawPredictionCol="_raw",
                                       probabilityCol="_prob").fit(cur)
-        pred = tree.transform(cur)
+        pred = tree.transform(cur).select(features, label, "_w", "_h")
         h = 2 * F.col("_h") - 1
         agg = pred.agg(F.sum(F.when(h != ys, F.col("_w")).otherwise(0.0)).alias("e"), F.sum("_w").alias("t")).first()
         err = min(max((agg["e"] or 0.0) / agg["t"], 1e-10), 1 - 1e-10)
@@ -54,6 +55,5 @@ def fit_exp_boost(train: DataFrame, n_rounds: int = 50, max_depth: int = 3, lear
         stages.append((tree, alpha))
         cur = pred.select(features, label, (F.col("_w") * F.exp(-F.lit(alpha) * ys * h) / F.lit(agg["t"]))
                           .alias("_w"))
-        if (r + 1) % checkpoint_every == 0:
-            cur = cut_lineage(cur)
+        cur = cut_lineage(cur)
     return ExpBoost(stages)

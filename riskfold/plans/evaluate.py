@@ -10,22 +10,28 @@ loss); all metrics and curves are then computed by key in single queries.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.functions import curves as CV
 from riskfold.functions.exprs import col
 from riskfold.operators import balance as BA
-from riskfold.operators.split import nested_fold_plan
+from riskfold.operators.split import holdout_split, nested_fold_plan
+from riskfold.plans import explain as EX
 from riskfold.plans import models as MO
 from riskfold.plans import report as RP
+from riskfold.plans import selection as SE
 from riskfold.session import cut_lineage, ensure_checkpoint_dir
 
+LOG = logging.getLogger(__name__)
+
 
 @dataclass
 class EvalConfig:
@@ -36,10 +42,14 @@ class EvalConfig:
     test_fraction: float = 0.2
     search: str = "none"            # none | grid | random
     n_iter: int = 10
+    scorer: str = "average_precision"   # average_precision | roc_auc
+    selection: str | None = None    # None | importance (boosted importance >= its mean) | rfecv
+    attribution: bool = False       # attributions of the test rows (linear, tree and forest models)
     balancing: str | None = "class_weight"   # None | class_weight | random_oversampling | SMOTE | ADASYN
     calibrate: bool = True
     threshold_on: str = "train"     # train (calibration rows) | test (as the original workflow)
-    parallelism: int = 4
+    parallelism: int = 4            # concurrent tasks
+    concurrent_fits: int = 6        # concurrent fits over all tasks
     overrides: dict = field(default_factory=dict)   # family -> default params when search is none
 
 
@@ -49,6 +59,7 @@ class Results:
     test: DataFrame          # (endpoint, seed, model, outer_fold, row_id, y, score, raw_score, pred)
     params: DataFrame        # (endpoint, seed, model, outer_fold, params, threshold, search_score)
     importances: DataFrame   # (endpoint, seed, model, outer_fold, feature, importance)
+    attributions: DataFrame | None = None   # (endpoint, seed, model, outer_fold, row_id, feature, phi)
 
     def validation_metrics(self) -> DataFrame:
         return RP.fold_metrics(self.validation, ["endpoint", "seed", "model", "outer_fold", "inner_fold"])
@@ -63,6 +74,21 @@ class Results:
     def test_curves(self) -> DataFrame:
         return CV.roc_grid(self.test, ["endpoint", "seed", "model", "outer_fold"])
 
+    def pooled_pr(self) -> DataFrame:
+        """C7 over the test rows of all outer splits."""
+        return CV.pr_summary(self.test, ["endpoint", "seed", "model"])
+
+    def calibration_curves(self) -> DataFrame:
+        """C9 of the test rows before (``raw``) and after (``calibrated``) calibration."""
+        keys = ["endpoint", "seed", "model", "outer_fold"]
+        probability = self.test.filter("raw_score BETWEEN 0 AND 1")
+        return CV.calibration_curve(probability, keys, score="raw_score").withColumn("stage", F.lit("raw")).unionByName(
+            CV.calibration_curve(self.test, keys).withColumn("stage", F.lit("calibrated")))
+
+    def attribution_summary(self, top: int = 40) -> DataFrame:
+        """A7 over the attributions pooled over folds."""
+        return EX.attribution_summary(self.attributions, ["endpoint", "seed", "model"], top)
+
 
 def _write(df: DataFrame, root: str, name: str) -> str:
     path = f"{root}/{name}/{uuid.uuid4().hex}"
@@ -97,11 +123,40 @@ def _balance(train: DataFrame, features, cfg: EvalConfig, seed: int):
     raise ValueError(f"Unknown balancing option {b}")
 
 
-def _average_precision(scored: DataFrame) -> float:
+def _scored(scored: DataFrame, scorer: str) -> float:
+    if scorer == "roc_auc":
+        r = CV.roc_auc(scored, []).first()
+        return float(r["roc_auc"] or 0.0) if r else 0.0
     r = CV.pr_summary(scored, []).first()
     return float(r["avg_precision"] or 0.0) if r else 0.0
 
 
+def _select(train: DataFrame, features, cfg: EvalConfig, seed: int) -> list:
+    """P12 / P13 on the training rows of an outer split."""
+    if cfg.selection is None:
+        return list(features)
+    if cfg.selection == "importance":
+        marked = train.join(holdout_split(train, 0.15, seed).select("row_id", F.col("role").alias("_r")), "row_id")
+        imp = SE.gbm_importance(marked.drop("role").withColumnRenamed("_r", "role"), features, n_iterations=1)
+        kept = {r["feature"] for r in SE.select_from_model(imp).collect()}
+    else:
+        best = SE.rfecv(train, features, cv=cfg.n_inner).filter("selected").first()["features"]
+        kept = set(best.split(","))
+    return [f for f in features if f in kept]
+
+
+def _attributions(fitted, train: DataFrame, test: DataFrame, features, root: str):
+    """X1 / X2 of the test rows, or None for families without a closed form."""
+    family = fitted.spec.family
+    if family in ("logistic", "svm"):
+        means = train.agg(*[F.avg(col(f)).alias(f) for f in features]).first().asDict()
+        return EX.linear_attribution(test, dict(MO.importances(fitted, features)), means).select("row_id", "feature", "phi")
+    if family in ("tree", "forest") and fitted.spec.p["criterion"] == "gini":
+        nodes = MO.tree_nodes(train.sparkSession, fitted, f"{root}/trees/{uuid.uuid4().hex}").toPandas()  # bounded by trees x 2^depth
+        return EX.tree_shap(test, features, EX.ensemble_arrays(nodes))
+    return None
+
+
 def _task(spark: SparkSession, data: DataFrame, plan: DataFrame, features, key, cfg: EvalConfig, root: str):
     endpoint, seed, outer, family = key
     rows = plan.filter((F.col("endpoint") == endpoint) & (F.col("seed") == seed) & (F.col("outer_fold") == outer))
@@ -117,39 +172,44 @@ def _task_body(rows, features, key, cfg: EvalConfig, root: str):
     endpoint, seed, outer, family = key
     train = rows.filter(F.col("role") == "train")
     test = rows.filter(F.col("role") == "test")
+    features = _select(train, features, cfg, seed)
     d = len(features)
+    # the perceptron takes no weights: its minority rows are repeated instead
+    balance = replace(cfg, balancing="random_oversampling") if family == "mlp" and cfg.balancing == "class_weight" else cfg
 
     def fit_on(part, spec):
-        fit_rows, w = _balance(part, features, cfg, seed)
+        fit_rows, w = _balance(part, features, balance, seed)
         fit_rows = MO.assemble(fit_rows, features)
         return MO.fit(spec, fit_rows, d, weight=w, seed=seed)
 
     def score(fitted, part):
         return fitted.score(MO.assemble(part, features))
 
-    # M8: search over candidates on the inner folds (failed fit scores 0).
+    # M8: search over candidates on the inner folds.
     cands = _candidates(family, cfg, seed)
     best, best_score = cands[0], None
     # Inner folds fit concurrently while the total number of concurrent fits
     # (tasks x inner folds) stays near the core budget of the driver pool.
-    inner_pool = ThreadPoolExecutor(max_workers=max(1, min(cfg.n_inner, 6 // max(1, cfg.parallelism))))
+    inner_pool = ThreadPoolExecutor(max_workers=max(1, min(cfg.n_inner, cfg.concurrent_fits // max(1, cfg.parallelism))))
     try:
         if len(cands) > 1:
             def cv_score(spec):
                 def one(f):
                     fitted = fit_on(train.filter(F.col("inner_fold") != f), spec)
-                    return _average_precision(score(fitted, train.filter(F.col("inner_fold") == f)))
+                    return _scored(score(fitted, train.filter(F.col("inner_fold") == f)), cfg.scorer)
                 try:
-                    aps = list(inner_pool.map(one, range(cfg.n_inner)))
-                    return sum(aps) / len(aps)
-                except Exception:  # noqa: BLE001 - error_score = 0
+                    scores = list(inner_pool.map(one, range(cfg.n_inner)))
+                    return sum(scores) / len(scores)
+                except (IllegalArgumentException, ValueError, ArithmeticError) as e:
+                    # a candidate that cannot be fitted scores 0; failures of the cluster are raised
+                    LOG.warning("candidate %s scores 0: %s", spec.describe(), e)
                     return 0.0
             for spec in cands:
                 s = cv_score(spec)
                 if best_score is None or s > best_score:
                     best, best_score = spec, s
 
-        # M9: validation predictions of the chosen candidate, per inner fold, at 0.5.
+        # M9: validation predictions of the chosen candidate, per inner fold, at the family's own cut.
         def val_fold(f):
             fitted = fit_on(train.filter(F.col("inner_fold") != f), best)
             v = score(fitted, train.filter(F.col("inner_fold") == f))
@@ -163,29 +223,33 @@ def _task_body(rows, features, key, cfg: EvalConfig, root: str):
         val = val.unionByName(v)
     val = val.select(F.lit(endpoint).alias("endpoint"), F.lit(seed).alias("seed"), F.lit(family).alias("model"),
                      F.lit(outer).alias("outer_fold"), "inner_fold", "row_id", "y", "score",
-                     (F.col("score") >= 0.5).cast("int").alias("pred"))
+                     (F.col("score") >= best.cut).cast("int").alias("pred"))
     val_path = _write(val, root, "validation")
     # Refit on all training rows, calibrate, choose the threshold, test.
     fitted = fit_on(train, best)
     tr_v, te_v = MO.assemble(train, features), MO.assemble(test, features)
-    te = fitted.score(te_v).withColumnRenamed("score", "raw_score")
+    te = fitted.score_margin(te_v).withColumnRenamed("score", "raw_score")
     if cfg.calibrate and family != "dummy":
         tr_m = fitted.margin(tr_v)
         a, b = MO.platt_fit(tr_m)
-        te = MO.platt_apply(fitted.margin(te_v).join(te.select("row_id", "raw_score"), "row_id"), a, b)
-        tr_cal = MO.platt_apply(tr_m, a, b)
+        te, tr_cal = MO.platt_apply(te, a, b), MO.platt_apply(tr_m, a, b)
     else:
-        te = te.withColumn("score", F.col("raw_score"))
-        tr_cal = fitted.score(tr_v)
-    basis = te if cfg.threshold_on == "test" else tr_cal
-    thr_row = CV.best_threshold(CV.threshold_sweep(basis.select("y", "score"), []), []).first()
-    thr = float(thr_row["threshold"]) if thr_row else 0.5
+        te, tr_cal = te.withColumn("score", F.col("raw_score")), fitted.score(tr_v)
+    thr = best.cut
+    if cfg.calibrate or family != "svm":  # the sweep covers probabilities; decision values keep their cut
+        basis = te if cfg.threshold_on == "test" else tr_cal
+        thr_row = CV.best_threshold(CV.threshold_sweep(basis.select("y", "score"), []), []).first()
+        thr = float(thr_row["threshold"]) if thr_row else thr
     test_out = te.select(F.lit(endpoint).alias("endpoint"), F.lit(seed).alias("seed"), F.lit(family).alias("model"),
                          F.lit(outer).alias("outer_fold"), "row_id", "y", "score", "raw_score",
                          (F.col("score") >= F.lit(thr)).cast("int").alias("pred"))
     test_path = _write(test_out, root, "test")
     imps = MO.importances(fitted, features)
-    return {"key": key, "val": val_path, "test": test_path, "params": best.describe(), "threshold": thr,
+    phi = _attributions(fitted, train, test, features, root) if cfg.attribution else None
+    if phi is not None:
+        phi = _write(phi.select(F.lit(endpoint).alias("endpoint"), F.lit(seed).alias("seed"), F.lit(family).alias("model"),
+                                F.lit(outer).alias("outer_fold"), "row_id", "feature", "phi"), root, "attributions")
+    return {"key": key, "phi": phi, "val": val_path, "test": test_path, "params": best.describe(), "threshold": thr,
             "search_score": best_score, "importances": imps}
 
 
@@ -219,6 +283,10 @@ def evaluate(df: DataFrame, features, endpoints, cfg: EvalConfig | None = None,
     ``df``), models are validated on inner folds of all of ``df`` and tested on
     the external cohort (one outer split)."""
     cfg = cfg or EvalConfig()
+    for name, value, known in (("search", cfg.search, ("none", "grid", "random")), ("scorer", cfg.scorer, ("average_precision", "roc_auc")),
+                               ("selection", cfg.selection, (None, "importance", "rfecv"))):
+        if value not in known:
+            raise ValueError(f"no {name} named {value!r}; there are {known}")
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/eval-{uuid.uuid4().hex}"
     features = list(features)
@@ -246,4 +314,7 @@ def evaluate(df: DataFrame, features, endpoints, cfg: EvalConfig | None = None,
     imp_rows = [(o["key"][0], o["key"][1], o["key"][3], o["key"][2], f, v) for o in outs for f, v in o["importances"]]
     imps = spark.createDataFrame(imp_rows, "endpoint string, seed int, model string, outer_fold int, "
                                            "feature string, importance double")
-    return Results(val, test, params, imps)
+    phis = [o["phi"] for o in outs if o["phi"]]
+    phi = spark.read.parquet(*phis) if phis else spark.createDataFrame(
+        [], "endpoint string, seed int, model string, outer_fold int, row_id long, feature string, phi double")
+    return Results(val, test, params, imps, phi)

@@ -1,9 +1,9 @@
 """Feature attributions.
 
 * linear: ``phi_j = coef_j * (x_j - mean_j)`` as one projection + unpivot;
-* tree ensembles: path-dependent TreeSHAP (Lundberg, Erion & Lee, 2018,
-  polynomial-time algorithm) inside ``mapInPandas``; the node arrays of the
-  ensemble are small and shipped with the function, rows stay partitioned;
+* tree ensembles: path-dependent tree Shapley values leaf by leaf, for all rows
+  of a batch at once, inside ``mapInPandas``; the node arrays of the ensemble
+  are small and shipped with the function, rows stay partitioned;
 * any other model: sampled-permutation Shapley values built as Spark rows
   (row x permutation x prefix length → mixed rows, one ``transform``,
   successive differences with ``lag``, averaged per feature).
@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskfold.functions.exprs import col
+from riskfold.operators.split import ranked
+from riskfold.session import cut_lineage, ship_package
 
 
 # -- X1 / X4 / A7 -----------------------------------------------------------------
@@ -68,78 +72,61 @@ def ensemble_arrays(nodes_pdf: pd.DataFrame) -> list[dict]:
     return trees
 
 
-def _tree_shap(x, t, phi):
-    """Path-dependent TreeSHAP for one tree and one row (adds into ``phi``)."""
-    left, right, feat, thr, cover, value = t["left"], t["right"], t["feat"], t["thr"], t["cover"], t["value"]
-    depth = 64
-    size = (depth + 2) * (depth + 3) // 2
-    fi = np.zeros(size, dtype=np.int64)
-    zf = np.zeros(size)
-    of = np.zeros(size)
-    pw = np.zeros(size)
-
-    def extend(off, ud, z, o, f):
-        fi[off + ud], zf[off + ud], of[off + ud] = f, z, o
-        pw[off + ud] = 1.0 if ud == 0 else 0.0
-        for i in range(ud - 1, -1, -1):
-            pw[off + i + 1] += o * pw[off + i] * (i + 1) / (ud + 1)
-            pw[off + i] = z * pw[off + i] * (ud - i) / (ud + 1)
-
-    def unwind(off, ud, k):
-        o, z = of[off + k], zf[off + k]
-        nxt = pw[off + ud]
-        for i in range(ud - 1, -1, -1):
-            if o != 0:
-                tmp = pw[off + i]
-                pw[off + i] = nxt * (ud + 1) / ((i + 1) * o)
-                nxt = tmp - pw[off + i] * z * (ud - i) / (ud + 1)
-            else:
-                pw[off + i] = pw[off + i] * (ud + 1) / (z * (ud - i))
-        for i in range(k, ud):
-            fi[off + i], zf[off + i], of[off + i] = fi[off + i + 1], zf[off + i + 1], of[off + i + 1]
-
-    def unwound_sum(off, ud, k):
-        o, z = of[off + k], zf[off + k]
-        nxt = pw[off + ud]
-        total = 0.0
-        for i in range(ud - 1, -1, -1):
-            if o != 0:
-                tmp = nxt * (ud + 1) / ((i + 1) * o)
-                total += tmp
-                nxt = pw[off + i] - tmp * z * ((ud - i) / (ud + 1))
-            else:
-                total += (pw[off + i] / z) / ((ud - i) / (ud + 1))
-        return total
-
-    def rec(node, poff, off, ud, pz, po, pf):
-        # copy parent path (length ud) to this level's slot
-        if ud > 0:
-            fi[off:off + ud], zf[off:off + ud] = fi[poff:poff + ud], zf[poff:poff + ud]
-            of[off:off + ud], pw[off:off + ud] = of[poff:poff + ud], pw[poff:poff + ud]
-        extend(off, ud, pz, po, pf)
-        if left[node] < 0:
-            for i in range(1, ud + 1):
-                w = unwound_sum(off, ud, i)
-                phi[fi[off + i]] += w * (of[off + i] - zf[off + i]) * value[node]
-            return
-        s = feat[node]
-        hot, cold = (left[node], right[node]) if x[s] <= thr[node] else (right[node], left[node])
-        wn = cover[node]
-        iz, io = 1.0, 1.0
-        k = 0
-        while k <= ud:
-            if fi[off + k] == s:
-                break
-            k += 1
-        if k != ud + 1:
-            iz, io = zf[off + k], of[off + k]
-            unwind(off, ud, k)
-            ud -= 1
-        nxt = off + ud + 1 + 1
-        rec(hot, off, nxt, ud + 1, cover[hot] / wn * iz, io, s)
-        rec(cold, off, nxt, ud + 1, cover[cold] / wn * iz, 0.0, s)
-
-    rec(0, 0, 0, 0, 1.0, 1.0, -1)
+def leaf_paths(t: dict) -> list[dict]:
+    """Per leaf: its value, the distinct features on its path, the share of cover
+    that follows the path when a feature is unknown, and each feature's interval
+    (a row satisfies a feature if ``low < x <= high``)."""
+    out, stack = [], [(0, {}, {})]
+    while stack:
+        node, share, bounds = stack.pop()
+        if t["left"][node] < 0:
+            feats = sorted(share)
+            out.append({"value": float(t["value"][node]), "feats": feats, "share": np.array([share[f] for f in feats]),
+                        "low": np.array([bounds[f][0] for f in feats]), "high": np.array([bounds[f][1] for f in feats])})
+            continue
+        f, cut = int(t["feat"][node]), float(t["thr"][node])
+        low, high = bounds.get(f, (-np.inf, np.inf))
+        for child, span in ((t["left"][node], (low, min(high, cut))), (t["right"][node], (max(low, cut), high))):
+            part = share.get(f, 1.0) * t["cover"][child] / t["cover"][node]
+            stack.append((int(child), {**share, f: part}, {**bounds, f: span}))
+    return out
+
+
+def _leaf_shapley(leaf: dict, known: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf's features for each pattern of satisfied features.
+
+    The leaf pays ``value`` times the product, over its features, of 1 or 0 for a
+    known feature and of its share for an unknown one.  The products of all
+    coalitions of one size are a coefficient of ``prod(share + known * u)``."""
+    m, share = len(leaf["feats"]), leaf["share"]
+    weight = np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
+    phi = np.zeros(known.shape)
+    for j in range(m):
+        poly = np.ones((len(known), 1))
+        for i in range(m):
+            if i != j:
+                grown = np.zeros((len(known), poly.shape[1] + 1))
+                grown[:, :-1] = poly * share[i]
+                grown[:, 1:] += poly * known[:, i:i + 1]
+                poly = grown
+        phi[:, j] = (known[:, j] - share[j]) * (poly @ weight)
+    return phi * leaf["value"]
+
+
+def tree_shapley(x: np.ndarray, trees: list[dict]) -> np.ndarray:
+    """Attributions (rows x features) of the mean of the trees.  Rows that satisfy
+    the same features of a leaf are computed once."""
+    out = np.zeros(x.shape)
+    for t in trees:
+        for leaf in leaf_paths(t):
+            feats = leaf["feats"]
+            if not feats:
+                continue
+            known = (x[:, feats] > leaf["low"]) & (x[:, feats] <= leaf["high"])
+            code = known @ (1 << np.arange(len(feats), dtype=np.int64))
+            _, first, where = np.unique(code, return_index=True, return_inverse=True)
+            out[:, feats] += _leaf_shapley(leaf, known[first].astype(float))[where]
+    return out / len(trees)
 
 
 def expected_value(trees) -> float:
@@ -156,7 +143,7 @@ def tree_shap(df: DataFrame, features, trees, key: str = "row_id") -> DataFrame:
     ``sum(phi) + expected_value(trees)`` equals the ensemble prediction."""
     features = list(features)
     d = len(features)
-    n_trees = len(trees)
+    ship_package(df.sparkSession)
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("feature", T.StringType()),
                            T.StructField("phi", T.DoubleType())])
 
@@ -164,11 +151,7 @@ def tree_shap(df: DataFrame, features, trees, key: str = "row_id") -> DataFrame:
         for pdf in it:
             ids = pdf[key].to_numpy()
             x = pdf[features].to_numpy(dtype="float64")
-            out = np.zeros((len(ids), d + 1))
-            for r in range(len(ids)):
-                for t in trees:
-                    _tree_shap(x[r], t, out[r])
-            out = out[:, :d] / n_trees
+            out = tree_shapley(x, trees)
             yield pd.DataFrame({key: np.repeat(ids, d).astype("int64"), "feature": np.tile(features, len(ids)),
                                 "phi": out.reshape(-1)})
 
@@ -189,16 +172,16 @@ def permutation_shapley(df: DataFrame, background: DataFrame, features, score_fn
     over permutations.  ``score_fn(DataFrame) -> DataFrame`` adds ``score``."""
     features = list(features)
     d = len(features)
-    bg = background.select(*[col(f).cast("double").alias(f"_b_{f}") for f in features])
+    bg = cut_lineage(background.select(col(key).alias("_k"), *[col(f).cast("double").alias(f"_b_{f}") for f in features]))
     n_bg = bg.count()
-    bgr = bg.withColumn("_bid", F.row_number().over(Window.orderBy(*[f"_b_{f}" for f in features])) - 1)
+    order = F.md5(F.concat_ws("|", F.col("_k").cast("string"), F.lit(str(seed))))
+    bgr = ranked(bg, [], order, "_bid").withColumn("_bid", F.col("_bid") - 1).drop("_k")
     x = df.select(col(key).alias(key), *[col(f).cast("double").alias(f) for f in features])
     x = x.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     x = x.withColumn("_bid", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(
         "|", F.col(key).cast("string"), F.col("m").cast("string"), F.lit(str(seed)), F.lit("bg"))), 1, 15), 16, 10)
         .cast("long"), F.lit(n_bg)))
-    # n_bg background rows: bounded by the caller's sample of the training rows
-    x = x.join(F.broadcast(bgr), "_bid")
+    x = x.join(bgr, "_bid")  # draws are spread evenly over the background rows
     keyed = F.array(*[F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("m").cast("string"),
                                                   F.lit(str(seed)), F.lit(j))).alias("h"), F.lit(j).alias("j"))
                       for j in range(d)])

@@ -26,33 +26,38 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.functions.exprs import col
+from riskfold.plans.boost import ExpBoost, fit_exp_boost
 
-MAX_DEPTH_CAP = 30  # Spark's tree depth limit stands in for "no limit"
+MAX_DEPTH = 30      # Spark's own tree depth limit; "no limit" is reported as this depth
+MAX_BINS = 64       # split candidates per feature of trees, forests and boosting
+MLP_ITERATIONS = 200
+MLP_STEP = 30.0     # plain gradient steps per unit of learning rate (rates are given for normalised steps)
 
 # Candidate grids per family (the tree splitter option has no
-# Spark counterpart and is left out; exponential boosting loss likewise).
+# Spark counterpart and is left out).
 GRIDS = {
     "dummy": {},
     "tree": {"max_depth": [5, 10, None], "max_features": ["sqrt", "log2", None], "criterion": ["gini", "entropy"]},
     "forest": {"n_estimators": [10, 100], "criterion": ["gini", "entropy"], "max_depth": [5, 10, None],
                "max_features": ["sqrt", "log2", None]},
     "gbt": {"learning_rate": [0.01, 0.1, 0.3], "n_estimators": [100, 1000], "max_depth": [3, 5, 10],
-            "max_features": ["sqrt", "log2", None]},
+            "max_features": ["sqrt", "log2", None], "loss": ["log_loss", "exponential"]},
     "logistic": {"l1_ratio": [0.0, 0.25, 0.5, 0.75, 1.0], "C": [0.1, 0.5, 1.0, 5.0]},
     "svm": {"C": [0.1, 0.5, 1.0, 10.0, 100.0]},
     "mlp": {"hidden": [(128, 64), (64, 32), (32, 16), (32, 32), (64,), (32,), (16,)],
             "learning_rate_init": [0.1, 0.05, 0.01, 0.005, 0.001]},
 }
 
+# Library defaults of each family.
 DEFAULTS = {
     "dummy": {},
     "tree": {"max_depth": None, "max_features": None, "criterion": "gini"},
     "forest": {"n_estimators": 100, "criterion": "gini", "max_depth": None, "max_features": "sqrt"},
-    "gbt": {"learning_rate": 0.1, "n_estimators": 100, "max_depth": 3, "max_features": None},
+    "gbt": {"learning_rate": 0.1, "n_estimators": 100, "max_depth": 3, "max_features": None, "loss": "log_loss"},
     "logistic": {"l1_ratio": 0.0, "C": 1.0},
     "svm": {"C": 1.0},
     "mlp": {"hidden": (100,), "learning_rate_init": 0.001},
@@ -79,7 +84,16 @@ class ModelSpec:
         return dict(self.params)
 
     def describe(self) -> str:
-        return json.dumps({"family": self.family, **{k: v for k, v in self.params}}, default=str)
+        """Parameters as fitted: a depth of ``None`` is the engine's limit."""
+        p = self.p
+        if "max_depth" in p:
+            p["max_depth"] = _depth(p["max_depth"])
+        return json.dumps({"family": self.family, **p}, default=str)
+
+    @property
+    def cut(self) -> float:
+        """Score from which a row counts as positive: 0 for decision values, else one half."""
+        return 0.0 if self.family == "svm" else 0.5
 
 
 def grid(family: str) -> list[ModelSpec]:
@@ -104,7 +118,7 @@ def _subset(v):
 
 
 def _depth(v):
-    return MAX_DEPTH_CAP if v is None else int(v)
+    return MAX_DEPTH if v is None else int(v)
 
 
 def estimator(spec: ModelSpec, n_rows: int, features="features", label="y", weight: str | None = None,
@@ -117,7 +131,7 @@ def estimator(spec: ModelSpec, n_rows: int, features="features", label="y", weig
     if f in ("tree", "forest"):
         n_trees = 1 if f == "tree" else int(p["n_estimators"])
         kw = dict(common, numTrees=n_trees, maxDepth=_depth(p["max_depth"]),
-                  featureSubsetStrategy=_subset(p["max_features"]), seed=seed, maxBins=64)
+                  featureSubsetStrategy=_subset(p["max_features"]), seed=seed, maxBins=MAX_BINS)
         if f == "tree":
             kw.update(bootstrap=False, subsamplingRate=1.0)
         if weight:
@@ -127,10 +141,9 @@ def estimator(spec: ModelSpec, n_rows: int, features="features", label="y", weig
         return RandomForestClassifier(impurity="entropy", **kw)
     if f == "gbt":
         kw = dict(common, maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]),
-                  maxDepth=_depth(p["max_depth"]), featureSubsetStrategy=_subset(p["max_features"]), seed=seed)
-        if weight:
-            kw["weightCol"] = weight
-        return GBTClassifier(**kw)
+                  maxDepth=_depth(p["max_depth"]), featureSubsetStrategy=_subset(p["max_features"]), seed=seed,
+                  maxBins=MAX_BINS)
+        return GBTClassifier(**kw)  # boosting takes no class weights, as in the original workflow
     if f == "logistic":
         kw = dict(common, elasticNetParam=float(p["l1_ratio"]), regParam=1.0 / (float(p["C"]) * max(n_rows, 1)),
                   standardization=False, maxIter=5000, family="binomial")
@@ -151,9 +164,9 @@ def estimator(spec: ModelSpec, n_rows: int, features="features", label="y", weig
 def mlp_estimator(spec: ModelSpec, n_features: int, features="features", label="y", seed: int = 42):
     p = spec.p
     layers = [n_features, *list(p["hidden"]), 2]
-    # l-bfgs: each iteration is one distributed pass; far fewer passes than plain gradient steps.
+    # gradient steps: the only solver of the engine that uses the learning rate
     return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=layers, seed=seed,
-                                          stepSize=float(p["learning_rate_init"]), maxIter=100, solver="l-bfgs")
+                                          stepSize=MLP_STEP * float(p["learning_rate_init"]), maxIter=MLP_ITERATIONS, solver="gd")
 
 
 @dataclass
@@ -163,29 +176,31 @@ class Fitted:
 
     def score(self, df: DataFrame, features="features") -> DataFrame:
         """Add ``score`` (positive-class probability or decision value)."""
+        return self.score_margin(df).drop("margin")
+
+    def margin(self, df: DataFrame) -> DataFrame:
+        """Add ``margin`` (see :meth:`score_margin`)."""
+        return self.score_margin(df).drop("score")
+
+    def score_margin(self, df: DataFrame) -> DataFrame:
+        """Add ``score`` and ``margin`` from one transform.  The margin is the
+        decision value for calibration: raw margin for boosting / logistic / SVM,
+        otherwise the probability itself."""
         if self.model is None:
-            return df.withColumn("score", F.lit(1.0))
-        out = self.model.transform(df)
+            return df.withColumn("score", F.lit(1.0)).withColumn("margin", F.lit(1.0))
         fam = self.spec.family
+        if isinstance(self.model, ExpBoost):
+            out = self.model.score(df)
+            return out.withColumn("margin", F.log(F.col("score") / (1 - F.col("score"))) / 2)
+        out = self.model.transform(df)
+        raw = vector_to_array(F.col("rawPrediction"))[1] if fam in ("gbt", "logistic", "svm") else None
         if fam in ("tree", "forest") and self.spec.p["criterion"] == "gini":
             s = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
         elif fam == "svm":
-            s = vector_to_array(F.col("rawPrediction"))[1]
+            s = raw
         else:
             s = vector_to_array(F.col("probability"))[1]
-        keep = [c for c in df.columns]
-        return out.select(*[col(c) for c in keep], s.alias("score"))
-
-    def margin(self, df: DataFrame) -> DataFrame:
-        """Decision value for calibration: raw margin for boosting / logistic /
-        SVM, otherwise the probability itself."""
-        if self.model is None:
-            return df.withColumn("margin", F.lit(1.0))
-        fam = self.spec.family
-        if fam in ("gbt", "logistic", "svm"):
-            out = self.model.transform(df)
-            return out.select(*[col(c) for c in df.columns], vector_to_array(F.col("rawPrediction"))[1].alias("margin"))
-        return self.score(df).withColumnRenamed("score", "margin")
+        return out.select(*[col(c) for c in df.columns], s.alias("score"), (s if raw is None else raw).alias("margin"))
 
 
 def fit(spec: ModelSpec, train: DataFrame, n_features: int, features="features", label="y",
@@ -196,6 +211,11 @@ def fit(spec: ModelSpec, train: DataFrame, n_features: int, features="features",
     # Spark ML caches its own instance / tree-point RDD for the iterations; the
     # caller persists the (unassembled) rows it reuses across fits.
     data = train.withColumn(label, col(label).cast("double"))
+    if spec.family == "gbt" and spec.p["loss"] == "exponential":
+        return Fitted(spec, fit_exp_boost(data, spec.p["n_estimators"], _depth(spec.p["max_depth"]),
+                                          float(spec.p["learning_rate"]), label, features, seed=seed))
+    if spec.family == "mlp" and weight:
+        raise ValueError("the multilayer perceptron takes no row weights; balance its rows instead")
     n = n_rows if n_rows is not None else (data.count() if spec.family in ("logistic", "svm") else 0)
     est = mlp_estimator(spec, n_features, features, label, seed) if spec.family == "mlp" else \
         estimator(spec, n, features, label, weight, seed)
@@ -213,6 +233,10 @@ def importances(fitted: Fitted, feature_names) -> list[tuple[str, float]]:
     m = fitted.model
     if m is None:
         return []
+    if isinstance(m, ExpBoost):
+        total = sum(a for _, a in m.stages) or 1.0
+        mean = sum(a / total * t.featureImportances.toArray() for t, a in m.stages) if m.stages else [0.0] * len(feature_names)
+        return [(n, float(x)) for n, x in zip(feature_names, mean)]
     if hasattr(m, "featureImportances"):
         v = m.featureImportances.toArray()
     elif hasattr(m, "coefficients"):
@@ -282,11 +306,10 @@ def platt_apply(df: DataFrame, a: float, b: float, margin="margin", out="score")
 # -- M14 tree as a table -------------------------------------------------------------
 
 
-def tree_nodes(fitted: Fitted, path: str) -> DataFrame:
+def tree_nodes(spark: SparkSession, fitted: Fitted, path: str) -> DataFrame:
     """Save the model and read back its node table (one row per node)."""
-    from pyspark.sql import SparkSession
     fitted.model.write().overwrite().save(path)
-    nodes = SparkSession.getActiveSession().read.parquet(f"{path}/data")
+    nodes = spark.read.parquet(f"{path}/data")
     if "nodeData" in nodes.columns:
         nodes = nodes.select("treeID", "nodeData.*")
     return nodes.select(*[c for c in nodes.columns if c in (

@@ -14,6 +14,7 @@ from riskfold.operators.split import stratified_kfold
 from riskfold.plans import explain as EX
 from riskfold.plans import models as MO
 from riskfold.plans.oracle import ORDER_COHORT, with_
+from riskfold.plans.q_prepare import _corr_sql
 from riskfold.plans.registry import query
 from riskfold.session import ensure_checkpoint_dir
 from riskfold.sources.cohorts import order_cohort, order_split
@@ -66,20 +67,16 @@ def q_low_importance(spark, sf):
 stats AS (""" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS mf, "
     f"coalesce(min({c}) = max({c}), false) AS single FROM oc" for c in NUMS) + """),
+co AS (""" + _corr_sql(NUMS) + """),
 rem AS (SELECT 'missing' AS method, feature FROM stats WHERE mf > 0.5
         UNION ALL SELECT 'single_unique', feature FROM stats WHERE single
+        UNION ALL SELECT DISTINCT 'collinear', feature_j FROM co WHERE abs(corr) > 0.95
         UNION ALL SELECT 'zero_importance', feature FROM cum2 WHERE importance = 0.0
         UNION ALL SELECT 'low_importance', feature FROM cum2 WHERE cumulative_importance > 0.9)
 SELECT DISTINCT feature FROM rem""", [], "P11 union of removal sets")
 def q_selector_union(spark, sf):
-    oc = order_cohort(spark, sf)
-    stats = FL.column_stats(oc, NUMS)
     cum = FL.cumulative_importance(_importance(spark, sf))
-    table = FL.removal_table({"missing": FL.sparse_columns(stats, 0.5),
-                              "single_unique": FL.single_value_columns(stats),
-                              "zero_importance": FL.zero_importance(cum),
-                              "low_importance": FL.low_importance(cum, 0.9)})
-    return FL.features_to_remove(table, "all")
+    return FL.features_to_remove(FL.identify_all(order_cohort(spark, sf), NUMS, cum, 0.5, 0.95, 0.9), "all")
 
 
 # -- coefficients: univariate slopes of the endpoint on each mean-filled column ------
@@ -199,13 +196,13 @@ def q_top_features(spark, sf):
 
 # -- model-based attributions (rows-only + property tests) -------------------------------
 
-def _forest_parts(spark, sf, n_trees=10, depth=4):
+def _forest_parts(spark, sf, n_trees=100, depth=5):
     from riskfold.plans.q_models import _split
     train, test, feats = _split(spark, sf)
     fitted = MO.fit(MO.ModelSpec.of("forest", n_estimators=n_trees, max_depth=depth),
                     MO.assemble(train, feats), len(feats))
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/forest-{uuid.uuid4().hex}"
-    nodes = MO.tree_nodes(fitted, path).toPandas()  # node table: bounded by trees x 2^depth
+    nodes = MO.tree_nodes(spark, fitted, path).toPandas()  # node table: bounded by trees x 2^depth
     return train, test, feats, fitted, EX.ensemble_arrays(nodes)
 
 
@@ -220,9 +217,7 @@ def q_permutation_shapley(spark, sf):
     from riskfold.plans.q_models import _split
     train, test, feats = _split(spark, sf)
     fitted = MO.fit(MO.ModelSpec.of("logistic"), MO.assemble(train, feats), len(feats))
-    # Background: the 100 training rows first in md5 order (a bounded, reproducible sample).
-    bg = train.orderBy(F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit("42")))).limit(100)
-    return EX.permutation_shapley(test, bg, feats, lambda d: fitted.score(MO.assemble(d, feats)), n_perm=4)
+    return EX.permutation_shapley(test, train, feats, lambda d: fitted.score(MO.assemble(d, feats)))
 
 
 # -- A9 / A10 profiles ----------------------------------------------------------------------

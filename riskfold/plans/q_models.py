@@ -11,10 +11,9 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.sql import functions as F
 
-from riskfold.functions import curves as CV
 from riskfold.operators import filters as FL
 from riskfold.operators.iterative import apply_iterative, fit_iterative
-from riskfold.operators.split import holdout_split, stratified_kfold, train_test_split
+from riskfold.operators.split import holdout_split, train_test_split
 from riskfold.operators.transforms import fit_impute
 from riskfold.plans import models as MO
 from riskfold.plans.evaluate import EvalConfig, evaluate
@@ -23,18 +22,34 @@ from riskfold.plans.registry import query
 from riskfold.plans import selection as SE
 from riskfold.sources.cohorts import order_cohort
 
-_CACHE: dict = {}
 _LOCK = threading.RLock()  # re-entrant: cached builders call each other
 
 
+class _Cache(dict):
+    """Prepared inputs of one application; another application drops what the last one held."""
+
+    app = None
+
+    def of(self, spark):
+        now = spark.sparkContext.applicationId
+        if self.app != now:
+            self.clear()
+            self.app = now
+        return self
+
+
+_HELD = _Cache()
+
+
 def _prepared(spark, sf):
     key = ("prep", sf)
     with _LOCK:
-        if key not in _CACHE:
+        cache = _HELD.of(spark)
+        if key not in cache:
             df, feats = prepared_orders(spark, sf, imputer="mean")
             # Reused by many fits (each a multi-pass job): keep it materialised.
-            _CACHE[key] = (df.persist(StorageLevel.MEMORY_AND_DISK), feats)
-        return _CACHE[key]
+            cache[key] = (df.persist(StorageLevel.MEMORY_AND_DISK), feats)
+        return cache[key]
 
 
 def _split(spark, sf):
@@ -42,11 +57,12 @@ def _split(spark, sf):
     roles = train_test_split(df, "returned", 0.2, 42).select("row_id", "role")
     key = ("split", sf)
     with _LOCK:
-        if key not in _CACHE:
+        cache = _HELD.of(spark)
+        if key not in cache:
             d = df.join(roles, "row_id").withColumn("y", F.col("returned"))
-            _CACHE[key] = (d.filter(F.col("role") == "train").persist(StorageLevel.MEMORY_AND_DISK),
+            cache[key] = (d.filter(F.col("role") == "train").persist(StorageLevel.MEMORY_AND_DISK),
                            d.filter(F.col("role") == "test").persist(StorageLevel.MEMORY_AND_DISK))
-        train, test = _CACHE[key]
+        train, test = cache[key]
     return train, test, feats
 
 
@@ -73,12 +89,12 @@ def q_tree_entropy(spark, sf):
 
 @query("model_forest", None, [], "M3 random forest")
 def q_forest(spark, sf):
-    return _fit_score(spark, sf, MO.ModelSpec.of("forest", n_estimators=20, max_depth=10))[0]
+    return _fit_score(spark, sf, MO.ModelSpec.of("forest", max_depth=10))[0]
 
 
 @query("model_gbt", None, [], "M4 gradient boosting")
 def q_gbt(spark, sf):
-    return _fit_score(spark, sf, MO.ModelSpec.of("gbt", n_estimators=30, max_depth=3))[0]
+    return _fit_score(spark, sf, MO.ModelSpec.of("gbt"))[0]
 
 
 @query("model_svm", None, [], "M6 linear SVM (decision value)")
@@ -95,9 +111,7 @@ def q_mlp(spark, sf):
 def q_positive_scores(spark, sf):
     train, test, feats = _split(spark, sf)
     fitted = MO.fit(MO.ModelSpec.of("logistic"), MO.assemble(train, feats), len(feats))
-    tv = MO.assemble(test, feats)
-    return fitted.score(tv).select("row_id", "y", "score").join(
-        fitted.margin(tv).select("row_id", "margin"), "row_id")
+    return fitted.score_margin(MO.assemble(test, feats)).select("row_id", "y", "score", "margin")
 
 
 @query("importances", None, [], "M13 importances and coefficients")
@@ -105,7 +119,7 @@ def q_importances(spark, sf):
     train, _test, feats = _split(spark, sf)
     tv = MO.assemble(train, feats)
     rows = []
-    for name, spec in (("forest", MO.ModelSpec.of("forest", n_estimators=20, max_depth=8)),
+    for name, spec in (("forest", MO.ModelSpec.of("forest", max_depth=10)),
                        ("logistic", MO.ModelSpec.of("logistic"))):
         fitted = MO.fit(spec, tv, len(feats))
         rows += [(name, f, v) for f, v in MO.importances(fitted, feats)]
@@ -118,51 +132,35 @@ def q_tree_nodes(spark, sf):
     import uuid
     train, _test, feats = _split(spark, sf)
     fitted = MO.fit(MO.ModelSpec.of("tree", max_depth=4), MO.assemble(train, feats), len(feats))
-    return MO.tree_nodes(fitted, ensure_checkpoint_dir(spark).rstrip("/") + f"/tree-{uuid.uuid4().hex}")
+    return MO.tree_nodes(spark, fitted, ensure_checkpoint_dir(spark).rstrip("/") + f"/tree-{uuid.uuid4().hex}")
 
 
 @query("platt_calibrate", None, [], "C10 sigmoid calibration")
 def q_platt(spark, sf):
     train, test, feats = _split(spark, sf)
-    fitted = MO.fit(MO.ModelSpec.of("gbt", n_estimators=30), MO.assemble(train, feats), len(feats))
+    fitted = MO.fit(MO.ModelSpec.of("gbt"), MO.assemble(train, feats), len(feats))
     a, b = MO.platt_fit(fitted.margin(MO.assemble(train, feats)))
     te = fitted.margin(MO.assemble(test, feats))
     return MO.platt_apply(te, a, b).select("row_id", "y", "margin", "score")
 
 
-@query("random_search", None, [], "M8 random search on inner folds (average precision)")
+@query("random_search", None, [], "M8 random search (10 draws) on inner folds, through the evaluation")
 def q_random_search(spark, sf):
-    from concurrent.futures import ThreadPoolExecutor
-    train, _test, feats = _split(spark, sf)
-    folds = stratified_kfold(train, "y", 3, 42).select("row_id", "fold")
-    tr = train.join(folds, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(job):
-        spec, f = job
-        fitted = MO.fit(spec, MO.assemble(tr.filter(F.col("fold") != f), feats), len(feats))
-        sc = fitted.score(MO.assemble(tr.filter(F.col("fold") == f), feats))
-        return spec.describe(), float(CV.pr_summary(sc, []).first()["avg_precision"] or 0.0)
-
-    jobs = [(spec, f) for spec in MO.random_candidates("logistic", 4, 42) for f in range(3)]
-    with ThreadPoolExecutor(max_workers=6) as pool:  # independent fits run as concurrent Spark jobs
-        res = list(pool.map(one, jobs))
-    tr.unpersist()
-    agg: dict = {}
-    for name, ap in res:
-        agg.setdefault(name, []).append(ap)
-    rows = [(k, sum(v) / len(v)) for k, v in agg.items()]
-    return spark.createDataFrame(rows, "params string, mean_avg_precision double")
+    df, feats = _prepared(spark, sf)
+    cfg = EvalConfig(models=("logistic",), n_outer=1, search="random")
+    return evaluate(df, feats, ["returned"], cfg).params
 
 
 def _evaluation(spark, sf):
     key = ("eval", sf)
     with _LOCK:
-        if key not in _CACHE:
+        cache = _HELD.of(spark)
+        if key not in cache:
             df, feats = _prepared(spark, sf)
-            cfg = EvalConfig(models=("dummy", "logistic", "tree"), seeds=(42,), n_outer=2, n_inner=3,
-                             balancing="class_weight", parallelism=3, overrides={"tree": {"max_depth": 5}})
-            _CACHE[key] = evaluate(df, feats, ["returned", "pending"], cfg)
-        return _CACHE[key]
+            # default folds, balancing, calibration and parameters; three of the five default families
+            cfg = EvalConfig(models=("dummy", "logistic", "tree"), attribution=True)
+            cache[key] = evaluate(df, feats, ["returned", "pending"], cfg)
+        return cache[key]
 
 
 @query("cv_validate", None, [], "M9 validation metrics per inner fold")
@@ -180,6 +178,21 @@ def q_evaluate_all(spark, sf):
     return _evaluation(spark, sf).summary()
 
 
+@query("evaluated_calibration", None, [], "C9 before and after calibration, per outer split")
+def q_evaluated_calibration(spark, sf):
+    return _evaluation(spark, sf).calibration_curves()
+
+
+@query("evaluated_pooled_pr", None, [], "C7 over the test rows of all outer splits")
+def q_evaluated_pooled_pr(spark, sf):
+    return _evaluation(spark, sf).pooled_pr()
+
+
+@query("evaluated_attribution", None, [], "X4 / A7 attributions of fitted models pooled over outer splits")
+def q_evaluated_attribution(spark, sf):
+    return _evaluation(spark, sf).attribution_summary()
+
+
 @query("best_params", None, [], "S10 chosen parameters and thresholds")
 def q_best_params(spark, sf):
     return _evaluation(spark, sf).params
@@ -200,12 +213,13 @@ def q_individual(spark, sf):
 def _gbm(spark, sf):
     key = ("gbm", sf)
     with _LOCK:
-        if key not in _CACHE:
+        cache = _HELD.of(spark)
+        if key not in cache:
             df, feats = _prepared(spark, sf)
             hold = holdout_split(df, 0.15, 42).select("row_id", "role")
             d = df.join(hold, "row_id").withColumn("y", F.col("returned"))
-            _CACHE[key] = SE.gbm_importance(d, feats, n_iterations=3, max_iter=100)
-        return _CACHE[key]
+            cache[key] = SE.gbm_importance(d, feats, n_iterations=10, max_iter=1000)
+        return cache[key]
 
 
 @query("gbm_importance", None, [], "M7 boosted importances with early stopping")
@@ -236,7 +250,7 @@ def q_select_k_best(spark, sf):
 @query("rfecv", None, [], "P13 recursive elimination with CV")
 def q_rfecv(spark, sf):
     train, _test, feats = _split(spark, sf)
-    return SE.rfecv(train, feats, min_fraction=0.5, cv=3, spec=MO.ModelSpec.of("gbt", n_estimators=20))
+    return SE.rfecv(train, feats, min_fraction=0.5, cv=5, spec=MO.ModelSpec.of("gbt", n_estimators=20))
 
 
 @query("impute_iterative", None, [], "T7 round-robin regression imputation")
@@ -244,16 +258,13 @@ def q_impute_iterative(spark, sf):
     cols = ["total", "acctbal", "lines", "qty", "price"]
     oc = order_cohort(spark, sf).select("row_id", *cols)
     means = fit_impute(oc, cols, "mean")
-    models = fit_iterative(oc, cols, means, rounds=3)
+    models = fit_iterative(oc, cols, means)
     return apply_iterative(oc, cols, models, means)
 
 
 @query("model_exp_boost", None, [], "M4b boosting with exponential loss (AdaBoost)")
 def q_exp_boost(spark, sf):
-    from riskfold.plans.boost import fit_exp_boost
-    train, test, feats = _split(spark, sf)
-    model = fit_exp_boost(MO.assemble(train, feats), n_rounds=10, max_depth=3)
-    return model.score(MO.assemble(test, feats)).select("row_id", "y", "score")
+    return _fit_score(spark, sf, MO.ModelSpec.of("gbt", loss="exponential"))[0]
 
 
 @query("evaluate_external", None, [], "M11 with an external test cohort (orders from 2000 on)")
@@ -262,13 +273,13 @@ def q_evaluate_external(spark, sf):
     from riskfold.sources.cohorts import ORDER_CATALOG, order_split
     key = ("ext", sf)
     with _LOCK:
-        if key not in _CACHE:
+        cache = _HELD.of(spark)
+        if key not in cache:
             train, ext = order_split(order_cohort(spark, sf))
             prep = prepare(train, ORDER_CATALOG, PrepConfig(imputer="mean", missing_threshold=0.5,
                                                             drop_single_unique=True, correlation_threshold=0.95))
             tr = prep.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
             ex = prep.transform(ext).persist(StorageLevel.MEMORY_AND_DISK)
-            cfg = EvalConfig(models=("dummy", "logistic"), seeds=(42,), n_inner=3, balancing="class_weight",
-                             parallelism=4)
-            _CACHE[key] = evaluate(tr, prep.features, ["returned"], cfg, external=ex)
-        return _CACHE[key].summary()
+            cfg = EvalConfig(models=("dummy", "logistic"))
+            cache[key] = evaluate(tr, prep.features, ["returned"], cfg, external=ex)
+        return cache[key].summary()

@@ -70,7 +70,7 @@ _NESTED = OC + """,
 lab AS (SELECT row_id, 'returned' AS endpoint, CAST(returned AS VARCHAR) AS y FROM oc
         UNION ALL SELECT row_id, 'pending' AS endpoint, CAST(pending AS VARCHAR) AS y FROM oc),
 grid AS (SELECT CAST(s AS INTEGER) AS seed, CAST(o AS INTEGER) AS outer_fold
-         FROM (VALUES (42, 0), (42, 1), (42, 2), (7, 0), (7, 1), (7, 2)) g(s, o)),
+         FROM (VALUES (42), (7)) a(s), range(5) b(o)),
 x AS (SELECT lab.*, grid.seed, grid.outer_fold FROM lab, grid),
 o AS (SELECT x.*, row_number() OVER (PARTITION BY endpoint, seed, outer_fold, y ORDER BY
         md5(concat_ws('|', CAST(row_id AS VARCHAR), CAST(seed AS VARCHAR), CAST(outer_fold AS VARCHAR)))) AS orn,
@@ -79,7 +79,7 @@ o2 AS (SELECT *, CASE WHEN orn <= round(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELS
 tr AS (SELECT row_id, endpoint, seed, outer_fold, y, role,
               CAST((row_number() OVER (PARTITION BY endpoint, seed, outer_fold, y ORDER BY
                 md5(concat_ws('|', CAST(row_id AS VARCHAR), CAST(seed AS VARCHAR), CAST(outer_fold AS VARCHAR),
-                'inner'))) - 1) % 3 AS INTEGER) AS inner_fold
+                'inner'))) - 1) % 5 AS INTEGER) AS inner_fold
        FROM o2 WHERE role = 'train'),
 plan AS (SELECT * FROM tr UNION ALL
          SELECT row_id, endpoint, seed, outer_fold, y, role, CAST(NULL AS INTEGER) AS inner_fold
@@ -87,13 +87,20 @@ plan AS (SELECT * FROM tr UNION ALL
 
 
 def _nested(spark, sf):
-    return SP.nested_fold_plan(order_cohort(spark, sf), ["returned", "pending"], seeds=(42, 7), n_outer=3,
-                               n_inner=3, test_fraction=0.2)
+    return SP.nested_fold_plan(order_cohort(spark, sf), ["returned", "pending"], seeds=(42, 7), n_outer=5,
+                               n_inner=5, test_fraction=0.2)
 
 
-@query("nested_fold_plan", _NESTED + "\nSELECT * FROM plan", [], "R6")
+_DIGEST = ["endpoint", "seed", "outer_fold", "y", "role", "inner_fold"]
+
+
+@query("nested_fold_plan", _NESTED + f"""
+SELECT {", ".join(_DIGEST)}, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids,
+       CAST(sum(row_id * row_id % 1000003) AS BIGINT) AS squares FROM plan GROUP BY ALL""", [], "R6 (digest of each fold's rows)")
 def q_nested(spark, sf):
-    return _nested(spark, sf)
+    i = F.col("row_id")
+    return _nested(spark, sf).groupBy(*_DIGEST).agg(F.count(F.lit(1)).alias("n"), F.sum(i).alias("ids"),
+                                                    F.sum(i * i % 1000003).alias("squares"))
 
 
 @query("split_sizes", _NESTED + """

@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +20,19 @@ from riskfold.plans import models as MO
 
 
 def gbm_importance(df: DataFrame, features, n_iterations: int = 10, max_iter: int = 1000,
-                   learning_rate: float = 0.05, label: str = "y") -> DataFrame:
+                   learning_rate: float = 0.05, label: str = "y", task: str = "classification") -> DataFrame:
     """M7: boosted-tree importances averaged over ``n_iterations`` seeds, with
     early stopping on the hold-out rows (``role = 'valid'``); then normalised
-    and cumulated (W1)."""
+    and cumulated (W1).  ``task``: classification of a 0/1 label, or regression."""
+    if task not in ("classification", "regression"):
+        raise ValueError(f"no importance task named {task!r}")
+    kind = GBTClassifier if task == "classification" else GBTRegressor
     spark = df.sparkSession
     d = MO.assemble(df.withColumn("_valid", F.col("role") == "valid")
                     .withColumn(label, F.col(label).cast("double")), features)
     acc = [0.0] * len(features)
     for i in range(n_iterations):
-        m = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, stepSize=learning_rate,
+        m = kind(featuresCol="features", labelCol=label, maxIter=max_iter, stepSize=learning_rate,
                           seed=i, validationIndicatorCol="_valid", validationTol=0.01).fit(d)
         for j, v in enumerate(m.featureImportances.toArray()):
             acc[j] += float(v) / n_iterations
