@@ -10,6 +10,7 @@ loss); all metrics and curves are then computed by key in single queries.
 
 from __future__ import annotations
 
+import json
 import logging
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -28,7 +29,7 @@ from riskfold.plans import explain as EX
 from riskfold.plans import models as MO
 from riskfold.plans import report as RP
 from riskfold.plans import selection as SE
-from riskfold.session import cut_lineage, ensure_checkpoint_dir
+from riskfold.session import cut_lineage, scratch_path
 
 LOG = logging.getLogger(__name__)
 
@@ -44,6 +45,9 @@ class EvalConfig:
     n_iter: int = 10
     scorer: str = "average_precision"   # average_precision | roc_auc
     selection: str | None = None    # None | importance (boosted importance >= its mean) | rfecv
+    pretune: bool = False           # random search per seed first; its best parameters hold everywhere
+    pretune_draws: int = 30
+    model_path: str | None = None   # folder that keeps the fitted model of each (endpoint, seed, model, outer split)
     attribution: bool = False       # attributions of the test rows (linear, tree and forest models)
     balancing: str | None = "class_weight"   # None | class_weight | random_oversampling | SMOTE | ADASYN
     calibrate: bool = True
@@ -244,6 +248,8 @@ def _task_body(rows, features, key, cfg: EvalConfig, root: str):
                          F.lit(outer).alias("outer_fold"), "row_id", "y", "score", "raw_score",
                          (F.col("score") >= F.lit(thr)).cast("int").alias("pred"))
     test_path = _write(test_out, root, "test")
+    if cfg.model_path and fitted.model is not None:
+        fitted.save(f"{cfg.model_path}/{endpoint}/{seed}/{family}/{outer}")
     imps = MO.importances(fitted, features)
     phi = _attributions(fitted, train, test, features, root) if cfg.attribution else None
     if phi is not None:
@@ -275,6 +281,14 @@ def external_fold_plan(df: DataFrame, external: DataFrame, endpoints, seeds=(42,
     return tr.unionByName(ex)
 
 
+def pretune(df: DataFrame, features, endpoint: str, family: str, cfg: EvalConfig) -> dict:
+    """Parameters of the best of ``pretune_draws`` candidates over all seeds, by score."""
+    own = replace(cfg, models=(family,), n_outer=1, search="random", n_iter=cfg.pretune_draws, pretune=False, attribution=False,
+                  model_path=None)
+    best = evaluate(df, features, [endpoint], own).params.orderBy(F.desc_nulls_last("search_score"), "seed").first()
+    return {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(best["params"]).items() if k != "family"}
+
+
 def evaluate(df: DataFrame, features, endpoints, cfg: EvalConfig | None = None,
              external: DataFrame | None = None) -> Results:
     """Nested evaluation of every family over endpoints x seeds x outer splits.
@@ -288,7 +302,10 @@ def evaluate(df: DataFrame, features, endpoints, cfg: EvalConfig | None = None,
         if value not in known:
             raise ValueError(f"no {name} named {value!r}; there are {known}")
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/eval-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "eval")
+    if cfg.pretune:
+        cfg = replace(cfg, pretune=False, search="none", overrides={**cfg.overrides, **{
+            m: pretune(df, features, endpoints[0], m, cfg) for m in cfg.models if m != "dummy"}})
     features = list(features)
     if external is None:
         plan = cut_lineage(nested_fold_plan(df, endpoints, cfg.seeds, cfg.n_outer, cfg.n_inner, cfg.test_fraction))

@@ -178,6 +178,14 @@ class Fitted:
         """Add ``score`` (positive-class probability or decision value)."""
         return self.score_margin(df).drop("margin")
 
+    def save(self, path: str) -> None:
+        """Keep the fitted model (an exponential booster: each weighted tree, its weight in the name)."""
+        if isinstance(self.model, ExpBoost):
+            for i, (tree, alpha) in enumerate(self.model.stages):
+                tree.write().overwrite().save(f"{path}/stage-{i:04d}-{alpha:.17g}")
+        else:
+            self.model.write().overwrite().save(path)
+
     def margin(self, df: DataFrame) -> DataFrame:
         """Add ``margin`` (see :meth:`score_margin`)."""
         return self.score_margin(df).drop("score")

@@ -3,8 +3,6 @@ attributions (X1-X4, A7) and profiles (A9, A10)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from riskfold.functions.exprs import col
@@ -16,7 +14,7 @@ from riskfold.plans import models as MO
 from riskfold.plans.oracle import ORDER_COHORT, with_
 from riskfold.plans.q_prepare import _corr_sql
 from riskfold.plans.registry import query
-from riskfold.session import ensure_checkpoint_dir
+from riskfold.session import scratch_path
 from riskfold.sources.cohorts import order_cohort, order_split
 
 OC = with_(ORDER_COHORT)
@@ -201,7 +199,7 @@ def _forest_parts(spark, sf, n_trees=100, depth=5):
     train, test, feats = _split(spark, sf)
     fitted = MO.fit(MO.ModelSpec.of("forest", n_estimators=n_trees, max_depth=depth),
                     MO.assemble(train, feats), len(feats))
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/forest-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "forest")
     nodes = MO.tree_nodes(spark, fitted, path).toPandas()  # node table: bounded by trees x 2^depth
     return train, test, feats, fitted, EX.ensemble_arrays(nodes)
 

@@ -20,6 +20,7 @@ from riskfold.plans.evaluate import EvalConfig, evaluate
 from riskfold.plans.flagship import prepared_orders
 from riskfold.plans.registry import query
 from riskfold.plans import selection as SE
+from riskfold.session import scratch_path
 from riskfold.sources.cohorts import order_cohort
 
 _LOCK = threading.RLock()  # re-entrant: cached builders call each other
@@ -128,11 +129,9 @@ def q_importances(spark, sf):
 
 @query("tree_nodes", None, [], "M14 tree as a table")
 def q_tree_nodes(spark, sf):
-    from riskfold.session import ensure_checkpoint_dir
-    import uuid
     train, _test, feats = _split(spark, sf)
     fitted = MO.fit(MO.ModelSpec.of("tree", max_depth=4), MO.assemble(train, feats), len(feats))
-    return MO.tree_nodes(spark, fitted, ensure_checkpoint_dir(spark).rstrip("/") + f"/tree-{uuid.uuid4().hex}")
+    return MO.tree_nodes(spark, fitted, scratch_path(spark, "tree"))
 
 
 @query("platt_calibrate", None, [], "C10 sigmoid calibration")

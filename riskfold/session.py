@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -91,6 +92,27 @@ def ship_package(spark: SparkSession) -> None:
 _SHIPPED: dict[str, str] = {}
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder, for a written
+    intermediate table; remembered for :func:`release_scratch`."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far.  Call it when no result that
+    may still read them is needed; returns the number of folders."""
+    n, jvm, conf = len(_SCRATCH), spark._jvm, spark._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def cut_lineage(df):
     """Reliable checkpoint (written to the shared checkpoint folder)."""
     ensure_checkpoint_dir(df.sparkSession)

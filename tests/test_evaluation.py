@@ -150,6 +150,14 @@ def test_evaluation_options(orders, monkeypatch, family, balancing, search, sele
     assert {r.stage for r in res.calibration_curves().collect()} == {"raw", "calibrated"}
 
 
+def test_pretuning_models_and_scratch(spark, orders, tmp_path):
+    from riskfold.session import release_scratch
+    cfg = EvalConfig(models=("logistic",), n_outer=1, n_inner=2, pretune=True, pretune_draws=2, model_path=str(tmp_path))
+    res = evaluate(orders, FEATS, ["returned"], cfg)
+    assert res.params.count() == 1 and (tmp_path / "returned" / "42" / "logistic" / "0" / "metadata").exists()
+    assert release_scratch(spark) > 0 and release_scratch(spark) == 0
+
+
 def test_unknown_options_are_errors(orders):
     for cfg in (EvalConfig(models=("logistic",), selection="x"), EvalConfig(models=("logistic",), search="random", scorer="x")):
         with pytest.raises(ValueError):
