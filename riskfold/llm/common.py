@@ -3,14 +3,12 @@ intermediate tables, vectorised word hashing and connected components."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.session import ensure_checkpoint_dir, ship_package
+from riskfold.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 __all__ = ["table", "stash", "text_chunks", "Words", "mix64", "components", "ship_package"]
 
@@ -32,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: cuts the
     lineage, survives lost executors, and later readers prune columns."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
