@@ -5,7 +5,8 @@ sets whose Jaccard similarity reaches the threshold share a shingle among the
 first ``n - ceil(t * n) + 1`` of each.  Three orders are used.  All put rarer
 shingles first, by counts in a fixed number of hash buckets, and break ties by
 different hashes.  The first order makes candidates; the prefixes under the other
-two must overlap as well, and only then are whole sets compared.
+two must overlap as well, by so much that the rest of the sets can still make up
+the threshold, and only then are whole sets compared.
 
 Nothing is quadratic in a group of copies.  Equal sets are one node.  Candidates
 of a shared prefix shingle are first only neighbours in size order and pairs with
@@ -82,26 +83,30 @@ def rarity(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def prefixes(grams: np.ndarray, classes: np.ndarray, t: int = THRESHOLD) -> list[np.ndarray]:
-    """The prefix of a set under each order, first shingles first."""
+def prefixes(grams: np.ndarray, classes: np.ndarray, t: int = THRESHOLD) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The prefix of a set, first shingles first: the shingles under the first
+    order, and the places (sort keys) of the shingles under each other order."""
     n = len(grams)
     p = n - needed(n, t) + 1 if n else 0
-    rare = classes[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-    out = []
+    rare = classes[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(57)
+    keys = []
     for salt in _SALTS:
-        key = rare | (mix64(grams ^ salt) >> np.uint64(6))
+        key = rare | (mix64(grams ^ salt) >> np.uint64(7))
         first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
-        out.append(grams[first[np.argsort(key[first], kind="stable")]])
-    return out
+        keys.append((key, first[np.argsort(key[first], kind="stable")]))
+    # 32 bits of a place are enough for a filter, and halve what the joins move
+    return grams[keys[0][1]], [(key[first] >> np.uint64(32)).astype(np.int32) for key, first in keys[1:]]
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind=np.uint64) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+    flat = np.concatenate([np.zeros(0, kind), *arrays])
+    return pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64) if kind is np.uint64 else flat))
 
 
 def describe(texts: DataFrame, kind: str, t: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """(id, n, s1, s2, p1, p2, p3) per row: set size, 128-bit hash of the set, prefixes."""
+    """(id, n, s1, s2, p1, p2, p3) per row: set size, 128-bit hash of the set, prefixes.
+    A class is below 64, so sort keys are positive as signed integers too."""
     packed = zlib.compress(rarity(texts.select("text"), k).tobytes())
 
     def run(batches):
@@ -113,18 +118,30 @@ def describe(texts: DataFrame, kind: str, t: int = THRESHOLD, k: int = SHINGLE)
                 first = [prefixes(s, classes, t) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(part)), pa.array(np.array([len(s) for s in sets], np.int64)),
-                     pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), *(_lists([f[i] for f in first]) for i in range(3))],
+                     pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), _lists([f[0] for f in first]), *(_lists([f[1][i] for f in first], np.int32) for i in range(2))],
                     ["id", "n", "s1", "s2", "p1", "p2", "p3"])
 
     return texts.select("id", "text").mapInArrow(
-        run, f"id {kind}, n long, s1 long, s2 long, p1 array<long>, p2 array<long>, p3 array<long>")
+        run, f"id {kind}, n long, s1 long, s2 long, p1 array<long>, p2 array<int>, p3 array<int>")
+
 
+def enough(a: str, b: str, an, bn, t: int):
+    """Can two sets reach the threshold, given their prefixes under one order?
+    Beyond the prefix that ends first, only that set's other shingles can be shared.
+    Shortened places may be equal for different shingles: they count as shared, and
+    repeated places of one set are added back, so nothing is lost."""
+    shared = F.size(F.array_intersect(a, b)) + F.size(a) - F.size(F.array_distinct(a))
+    a_end, b_end, a_rest, b_rest = F.element_at(a, -1), F.element_at(b, -1), an - F.size(a), bn - F.size(b)
+    rest = F.when(a_end < b_end, a_rest).when(a_end > b_end, b_rest).otherwise(F.greatest(a_rest, b_rest))
+    return (shared > 0) & ((shared + rest) * (100 + t) >= t * (an + bn))
 
-def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, kind: str, t: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+
+def linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, kind: str, t: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold, of distinct candidate pairs."""
-    part = nodes.select("id", "p2", "p3")
-    both = pairs.join(part.toDF("a", "a2", "a3"), "a").join(part.toDF("b", "b2", "b3"), "b")
-    close = stash(both.filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"), "close")
+    part = rows.select("id", "n", "p2", "p3")
+    both = pairs.join(part.toDF("a", "an", "a2", "a3"), "a").join(part.toDF("b", "bn", "b2", "b3"), "b")
+    sizes = F.col("an"), F.col("bn"), t
+    close = stash(both.filter(enough("a2", "b2", *sizes) & enough("a3", "b3", *sizes)).select("a", "b"), "close")
 
     def sets(batches):
         for batch in batches:
@@ -151,10 +168,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = stash(describe(texts, kind, t, k), "sets")
     reps = stash(rows.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("s1", "s2").agg(F.min("id").alias("rep")), "reps")
-    nodes = stash(rows.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-                  .drop("s1", "s2"), "nodes")
-
-    held = nodes.select("id", "n", F.posexplode("p1").alias("i", "gram"))
+    own = rows.select("id", "n", "p1").join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    held = own.select("id", "n", F.posexplode("p1").alias("i", "gram"))
     group = Window.partitionBy("gram")
     in_size = group.orderBy("n", "id")
     # shared * (100 + t) >= t * (na + nb) is the threshold on the shared count
@@ -174,7 +189,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int
     def distinct_pairs(df):
         return df.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    first = stash(linked(distinct_pairs(near.unionByName(star)), nodes, texts, kind, t, k), "links")
+    first = stash(linked(distinct_pairs(near.unionByName(star)), rows, texts, kind, t, k), "links")
     roots = components(first)
     marked = member.join(roots.select(c("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = marked.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("gram")
@@ -182,7 +197,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int
     a, b = open_.alias("a"), open_.alias("b")
     cross = a.join(b, (c("a.gram") == c("b.gram")) & (c("a.id") < c("b.id")) & (c("a.root") != c("b.root"))
                    & may(c("a.n"), c("a.i"), c("b.n"), c("b.i"))).select(c("a.id").alias("x"), c("b.id").alias("y"))
-    second = linked(distinct_pairs(cross), nodes, texts, kind, t, k)
+    second = linked(distinct_pairs(cross), rows, texts, kind, t, k)
     final = components(first.unionByName(second))
 
     known = reps.join(final.select(c("node").alias("rep"), "root"), "rep", "left") \
