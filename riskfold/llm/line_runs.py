@@ -81,7 +81,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.char_length("key") >= min_chars).select("id", key_hash(F.col("key")).alias("k"))
     uses = stash(lines.select("id", "k.*").groupBy("h1", "h2", "id").agg(F.count("*").alias("n")).drop("n"), "uses")
     often = uses.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    held = stash(uses.join(often.select("h1", "h2"), ["h1", "h2"]), "held")
+    # written first, so that the join has a shuffle of its own on both sides and a hot line can be split
+    often = stash(often.select("h1", "h2"), "often")
+    held = stash(uses.join(often, ["h1", "h2"]), "held")
 
     cuts = held.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []), reverse=True)
