@@ -25,7 +25,7 @@ from riskfold.llm.common import _offsets, ship_package, text_chunks
 PER_LANGUAGE = 600
 BUCKETS = 4096
 #: Probability lead of the nearest codeword below which a text counts as ambiguous.
-AMBIGUOUS = 0.1
+AMBIGUOUS = 0.05
 #: Texts per dense block of features.
 BLOCK = 1000
 UNKNOWN = "und"
