@@ -15,6 +15,7 @@ import logging
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.errors import IllegalArgumentException
@@ -127,12 +128,16 @@ def _balance(train: DataFrame, features, cfg: EvalConfig, seed: int):
     raise ValueError(f"Unknown balancing option {b}")
 
 
-def _scored(scored: DataFrame, scorer: str) -> float:
-    if scorer == "roc_auc":
-        r = CV.roc_auc(scored, []).first()
-        return float(r["roc_auc"] or 0.0) if r else 0.0
-    r = CV.pr_summary(scored, []).first()
-    return float(r["avg_precision"] or 0.0) if r else 0.0
+def _scores(parts: list, scorer: str) -> dict:
+    """Mean score over inner folds of each candidate, from one keyed pass over all scored folds."""
+    if not parts:
+        return {}
+    keys = ["candidate", "inner_fold"]
+    pred = reduce(DataFrame.unionByName, parts)
+    table = CV.roc_auc(pred, keys) if scorer == "roc_auc" else CV.pr_summary(pred, keys)
+    name = "roc_auc" if scorer == "roc_auc" else "avg_precision"
+    rows = table.groupBy("candidate").agg(F.avg(F.coalesce(name, F.lit(0.0))).alias("s")).collect()
+    return {r["candidate"]: r["s"] for r in rows}
 
 
 def _select(train: DataFrame, features, cfg: EvalConfig, seed: int) -> list:
@@ -197,19 +202,22 @@ def _task_body(rows, features, key, cfg: EvalConfig, root: str):
     inner_pool = ThreadPoolExecutor(max_workers=max(1, min(cfg.n_inner, cfg.concurrent_fits // max(1, cfg.parallelism))))
     try:
         if len(cands) > 1:
-            def cv_score(spec):
-                def one(f):
-                    fitted = fit_on(train.filter(F.col("inner_fold") != f), spec)
-                    return _scored(score(fitted, train.filter(F.col("inner_fold") == f)), cfg.scorer)
+            def fit_one(job):
+                i, f = job
                 try:
-                    scores = list(inner_pool.map(one, range(cfg.n_inner)))
-                    return sum(scores) / len(scores)
+                    fitted = fit_on(train.filter(F.col("inner_fold") != f), cands[i])
                 except (IllegalArgumentException, ValueError, ArithmeticError) as e:
                     # a candidate that cannot be fitted scores 0; failures of the cluster are raised
-                    LOG.warning("candidate %s scores 0: %s", spec.describe(), e)
-                    return 0.0
-            for spec in cands:
-                s = cv_score(spec)
+                    LOG.warning("candidate %s scores 0: %s", cands[i].describe(), e)
+                    return i, None
+                part = score(fitted, train.filter(F.col("inner_fold") == f))
+                return i, part.select(F.lit(i).alias("candidate"), F.lit(f).alias("inner_fold"), "y", "score")
+
+            parts = list(inner_pool.map(fit_one, [(i, f) for i in range(len(cands)) for f in range(cfg.n_inner)]))
+            failed = {i for i, part in parts if part is None}
+            scores = _scores([part for i, part in parts if i not in failed], cfg.scorer)
+            for i, spec in enumerate(cands):
+                s = scores.get(i, 0.0)
                 if best_score is None or s > best_score:
                     best, best_score = spec, s
 

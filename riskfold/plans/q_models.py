@@ -146,7 +146,7 @@ def q_platt(spark, sf):
 @query("random_search", None, [], "M8 random search (10 draws) on inner folds, through the evaluation")
 def q_random_search(spark, sf):
     df, feats = _prepared(spark, sf)
-    cfg = EvalConfig(models=("logistic",), n_outer=1, search="random")
+    cfg = EvalConfig(models=("logistic",), n_outer=1, search="random", parallelism=1)
     return evaluate(df, feats, ["returned"], cfg).params
 
 

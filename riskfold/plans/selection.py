@@ -6,6 +6,7 @@ handful of fits (seeds, elimination steps), never over rows."""
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
@@ -52,15 +53,14 @@ def _cv_ap(train: DataFrame, feats, spec, cv: int, seed: int = 42) -> float:
 
     def one(f):
         fitted = MO.fit(spec, MO.assemble(tr.filter(F.col("fold") != f), feats), len(feats))
-        sc = fitted.score(MO.assemble(tr.filter(F.col("fold") == f), feats))
-        return float(CV.pr_summary(sc, []).first()["avg_precision"] or 0.0)
+        return fitted.score(MO.assemble(tr.filter(F.col("fold") == f), feats)).select("fold", "y", "score")
 
     try:
         with ThreadPoolExecutor(max_workers=cv) as pool:  # folds fit as concurrent Spark jobs
-            aps = list(pool.map(one, range(cv)))
+            pred = reduce(DataFrame.unionByName, pool.map(one, range(cv)))
+        return CV.pr_summary(pred, ["fold"]).agg(F.avg(F.coalesce("avg_precision", F.lit(0.0)))).first()[0] or 0.0
     finally:
         tr.unpersist()
-    return sum(aps) / len(aps)
 
 
 def rfecv(train: DataFrame, features, min_fraction: float = 0.5, cv: int = 5,
