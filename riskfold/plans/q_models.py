@@ -157,7 +157,7 @@ def _evaluation(spark, sf):
         if key not in cache:
             df, feats = _prepared(spark, sf)
             # default folds, balancing, calibration and parameters; three of the five default families
-            cfg = EvalConfig(models=("dummy", "logistic", "tree"), attribution=True)
+            cfg = EvalConfig(models=("dummy", "logistic", "tree"), attribution=True, parallelism=6)
             cache[key] = evaluate(df, feats, ["returned", "pending"], cfg)
         return cache[key]
 
