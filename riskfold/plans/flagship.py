@@ -9,6 +9,10 @@ from riskfold.plans.evaluate import EvalConfig, evaluate
 from riskfold.session import ensure_checkpoint_dir
 from riskfold.sources.cohorts import ORDER_CATALOG, order_cohort
 
+#: The default repetitions of the reference, and the endpoints of the order cohort.
+SEEDS = (0, 111, 222, 333, 444)
+ENDPOINTS = ["returned", "pending"]
+
 
 def prepared_orders(spark: SparkSession, sf_dir: str, imputer: str = "knn", normaliser: str = "standard"):
     """Prepared order cohort ``(row_id, features..., returned, pending)`` and its feature names."""
@@ -19,13 +23,11 @@ def prepared_orders(spark: SparkSession, sf_dir: str, imputer: str = "knn", norm
     return prep.fitted_rows(), prep.features
 
 
-FLAGSHIP = EvalConfig(models=("dummy", "logistic", "forest"), seeds=(42,), n_outer=2, n_inner=3,
-                      search="none", balancing="class_weight", parallelism=3,
-                      overrides={"forest": {"n_estimators": 10, "max_depth": 5}})
+FLAGSHIP = EvalConfig(seeds=SEEDS)
 
 
 def flagship(spark: SparkSession, sf_dir: str, cfg: EvalConfig = FLAGSHIP) -> DataFrame:
     ensure_checkpoint_dir(spark)
     df, feats = prepared_orders(spark, sf_dir)
-    res = evaluate(df, feats, ["returned"], cfg)
+    res = evaluate(df, feats, ENDPOINTS, cfg)
     return res.summary()

@@ -17,7 +17,7 @@ from riskfold.operators.split import holdout_split, train_test_split
 from riskfold.operators.transforms import fit_impute
 from riskfold.plans import models as MO
 from riskfold.plans.evaluate import EvalConfig, evaluate
-from riskfold.plans.flagship import prepared_orders
+from riskfold.plans.flagship import ENDPOINTS, SEEDS, prepared_orders
 from riskfold.plans.registry import query
 from riskfold.plans import selection as SE
 from riskfold.session import scratch_path
@@ -47,7 +47,7 @@ def _prepared(spark, sf):
     with _LOCK:
         cache = _HELD.of(spark)
         if key not in cache:
-            df, feats = prepared_orders(spark, sf, imputer="mean")
+            df, feats = prepared_orders(spark, sf)
             # Reused by many fits (each a multi-pass job): keep it materialised.
             cache[key] = (df.persist(StorageLevel.MEMORY_AND_DISK), feats)
         return cache[key]
@@ -146,8 +146,7 @@ def q_platt(spark, sf):
 @query("random_search", None, [], "M8 random search (10 draws) on inner folds, through the evaluation")
 def q_random_search(spark, sf):
     df, feats = _prepared(spark, sf)
-    cfg = EvalConfig(models=("logistic",), n_outer=1, search="random", parallelism=1)
-    return evaluate(df, feats, ["returned"], cfg).params
+    return evaluate(df, feats, ENDPOINTS, EvalConfig(seeds=SEEDS, search="random")).params
 
 
 def _evaluation(spark, sf):
@@ -156,9 +155,9 @@ def _evaluation(spark, sf):
         cache = _HELD.of(spark)
         if key not in cache:
             df, feats = _prepared(spark, sf)
-            # default folds, balancing, calibration and parameters; three of the five default families
-            cfg = EvalConfig(models=("dummy", "logistic", "tree"), attribution=True, parallelism=6)
-            cache[key] = evaluate(df, feats, ["returned", "pending"], cfg)
+            # default families, folds, balancing, calibration and parameters
+            cfg = EvalConfig(seeds=SEEDS, attribution=True, parallelism=6)
+            cache[key] = evaluate(df, feats, ENDPOINTS, cfg)
         return cache[key]
 
 
@@ -249,7 +248,7 @@ def q_select_k_best(spark, sf):
 @query("rfecv", None, [], "P13 recursive elimination with CV")
 def q_rfecv(spark, sf):
     train, _test, feats = _split(spark, sf)
-    return SE.rfecv(train, feats, min_fraction=0.5, cv=5, spec=MO.ModelSpec.of("gbt", n_estimators=20))
+    return SE.rfecv(train, feats, min_fraction=0.5, cv=5)
 
 
 @query("impute_iterative", None, [], "T7 round-robin regression imputation")
@@ -275,10 +274,9 @@ def q_evaluate_external(spark, sf):
         cache = _HELD.of(spark)
         if key not in cache:
             train, ext = order_split(order_cohort(spark, sf))
-            prep = prepare(train, ORDER_CATALOG, PrepConfig(imputer="mean", missing_threshold=0.5,
-                                                            drop_single_unique=True, correlation_threshold=0.95))
+            prep = prepare(train, ORDER_CATALOG, PrepConfig(missing_threshold=0.5, drop_single_unique=True,
+                                                            correlation_threshold=0.95))
             tr = prep.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
             ex = prep.transform(ext).persist(StorageLevel.MEMORY_AND_DISK)
-            cfg = EvalConfig(models=("dummy", "logistic"))
-            cache[key] = evaluate(tr, prep.features, ["returned"], cfg, external=ex)
+            cache[key] = evaluate(tr, prep.features, ENDPOINTS, EvalConfig(seeds=SEEDS), external=ex)
         return cache[key].summary()

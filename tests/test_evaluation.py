@@ -162,3 +162,45 @@ def test_unknown_options_are_errors(orders):
     for cfg in (EvalConfig(models=("logistic",), selection="x"), EvalConfig(models=("logistic",), search="random", scorer="x")):
         with pytest.raises(ValueError):
             evaluate(orders, FEATS, ["returned"], cfg)
+
+
+def test_registered_evaluations_are_whole(monkeypatch):
+    """All families, the five reference seeds, all folds, both endpoints and the default (kNN) preparation."""
+    import inspect
+
+    from riskfold.operators.transforms import PrepConfig
+    from riskfold.plans import flagship as FS
+    from riskfold.plans import q_models as QM
+    seen, prepared = [], []
+
+    class Stop(Exception):
+        pass
+
+    def record(df, features, endpoints, cfg=None, external=None):
+        seen.append((list(endpoints), cfg))
+        raise Stop
+
+    def prep(spark, sf, imputer="knn", normaliser="standard"):
+        prepared.append(imputer)
+        raise Stop
+
+    monkeypatch.setattr(QM, "evaluate", record)
+    monkeypatch.setattr(FS, "evaluate", record)
+    monkeypatch.setattr(QM, "prepared_orders", prep)
+    monkeypatch.setattr(QM._Cache, "of", lambda self, spark: {})
+    with pytest.raises(Stop):
+        QM._prepared(None, "x")
+    monkeypatch.setattr(QM, "_prepared", lambda spark, sf: (None, []))
+    monkeypatch.setattr(FS, "prepared_orders", lambda spark, sf: (None, []))
+    monkeypatch.setattr(FS, "ensure_checkpoint_dir", lambda spark: None)
+    for run in (QM._evaluation, QM.q_random_search, FS.flagship):
+        with pytest.raises(Stop):
+            run(None, "x")
+    assert prepared == ["knn"] and len(seen) == 3
+    for endpoints, cfg in seen:
+        assert endpoints == ["returned", "pending"] and cfg.seeds == (0, 111, 222, 333, 444)
+        assert cfg.models == EvalConfig().models and (cfg.n_outer, cfg.n_inner) == (5, 5) and not cfg.overrides
+    assert PrepConfig().imputer == "knn"
+    for run in (QM.q_evaluate_external, QM.q_rfecv):
+        text = inspect.getsource(run)
+        assert "mean" not in text and "models=" not in text and "n_estimators" not in text
