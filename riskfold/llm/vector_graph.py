@@ -8,9 +8,12 @@ shards, a greedy search from the shard's medoid (and from the query's own node,
 which the index holds) finds its surroundings, and every node in range is expanded
 until no new one turns up.  Links are verified in double precision.
 
-Recall is audited: a bounded sample of queries is counted by brute force against
-all vectors in blocks, and a recall below ``TARGET`` repeats the search with a
-wider beam and more routes.
+Recall is audited: a bounded sample of vectors is counted by brute force against
+all vectors in blocks.  Each linked vector has its own recall, vectors linked with
+each other in the sample count as one group, and the mean over groups has to reach
+``TARGET``; the sample grows until ``ENOUGH`` groups have links.  A lower recall
+repeats the search with a wider beam and more routes, and after the widest search
+all pairs of blocks are compared exactly.
 
 Centroids come from a bounded sample (``SAMPLE`` vectors by hash).  A shard with more than ``BLOCK`` vectors is cut
 into blocks by hash; its queries then visit each of its blocks.
@@ -18,6 +21,8 @@ into blocks by hash; its queries then visit each of its blocks.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +35,9 @@ SAMPLE = 20_000
 SHARD, BLOCK, MAX_SHARDS = 1500, 8192, 4096
 OVERLAP, ROUTES = 3, 2
 DEGREE, NEAR, FAR, ALPHA, BEAM = 24, 40, 8, 1.2, 24
-AUDIT, TARGET = 256, 0.95
+AUDIT, AUDIT_MOST, ENOUGH, TARGET = 256, 8192, 64, 0.95
+EXACT_BLOCK = 4096
+LOG = logging.getLogger(__name__)
 
 
 def unit_rows(vectors: DataFrame, kind: str) -> DataFrame:
@@ -251,32 +258,93 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         hits = held.unionByName(asked).groupBy("shard", "block").applyInArrow(search, f"a {kind}, b {kind}")
         return stash(hits.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
-    truth = audit_counts(nodes, least, kind)
-    routes, beam = ROUTES, BEAM
+    audit, proven = audited(nodes, least, kind, n)
+    # too few linked groups to judge by: the widest search at once
+    routes, beam = (ROUTES, BEAM) if proven else (OVERLAP, 8 * BEAM)
     while True:
         pairs = run(routes, beam)
-        have = pairs.select(F.explode(F.array("a", "b")).alias("rep")).join(F.broadcast(truth), "rep").count()
-        want = truth.agg(F.sum("n")).first()[0] or 0
-        if have >= TARGET * want or routes >= OVERLAP and beam >= 8 * BEAM:
+        share = recall(pairs, audit, kind)
+        if share >= TARGET:
             return rows, nodes, pairs
+        if routes >= OVERLAP and beam >= 8 * BEAM:
+            LOG.warning("recall %.3f after the widest search: all pairs of blocks are compared", share)
+            return rows, nodes, exact_pairs(nodes, least, kind, n)
         routes, beam = OVERLAP, 2 * beam
 
 
-def audit_counts(nodes: DataFrame, least: float, kind: str) -> DataFrame:
-    """(rep, n): distinct vectors linked with each vector of a bounded sample, by brute force."""
-    sample = sorted(((r.rep, bytes(r.v)) for r in nodes.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT).collect()))
+def audit_counts(nodes: DataFrame, least: float, kind: str, size: int) -> list[tuple]:
+    """(rep, group, n) of the linked vectors of a sample of ``size``: the number of distinct vectors
+    linked with each, by brute force, and the first of the sample that it is linked with."""
+    sample = sorted(((r.rep, bytes(r.v)) for r in nodes.orderBy(F.xxhash64("rep"), "rep").limit(size).collect()))
     ids, x = [r for r, _ in sample], np.frombuffer(b"".join(v for _, v in sample), np.float64).reshape(len(sample), -1)
+    step = max(1, (1 << 22) // len(ids))
 
     def run(batches):
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
             y = matrix(batch.column(0))
-            for at in range(0, len(y), 4096):
-                total += (x @ y[at:at + 4096].T >= least).sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["rep", "n"])
-
-    counted = nodes.select("v").mapInArrow(run, f"rep {kind}, n long").groupBy("rep").agg((F.sum("n") - 1).alias("n"))
-    return stash(counted, "audit")
+            for at in range(0, len(y), step):
+                total += (x @ y[at:at + step].T >= least).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(ids)), pa.int32()), pa.array(total)], ["i", "n"])
+
+    counted = nodes.select("v").mapInArrow(run, "i int, n long").groupBy("i").agg((F.sum("n") - 1).alias("n"))
+    linked = sorted((r.i, r.n) for r in counted.collect() if r.n > 0)
+    x = x[[i for i, _ in linked]]
+    group = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if group[i] < 0:
+            group[(group < 0) & (x @ x[i] >= least)] = i
+            group[i] = i
+    return [(ids[i], int(g), n) for (i, n), g in zip(linked, group, strict=True)]
+
+
+def audited(nodes: DataFrame, least: float, kind: str, n: int) -> tuple[list[tuple], bool]:
+    """The audit, and whether it can be judged by: it has ``ENOUGH`` groups or holds all vectors."""
+    size = AUDIT
+    while True:
+        audit = audit_counts(nodes, least, kind, size)
+        proven = size >= n or len({g for _, g, _ in audit}) >= ENOUGH
+        if proven or size >= AUDIT_MOST:
+            return audit, proven
+        size = min(4 * size, AUDIT_MOST)
+
+
+def recall(pairs: DataFrame, audit: list[tuple], kind: str) -> float:
+    """Mean over the audit's groups of their vectors' mean recall; 1 where nothing is linked."""
+    if not audit:
+        return 1.0
+    who = pairs.sparkSession.createDataFrame([(r,) for r, _, _ in audit], f"rep {kind}")
+    have = {r.rep: r["count"] for r in pairs.select(F.explode(F.array("a", "b")).alias("rep")).join(F.broadcast(who), "rep")
+            .groupBy("rep").count().collect()}
+    groups: dict[int, list[float]] = {}
+    for r, g, n in audit:
+        groups.setdefault(g, []).append(min(1.0, have.get(r, 0) / n))
+    return float(np.mean([np.mean(x) for x in groups.values()]))
+
+
+def exact_pairs(nodes: DataFrame, least: float, kind: str, n: int) -> DataFrame:
+    """All linked pairs (a, b), a < b, by brute force; each pair of blocks is one task."""
+    blocks = max(1, -(-n // EXACT_BLOCK))
+    own = nodes.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
+        .select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "v")
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j, block = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("block").to_numpy()
+        left, right = t.filter(pa.array(block == i)), t.filter(pa.array(block == j))
+        x, y = matrix(left.column("v")), matrix(right.column("v"))
+        at_x, at_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(x) if len(y) else 0, 512):
+            r, c = np.nonzero(x[at:at + 512] @ y.T >= least)
+            r += at
+            keep = r < c if i == j else slice(None)
+            at_x.append(r[keep])
+            at_y.append(c[keep])
+        return pa.table({"a": left.column("rep").take(pa.array(np.concatenate(at_x))),
+                         "b": right.column("rep").take(pa.array(np.concatenate(at_y)))})
+
+    found = sent.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+    return stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "exact")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = THRESHOLD) -> DataFrame:

@@ -101,6 +101,29 @@ def test_graph_search_finds_all_in_range():
     assert sum(map(len, found)) >= 0.98 * want
 
 
+def test_op4_audit_sees_small_groups(spark, monkeypatch):
+    """A search that loses all small groups next to a hot one: every link is there nevertheless."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(31, 16))
+    x = np.concatenate([np.repeat(base[:1], 90, 0), np.repeat(base[1:], 3, 0)]) + rng.normal(size=(180, 16)) * 0.02
+    whole = vector_graph.range_search
+
+    def lossy(x, lists, queries, own, beam, least):
+        return [f if len(f) > 40 else f[:0] for f in whole(x, lists, queries, own, beam, least)]
+
+    monkeypatch.setattr(vector_graph, "range_search", lossy)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_graph.op4_flat_graph(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i].n_links for i in range(180)] == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+    monkeypatch.setattr(vector_graph, "EXACT_BLOCK", 50)
+    _, nodes, pairs = vector_graph.links(df)
+    assert pairs.count() == pairs.distinct().count() == (np.triu(x @ x.T >= 0.9, 1)).sum()
+    monkeypatch.setattr(vector_graph, "AUDIT", 8)
+    audit, proven = vector_graph.audited(nodes, 0.9, "bigint", 180)
+    assert proven and len({g for _, g, _ in audit}) >= 31
+
+
 def brute_components(rows, t, k):
     sets = {}
     for i, text in rows:
