@@ -6,11 +6,12 @@ headers, footers, side bars, notices, adverts, forms, scripts, reader comments),
 and writes the remaining text as blocks, each with the hashes of the containers
 above it, together with the hashes of all container subtrees of the page.
 
-Spark counts the subtree hashes per host.  A container whose subtree occurs on
-``min_pages`` pages or more of one host is a template and goes with its blocks.
+Spark counts the subtree hashes per host.  A container whose subtree occurs with
+``min_pages`` or more different surroundings on one host is a template and goes with
+its blocks, however much of a page it is.  Its surroundings are the page's main text
+without it, so copies of a page count once: an article that a site repeats stays.
 Paragraphs, headings and list entries of an article are never templates by
-themselves, and neither is a container with half of the page's remaining text or
-more: a passage or an article that a site repeats stays.
+themselves: a passage that a site repeats stays, too.
 
 Only pages that hold a removable container take part in the join with the
 templates; hot templates are split by the skew join on (host, hash).
@@ -186,11 +187,10 @@ def _article(root: Node, mains: list[Node]) -> tuple[Node, bool]:
 
 def extract(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """(blocks, subtrees) of a page.  A block is its text and the hashes of the
-    removable containers above it; subtrees are the page's container hashes."""
+    containers above it; subtrees are the page's container hashes."""
     root = parse(source)
     hashes, mains = _survey(root)
     top, _ = _article(root, mains)
-    half = top.size / 2
     blocks: list[tuple[str, list[int]]] = []
     inline: list[str] = []
     above: list[int] = []
@@ -226,7 +226,7 @@ def extract(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 continue
             if k.tag in BLOCKS:
                 flush()
-                removable = k.tag in CONTAINERS and k.size < half
+                removable = k.tag in CONTAINERS
                 stack.append((node, i, pushed, heads))
                 if removable:
                     above.append(k.hash)
@@ -245,6 +245,17 @@ def extract(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     return blocks, sorted(hashes)
 
 
+def surroundings(blocks: list[tuple[str, list[int]]], subtrees: list[int]) -> list[int]:
+    """Hash of the page's blocks without those of each subtree, whatever their order."""
+    total, under = 0, dict.fromkeys(subtrees, 0)
+    for text, above in blocks:
+        x = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+        total += x
+        for h in set(above):
+            under[h] += x
+    return [(total - under[h]) & (1 << 64) - 1 for h in subtrees]
+
+
 _BLOCKS = "array<struct<text:string,above:array<long>>>"
 
 
@@ -253,37 +264,40 @@ def _signed(x: int) -> int:
 
 
 def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, host, blocks, subtrees) per page; null or empty html has no blocks."""
+    """(id, url, host, blocks, subtrees, rests) per page, ``rests`` the surroundings of each
+    subtree; null or empty html has no blocks."""
     ship_package(pages.sparkSession)
     kind = pa.list_(pa.struct([("text", pa.string()), ("above", pa.list_(pa.int64()))]))
 
     def run(batches):
         for batch in batches:
             for at, part in text_chunks(batch.column(3)):
-                blocks, subtrees = [], []
+                blocks, subtrees, rests = [], [], []
                 for source in part.to_pylist():
                     b, s = extract(source or "")
                     blocks.append([{"text": t.encode("utf-8", "replace").decode(), "above": list(map(_signed, a))} for t, a in b])
                     subtrees.append(list(map(_signed, s)))
+                    rests.append(list(map(_signed, surroundings(b, s))))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(at, len(part)) for i in range(3)), pa.array(blocks, kind),
-                     pa.array(subtrees, pa.list_(pa.int64()))], [id_col, url_col, "host", "blocks", "subtrees"])
+                     *(pa.array(x, pa.list_(pa.int64())) for x in (subtrees, rests))],
+                    [id_col, url_col, "host", "blocks", "subtrees", "rests"])
 
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
     return pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), url_host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`")) \
-        .mapInArrow(run, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, host string, blocks {_BLOCKS}, subtrees array<long>")
+        .mapInArrow(run, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, host string, blocks {_BLOCKS}, subtrees array<long>, rests array<long>")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
               min_pages: int = MIN_PAGES) -> DataFrame:
     """(id, url, text), one row per page; text is empty where nothing remains.
 
-    Pages without a host count as one host.  Repeated rows of a page count once
-    per row; rows that share an id share their templates.
+    Pages without a host count as one host.  Copies of a page count once; rows
+    that share an id share their templates.
     """
     parsed = stash(page_blocks(pages, id_col, url_col, html_col), "blocks")
-    common = stash(parsed.select("host", F.explode("subtrees").alias("h")).groupBy("host", "h")
-                   .agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).drop("n"), "templates")
+    common = stash(parsed.select("host", F.inline(F.arrays_zip(F.col("subtrees").alias("h"), F.col("rests").alias("rest"))))
+                   .groupBy("host", "h").agg(F.countDistinct("rest").alias("n")).filter(F.col("n") >= min_pages).drop("n"), "templates")
     under = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["above"])))
     parsed = parsed.select(id_col, url_col, "host", "blocks", under.alias("under"))
     free, bound = parsed.filter(F.size("under") <= 0), parsed.filter(F.size("under") > 0)

@@ -203,6 +203,21 @@ def test_op10_templates_per_host(spark):
     assert site_templates.op10_site_templates(df.limit(0)).count() == 0
 
 
+def test_op10_copies_and_short_pages(spark):
+    part = "<section><p>Section {} of one article that is copied to many addresses.</p></section>"
+    copy = "<article>" + "".join(part.format(x) for x in "abc") + "</article>"
+    box = "<div class='x1'>Get our long letter about everything that happens every day <a href=/l>here</a></div>"
+    rows = [(i, f"http://a.com/{i}", copy) for i in range(8)]
+    rows += [(10 + i, f"http://b.com/{i}", f"<article><p>Short {i}.</p>{box}</article>") for i in range(6)]
+    rows += [(20 + i, f"http://c.com/{i}", f"<article><p>Short.</p>{box}</article>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in site_templates.op10_site_templates(df).collect()}
+    whole = "\n".join(f"Section {x} of one article that is copied to many addresses." for x in "abc")
+    assert [text[i] for i in range(8)] == [whole] * 8
+    assert [text[10 + i] for i in range(6)] == [f"Short {i}." for i in range(6)]
+    assert text[20].startswith("Short.\nGet our")
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept, sizes = docs, []
