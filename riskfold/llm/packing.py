@@ -41,7 +41,8 @@ class PieceIds:
     remembered.  The file lower-cases, so ASCII capitals are folded first (not
     where a special token might be spelt).  A new piece that is one word of
     letters, with or without a tail of ASCII marks, goes straight to the
-    library's BPE model; all others pass through the whole tokenizer.
+    library's BPE model if it is still letters after NFC (which splits some letters
+    into letter and mark); all others pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -66,7 +67,7 @@ class PieceIds:
         for p in new:
             text = p.decode()
             base = text.rstrip(_MARKS)
-            if not (base.isalpha() and base.lower().isalpha()) or (base.isascii() and not base.islower()):
+            if not (base.isalpha() and base.islower() if base.isascii() else _stays_letters(base)):
                 seen[p] = self._whole(text)
                 continue
             key = base.encode()
@@ -92,6 +93,11 @@ class PieceIds:
         return [b"".join(map(find, p)) for p in pieces]
 
 
+def _stays_letters(word: str) -> bool:
+    """Is the word letters only, and still so as the tokenizer normalises it?"""
+    return word.isalpha() and word.lower().isalpha() and lower_each(unicodedata.normalize("NFC", word)).isalpha()
+
+
 #: ASCII characters that are neither letters, digits nor white space.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOADED: dict[str, PieceIds] = {}

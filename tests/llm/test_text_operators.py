@@ -6,7 +6,9 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +30,10 @@ def tool():
     return Tokenizer.from_file(PATH)
 
 
+#: Letters that NFC splits into letter and mark.
+SPLIT = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not unicodedata.normalize("NFC", chr(c)).isalpha()]
+
+
 def odd_texts():
     rng = random.Random(4)
     letters = "aAbBsSİΣßéÉé’,.!$ \t\n\x0b\x1c\x85\xa0 0۵²中文कि😀<|>_-\x01"
@@ -35,7 +41,17 @@ def odd_texts():
     out = [None, "", " ", "\n", "a", "The the THE", "x" * 70_000, "the cat " * 20_000, "same", "same"]
     for _ in range(300):
         out.append("".join(rng.choice(letters) if rng.random() < .8 else rng.choice(bits) for _ in range(rng.randint(0, 50))))
-    return out
+    return out + [c + "\u0915" for c in SPLIT] + [f"a{c}, {c}! {c}{c}b" for c in SPLIT]
+
+
+def test_pieces_of_any_letter_equal_library(tool):
+    own = packing.PieceIds(PATH)
+    texts = [t for c in map(chr, range(0x80, 0x110000)) if c.isalpha() for t in (c, f"{c}a.")]
+    assert len(SPLIT) > 50
+    for t, got in zip(texts, own.ids([t.encode() for t in texts])):
+        assert list(array("I", got)) == tool.encode(t, add_special_tokens=False).ids, t
+    for t in odd_texts():
+        assert list(array("I", own.ids([(t or "").encode()])[0])) == tool.encode(t or "", add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
