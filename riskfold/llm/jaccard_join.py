@@ -155,20 +155,33 @@ def linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, kind: str, t: in
     return full.filter(100 * common >= t * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def shared_ids(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of different sets that rows of one id hold."""
+    sets = rows.filter((F.col("n") > 0) & F.col("id").isNotNull()).select("id", "s1", "s2")
+    both = F.struct("s1", "s2")
+    several = sets.groupBy("id").agg(F.min(both).alias("lo"), F.max(both).alias("hi")).filter("lo <> hi").select("id")
+    held = stash(sets.join(several, "id", "left_semi").distinct().join(reps, ["s1", "s2"]).select("id", "rep").distinct(), "shared")
+    low = held.groupBy("id").agg(F.min("rep").alias("a"))
+    return held.join(low, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id), one row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, the row's own id where
     there are none.  Null text is empty; empty sets link with nothing.  Rows with a
     null id take no part and have a null component.  Rows that share an id are one
-    node.
+    node, which links by each of its texts.
     """
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = stash(describe(texts, kind, t, k), "sets")
     reps = stash(rows.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("s1", "s2").agg(F.min("id").alias("rep")), "reps")
-    own = rows.select("id", "n", "p1").join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    # each distinct set lists its own prefix, under the smallest id that has it
+    own = rows.select("id", "n", "s1", "s2", "p1").join(reps.withColumnRenamed("rep", "id"), ["id", "s1", "s2"], "left_semi") \
+        .dropDuplicates(["id", "s1", "s2"])
+    same = shared_ids(rows, reps)
     held = own.select("id", "n", F.posexplode("p1").alias("i", "gram"))
     group = Window.partitionBy("gram")
     in_size = group.orderBy("n", "id")
@@ -190,6 +203,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int
         return df.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     first = stash(linked(distinct_pairs(near.unionByName(star)), rows, texts, kind, t, k), "links")
+    first = first.unionByName(same)
     roots = components(first)
     marked = member.join(roots.select(c("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = marked.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("gram")

@@ -166,6 +166,25 @@ def test_op5_odd_rows(spark):
     assert jaccard_join.op5_order_filters(df.limit(0)).count() == 0
 
 
+def test_op5_shared_ids_link_by_each_text(spark):
+    rng = random.Random(9)
+
+    def text():
+        return " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+
+    rows, want = [], {}
+    for i in range(0, 200, 10):                           # id i+5 holds the texts of i, of i+1 and one near that of i+8
+        a, b, c = text(), text(), text()
+        rows += [(i, a), (i + 1, b), (i + 5, b), (i + 5, a), (i + 5, c), (i + 8, c + " end"), (i + 9, text())]
+        want |= {i: i, i + 1: i, i + 5: i, i + 8: i, i + 9: i + 9}
+        x, y, z = text(), text(), text()                  # neither text of id 1000+i is another row's
+        rows += [(1000 + i, x), (1000 + i, y), (1000 + i, z)] + [(1001 + i + k, t + " end") for k, t in enumerate((x, y, z))]
+        want |= {1000 + i + k: 1000 + i for k in range(4)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.op5_order_filters(df).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+
+
 ARTICLE = "<article><header><h1>T&amp;t</h1><p class=byline>By</p></header><p>One <b>two</b>\n three<br>four<p>Five&nbsp;six" \
     "<div class=related>see also</div><aside>side</aside><ul><li>a<li>b</ul><!-- x --><script>if(a<b){}</script>{more}</article>"
 
