@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from riskfold.llm import backoff_lm, bpe, jaccard_join, language_codes, line_crf, line_runs, packing, site_templates, url_filter, vector_graph
+from riskfold.llm import (backoff_lm, bpe, jaccard_join, language_codes, line_crf, line_runs, packing, period_runs, shard_schedule,
+                          site_templates, spelling_variants, url_filter, vector_graph)
 from riskfold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -50,7 +51,19 @@ def op10_site_templates(spark, sf_dir):
     return site_templates.op10_site_templates(table(spark, sf_dir, "pages"))
 
 
+def op11_bloom_neighbours(spark, sf_dir):
+    return spelling_variants.op11_bloom_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op12_tiled_periods(spark, sf_dir):
+    return period_runs.op12_tiled_periods(table(spark, sf_dir, "documents"))
+
+
+def op13_longest_first(spark, sf_dir):
+    return shard_schedule.op13_longest_first(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_squares_packing, op2_bpe_codec, op3_host_words, op4_flat_graph, op5_order_filters, op6_line_crf, op7_language_codes,
-    op8_backoff_automaton, op9_line_runs, op10_site_templates)}
+    op8_backoff_automaton, op9_line_runs, op10_site_templates, op11_bloom_neighbours, op12_tiled_periods, op13_longest_first)}
 ORACLE = {"op9_line_runs": line_runs.OP9_SQL}
