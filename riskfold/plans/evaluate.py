@@ -1,11 +1,13 @@
 """Nested evaluation of model families over endpoints, seeds and folds.
 
-Plan once: the fold table (R6) is checkpointed, the assembled feature
-vectors are persisted; every (endpoint, seed, outer split, family) is an
-independent task submitted from a driver thread pool, so Spark runs many
-small fits at once.  Each task writes its validation and test predictions
-as Parquet under the checkpoint folder (lineage cut, survives executor
-loss); all metrics and curves are then computed by key in single queries.
+Plan once: the fold table (R6) is checkpointed and the cohort packed.  The default
+families are fitted keyed (:mod:`riskfold.plans.units`): every (endpoint, seed, outer
+split, inner fold) of every family in the same few jobs, whose number does not grow
+with the units.  Families and options that only Spark ML offers (linear SVM,
+perceptron, synthetic rows, feature selection, kept models) run as one task per
+(endpoint, seed, outer split, family) from a driver thread pool.  Predictions are
+written under the checkpoint folder (lineage cut, survives executor loss); all
+metrics and curves are then computed by key in single queries.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from riskfold.plans import explain as EX
 from riskfold.plans import models as MO
 from riskfold.plans import report as RP
 from riskfold.plans import selection as SE
+from riskfold.plans import units as UN
 from riskfold.session import cut_lineage, scratch_path
 
 LOG = logging.getLogger(__name__)
@@ -267,6 +270,106 @@ def _task_body(rows, features, key, cfg: EvalConfig, root: str):
             "search_score": best_score, "importances": imps}
 
 
+#: Families that are fitted keyed, under balancing by weights or none and without selection.
+KEYED = ("dummy", "tree", "forest", "gbt", "logistic")
+
+
+def keyed_models(cfg: EvalConfig) -> list[str]:
+    plain = cfg.balancing in (None, "none", "class_weight") and cfg.selection is None and cfg.model_path is None
+    return [m for m in cfg.models if m in KEYED] if plain else []
+
+
+def _names(cells: UN.Cells) -> DataFrame:
+    return F.broadcast(cells.table.sparkSession.createDataFrame(
+        [(i, *k) for i, k in enumerate(cells.groups)], "g int, endpoint string, seed int, outer_fold int"))
+
+
+def _constant(cells: UN.Cells) -> DataFrame:
+    """Predictions of the constant baseline in the shape of :data:`UN.OUT`."""
+    m = cells.table.select("row_id", F.explode("member").alias("m")).select("row_id", "m.*")
+    full = m.withColumn("f", F.lit(UN.FULL)).withColumn("role", F.when(F.col("code") < 0, UN.SCORED).otherwise(UN.BOTH))
+    inner = m.filter(F.col("code") >= 0).withColumn("f", F.col("code")).withColumn("role", F.lit(UN.SCORED))
+    given = {"kind": F.lit(UN.PREDICTION), "model": F.lit("dummy"), "cand": F.lit(0), "feature": F.lit(None), "score": F.lit(1.0), "margin": F.lit(1.0)}
+    types = [p.split(" ") for p in UN.OUT.split(", ")]
+    return full.unionByName(inner).select(*[given.get(c, F.col(c) if c not in given else None).cast(t).alias(c) for c, t in types])
+
+
+def _keyed(df: DataFrame, plan: DataFrame, features, models, cfg: EvalConfig, fit_on: DataFrame) -> Results:
+    """All units of ``models`` in a number of jobs that does not depend on how many units there are."""
+    spark = df.sparkSession
+    cells = UN.pack(df, plan, features, fit_on)
+    groups = range(len(cells.groups))
+    cands = {(g, m): list(enumerate(_candidates(m, cfg, cells.groups[g][1]))) for g in groups for m in models}
+    balanced = cfg.balancing == "class_weight"
+    inner, full = [(g, f) for g in groups for f in range(cfg.n_inner)], [(g, UN.FULL) for g in groups]
+    means = UN.training_means(cells) if cfg.attribution and "logistic" in models else None
+    coefficients: dict = {}
+
+    def fitted(units, chosen, name) -> DataFrame:
+        parts = [_constant(cells).filter(F.col("f").isin(sorted({f for _, f in units})))] if "dummy" in models else []
+        if "logistic" in models:
+            betas, passes = UN.fit_logistic(cells, {u: chosen[u[0], "logistic"] for u in units}, balanced)
+            LOG.info("elastic net: %s coefficient vectors in %s passes", len(betas), passes)
+            coefficients.update({k: b for k, b in betas.items() if k[1] == UN.FULL})
+            parts.append(UN.score_logistic(cells, betas, means))
+        trees = {k: v for k, v in chosen.items() if k[1] in ("tree", "forest", "gbt")}
+        if trees:
+            parts.append(UN.fit_trees(cells, units, UN.Job(trees, balanced, cfg.attribution)))
+        return UN.stash(reduce(DataFrame.unionByName, parts), name)
+
+    best = {k: 0 for k in cands}
+    found: dict = {}
+    if any(len(v) > 1 for v in cands.values()):
+        tried = fitted(inner, cands, "tried")
+        scored = tried.filter(F.col("kind") == UN.PREDICTION)
+        keys = ["g", "model", "cand", "f"]
+        table = CV.roc_auc(scored, keys) if cfg.scorer == "roc_auc" else CV.pr_summary(scored, keys)
+        column = "roc_auc" if cfg.scorer == "roc_auc" else "avg_precision"
+        rows = table.groupBy("g", "model", "cand").agg(F.avg(F.coalesce(column, F.lit(0.0))).alias("s")).collect()   # a row per candidate
+        for r in sorted(rows, key=lambda r: (r["g"], r["model"], -r["s"], r["cand"])):
+            if (r["g"], r["model"]) not in found:
+                found[r["g"], r["model"]], best[r["g"], r["model"]] = r["s"], r["cand"]
+        last = fitted(full, {k: [v[best[k]]] for k, v in cands.items()}, "chosen")
+        choice = spark.createDataFrame([(g, m, c) for (g, m), c in best.items()], "g int, model string, cand int")
+        out = tried.join(F.broadcast(choice), ["g", "model", "cand"]).select(*last.columns).unionByName(last)
+    else:
+        out = fitted(inner + full, cands, "units")
+
+    names = _names(cells)
+    label = ["endpoint", "seed", "model", "outer_fold"]
+    pred = out.filter(F.col("kind") == UN.PREDICTION)
+    cut = F.lit(0.5)
+    validation = pred.filter(F.col("f") >= 0).join(names, "g").select(
+        *label, F.col("f").alias("inner_fold"), "row_id", F.col("y").cast("int").alias("y"), "score", (F.col("score") >= cut).cast("int").alias("pred"))
+    whole = pred.filter(F.col("f") == UN.FULL).select("g", "model", "row_id", F.col("y").cast("int").alias("y"), "role", F.col("score").alias("raw_score"), "margin")
+    if cfg.calibrate:
+        sigmoid = UN.platt_keyed(whole.filter((F.col("role") == UN.BOTH) & (F.col("model") != "dummy")).select("g", "model", "y", "margin"), ["g", "model"])
+        ab = spark.createDataFrame([(g, m, a, b) for (g, m), (a, b) in sigmoid.items()], "g int, model string, _a double, _b double")
+        whole = whole.join(F.broadcast(ab), ["g", "model"], "left").withColumn("score", F.when(
+            F.col("_a").isNull(), F.col("raw_score")).otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_a") * F.col("margin") + F.col("_b")))))
+    else:
+        whole = whole.withColumn("score", F.col("raw_score"))
+    whole = UN.stash(whole.select("g", "model", "row_id", "y", "role", "score", "raw_score"), "calibrated")
+    basis = whole.filter(F.col("role") == (UN.SCORED if cfg.threshold_on == "test" else UN.BOTH))
+    cuts = {(r["g"], r["model"]): float(r["threshold"]) for r in
+            CV.best_threshold(CV.threshold_sweep(basis, ["g", "model"]), ["g", "model"]).collect()}                        # a row per unit
+    thresholds = spark.createDataFrame([(g, m, cuts.get((g, m), 0.5)) for g, m in cands], "g int, model string, threshold double")
+    test = whole.filter(F.col("role") == UN.SCORED).join(F.broadcast(thresholds), ["g", "model"]).join(names, "g").select(
+        *label, "row_id", "y", "score", "raw_score", (F.col("score") >= F.col("threshold")).cast("int").alias("pred"))
+    params = spark.createDataFrame(
+        [(e, s, m, o, cands[g, m][best[g, m]][1].describe(limit=None), cuts.get((g, m), 0.5), found.get((g, m)))
+         for g, (e, s, o) in enumerate(cells.groups) for m in models],
+        "endpoint string, seed int, model string, outer_fold int, params string, threshold double, search_score double")
+    array = F.array(*[F.lit(f) for f in cells.features])
+    name = F.element_at(array, F.col("feature") + 1).alias("feature")
+    imps = out.filter(F.col("kind") == UN.IMPORTANCE).join(names, "g").select(*label, name, F.col("score").alias("importance"))
+    linear = [(*cells.groups[g][:2], "logistic", cells.groups[g][2], n, float(v)) for (g, _, _), b in coefficients.items()
+              for n, v in zip(cells.features, b[1:])]
+    imps = imps.unionByName(spark.createDataFrame(linear, "endpoint string, seed int, model string, outer_fold int, feature string, importance double"))
+    phi = out.filter(F.col("kind") == UN.ATTRIBUTION).join(names, "g").select(*label, "row_id", name, F.col("score").alias("phi"))
+    return Results(validation, test, params, imps, phi)
+
+
 def external_fold_plan(df: DataFrame, external: DataFrame, endpoints, seeds=(42,), n_inner: int = 5,
                        key: str = "row_id") -> DataFrame:
     """Fold table for an external test cohort: every training row is ``train``
@@ -321,9 +424,24 @@ def evaluate(df: DataFrame, features, endpoints, cfg: EvalConfig | None = None,
     else:
         plan = cut_lineage(external_fold_plan(df, external, endpoints, cfg.seeds, cfg.n_inner))
         both, n_outer = df.select("row_id", *features).unionByName(external.select("row_id", *features)), 1
+    keyed = keyed_models(cfg)
+    results = [_keyed(both, plan, features, keyed, cfg, df)] if keyed else []
+    rest = [m for m in cfg.models if m not in keyed]
+    if rest:
+        results.append(_pooled(both, plan, features, endpoints, n_outer, rest, cfg, root))
+
+    def joined(name):
+        return reduce(DataFrame.unionByName, [getattr(r, name) for r in results])
+
+    return Results(*[joined(n) for n in ("validation", "test", "params", "importances", "attributions")])
+
+
+def _pooled(both: DataFrame, plan: DataFrame, features, endpoints, n_outer: int, models, cfg: EvalConfig, root: str) -> Results:
+    """One task per (endpoint, seed, outer split, family) on a driver thread pool."""
+    spark = both.sparkSession
     data = both.select("row_id", *[col(c).cast("double").alias(c) for c in features]).persist(
         StorageLevel.MEMORY_AND_DISK)
-    keys = [(e, int(s), o, m) for e in endpoints for s in cfg.seeds for o in range(n_outer) for m in cfg.models]
+    keys = [(e, int(s), o, m) for e in endpoints for s in cfg.seeds for o in range(n_outer) for m in models]
     try:
         with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
             outs = list(pool.map(lambda k: _task(spark, data, plan, features, k, cfg, root), keys))

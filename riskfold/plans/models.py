@@ -37,11 +37,12 @@ MAX_BINS = 64       # split candidates per feature of trees, forests and boostin
 MLP_ITERATIONS = 200
 MLP_STEP = 30.0     # plain gradient steps per unit of learning rate (rates are given for normalised steps)
 
-# Candidate grids per family (the tree splitter option has no
-# Spark counterpart and is left out).
+# Candidate grids per family (the random tree splitter is fitted
+# keyed only, Spark ML has none).
 GRIDS = {
     "dummy": {},
-    "tree": {"max_depth": [5, 10, None], "max_features": ["sqrt", "log2", None], "criterion": ["gini", "entropy"]},
+    "tree": {"max_depth": [5, 10, None], "max_features": ["sqrt", "log2", None], "criterion": ["gini", "entropy"],
+             "splitter": ["best", "random"]},
     "forest": {"n_estimators": [10, 100], "criterion": ["gini", "entropy"], "max_depth": [5, 10, None],
                "max_features": ["sqrt", "log2", None]},
     "gbt": {"learning_rate": [0.01, 0.1, 0.3], "n_estimators": [100, 1000], "max_depth": [3, 5, 10],
@@ -55,7 +56,7 @@ GRIDS = {
 # Library defaults of each family.
 DEFAULTS = {
     "dummy": {},
-    "tree": {"max_depth": None, "max_features": None, "criterion": "gini"},
+    "tree": {"max_depth": None, "max_features": None, "criterion": "gini", "splitter": "best"},
     "forest": {"n_estimators": 100, "criterion": "gini", "max_depth": None, "max_features": "sqrt"},
     "gbt": {"learning_rate": 0.1, "n_estimators": 100, "max_depth": 3, "max_features": None, "loss": "log_loss"},
     "logistic": {"l1_ratio": 0.0, "C": 1.0},
@@ -83,11 +84,11 @@ class ModelSpec:
     def p(self) -> dict:
         return dict(self.params)
 
-    def describe(self) -> str:
-        """Parameters as fitted: a depth of ``None`` is the engine's limit."""
+    def describe(self, limit: int | None = MAX_DEPTH) -> str:
+        """Parameters as fitted: a depth of ``None`` is Spark ML's limit (keyed fits have none)."""
         p = self.p
-        if "max_depth" in p:
-            p["max_depth"] = _depth(p["max_depth"])
+        if "max_depth" in p and p["max_depth"] is None:
+            p["max_depth"] = limit
         return json.dumps({"family": self.family, **p}, default=str)
 
     @property
@@ -129,6 +130,8 @@ def estimator(spec: ModelSpec, n_rows: int, features="features", label="y", weig
     if f == "dummy":
         return None
     if f in ("tree", "forest"):
+        if p.get("splitter") == "random":
+            raise ValueError("random thresholds are fitted keyed only")
         n_trees = 1 if f == "tree" else int(p["n_estimators"])
         kw = dict(common, numTrees=n_trees, maxDepth=_depth(p["max_depth"]),
                   featureSubsetStrategy=_subset(p["max_features"]), seed=seed, maxBins=MAX_BINS)

@@ -156,8 +156,7 @@ def _evaluation(spark, sf):
         if key not in cache:
             df, feats = _prepared(spark, sf)
             # default families, folds, balancing, calibration and parameters
-            cfg = EvalConfig(seeds=SEEDS, attribution=True, parallelism=6)
-            cache[key] = evaluate(df, feats, ENDPOINTS, cfg)
+            cache[key] = evaluate(df, feats, ENDPOINTS, EvalConfig(seeds=SEEDS))
         return cache[key]
 
 
@@ -188,7 +187,9 @@ def q_evaluated_pooled_pr(spark, sf):
 
 @query("evaluated_attribution", None, [], "X4 / A7 attributions of fitted models pooled over outer splits")
 def q_evaluated_attribution(spark, sf):
-    return _evaluation(spark, sf).attribution_summary()
+    df, feats = _prepared(spark, sf)
+    cfg = EvalConfig(seeds=SEEDS, attribution=True)
+    return evaluate(df, feats, ENDPOINTS, cfg).attribution_summary()
 
 
 @query("best_params", None, [], "S10 chosen parameters and thresholds")
