@@ -5,10 +5,6 @@ handful of fits (seeds, elimination steps), never over rows."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -18,6 +14,8 @@ from riskfold.functions import curves as CV
 from riskfold.operators.filters import cumulative_importance
 from riskfold.operators.split import stratified_kfold
 from riskfold.plans import models as MO
+from riskfold.plans import units as UN
+from riskfold.session import cut_lineage
 
 
 def gbm_importance(df: DataFrame, features, n_iterations: int = 10, max_iter: int = 1000,
@@ -47,40 +45,37 @@ def select_from_model(imp: DataFrame) -> DataFrame:
     return imp.filter(F.col("importance") >= F.lit(mean)).select("feature", "importance")
 
 
-def _cv_ap(train: DataFrame, feats, spec, cv: int, seed: int = 42) -> float:
-    folds = stratified_kfold(train, "y", cv, seed).select("row_id", "fold")
-    tr = train.join(folds, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(f):
-        fitted = MO.fit(spec, MO.assemble(tr.filter(F.col("fold") != f), feats), len(feats))
-        return fitted.score(MO.assemble(tr.filter(F.col("fold") == f), feats)).select("fold", "y", "score")
-
-    try:
-        with ThreadPoolExecutor(max_workers=cv) as pool:  # folds fit as concurrent Spark jobs
-            pred = reduce(DataFrame.unionByName, pool.map(one, range(cv)))
-        return CV.pr_summary(pred, ["fold"]).agg(F.avg(F.coalesce("avg_precision", F.lit(0.0)))).first()[0] or 0.0
-    finally:
-        tr.unpersist()
-
-
 def rfecv(train: DataFrame, features, min_fraction: float = 0.5, cv: int = 5,
-          spec: MO.ModelSpec | None = None) -> DataFrame:
+          spec: MO.ModelSpec | None = None, seed: int = 42) -> DataFrame:
     """Recursive elimination (one feature per step, weakest importance
     first) scored by cross-validated average precision down to
-    ``int(n * min_fraction)`` features; the best step is marked selected."""
+    ``int(n * min_fraction)`` features; the best step is marked selected.
+
+    The rows are packed once; a step is one keyed job that fits the folds and the
+    whole together.  Above ``units.LOCAL_ROWS`` rows each step packs its own features,
+    and the fits grow by passes."""
     spec = spec or MO.ModelSpec.of("gbt", n_estimators=100)
-    spark = train.sparkSession
-    cur = list(features)
-    n_min = max(1, int(len(features) * min_fraction))
-    rows = []
+    spark, features = train.sparkSession, list(features)
+    folds = stratified_kfold(train, "y", cv, seed).select("row_id", F.col("y").cast("string").alias("y"), F.col("fold").alias("inner_fold"))
+    plan = cut_lineage(folds.select("row_id", F.lit("y").alias("endpoint"), F.lit(seed).alias("seed"), F.lit(0).alias("outer_fold"), "y",
+                                    F.lit("train").alias("role"), "inner_fold"))
+    whole = UN.pack(train, plan, features)
+    units = [(0, f) for f in range(cv)] + [(0, UN.FULL)]
+    cur, rows = list(features), []
     while True:
-        score = _cv_ap(train, cur, spec, cv)
+        if whole.rows(0) > UN.LOCAL_ROWS:
+            cells, names, job = UN.pack(train, plan, cur), cur, UN.Job({(0, spec.family): [(0, spec)]}, balanced=False)
+        else:
+            cells, names = whole, features
+            job = UN.Job({(0, spec.family): [(0, spec)]}, balanced=False, columns=tuple(features.index(c) for c in cur))
+        out = UN.stash(UN.fit_trees(cells, units, job), "elimination")
+        held = out.filter((F.col("kind") == UN.PREDICTION) & (F.col("f") >= 0)).select("f", "y", "score")
+        score = CV.pr_summary(held, ["f"]).agg(F.avg(F.coalesce("avg_precision", F.lit(0.0)))).first()[0] or 0.0
         rows.append((len(cur), score, ",".join(cur)))
-        if len(cur) <= n_min:
+        if len(cur) <= max(1, int(len(features) * min_fraction)):
             break
-        fitted = MO.fit(spec, MO.assemble(train, cur), len(cur))
-        imps = MO.importances(fitted, cur)
-        weakest = min(imps, key=lambda t: (abs(t[1]), t[0]))[0]
+        weights = {names[r["feature"]]: r["score"] for r in out.filter(F.col("kind") == UN.IMPORTANCE).collect()}     # a row per feature
+        weakest = min(cur, key=lambda c: (weights[c], c))
         cur = [c for c in cur if c != weakest]
     best = max(rows, key=lambda r: (r[1], -r[0]))
     return spark.createDataFrame([(n, s, f, (n, s, f) == best) for n, s, f in rows],
