@@ -1,16 +1,18 @@
 """Main text of web pages with removal of a site's repeated subtrees.
 
-One pass parses every page into a light element tree.  It finds the article,
-leaves out elements whose tag, role or class names them as something else (menus,
-headers, footers, side bars, notices, adverts, forms, scripts, reader comments),
-and writes the remaining text as blocks, each with the hashes of the containers
-above it, together with the hashes of all container subtrees of the page.
+One pass parses every page into a light element tree.  It finds the articles,
+leaves out elements whose tag says that they are something else (menus, footers,
+forms, scripts) and containers whose role or class names them so (headers, side
+bars, notices, adverts, reader comments), and writes the remaining text as blocks,
+each with the hashes of the containers above it, together with the hashes of all
+container subtrees of the page.  A class of a paragraph or of a run of text only
+proposes: such an element counts as a container, and goes if the site repeats it.
 
 Spark counts the subtree hashes per host.  A container whose subtree occurs with
 ``min_pages`` or more different surroundings on one host is a template and goes with
 its blocks, however much of a page it is.  Its surroundings are the page's main text
 without it, so copies of a page count once: an article that a site repeats stays.
-Paragraphs, headings and list entries of an article are never templates by
+Other paragraphs, headings and list entries of an article are never templates by
 themselves: a passage that a site repeats stays, too.
 
 Only pages that hold a removable container take part in the join with the
@@ -57,18 +59,18 @@ OTHER = frozenset("""ad ads adbox adslot advert adverts advertisement advertisin
 HEADER = frozenset(["header", "topbar"])
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*(?:>|\Z))""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|["'/=]""")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "names", "off", "parent", "kids", "size", "hash", "junk")
+    __slots__ = ("tag", "names", "off", "parent", "kids", "size", "hash", "junk", "offer")
 
     def __init__(self, tag, names, off, parent):
         self.tag, self.names, self.off, self.parent = tag, names, off, parent
         self.kids: list = []      # texts and nodes in page order
-        self.size, self.hash, self.junk = 0, 0, False
+        self.size, self.hash, self.junk, self.offer = 0, 0, False, False
 
 
 def parse(source: str) -> Node:
@@ -101,12 +103,14 @@ def parse(source: str) -> Node:
         if len(attrs) > 1:
             found: set[str] = set()
             for a in _ATTR.finditer(attrs):
-                key, value = a[1].lower(), (a[2] or "").strip("\"'")
+                key, value = (a[1] or "").lower(), (a[2] or "").strip("\"'")
                 if key == "style":
                     off = off or _HIDDEN.search(value) is not None
-                elif key == "hidden" or key == "aria-hidden":
-                    off = off or (key == "hidden" and a[2] is None) or value.lower() in ("true", "hidden")
-                else:
+                elif key == "hidden":                  # its mere presence counts
+                    off = True
+                elif key == "aria-hidden":
+                    off = off or value.lower() == "true"
+                elif key in ("class", "id", "role"):
                     found.update(x.lower() for x in _NAME.findall(value))
             names = frozenset(found)
         # elements that this start ends without an end tag
@@ -141,8 +145,9 @@ def _named(node: Node, words: frozenset) -> bool:
 
 
 def _survey(root: Node) -> tuple[set[int], list[Node]]:
-    """Hash all subtrees; mark junk and measure what remains.  Returns the hashes
-    of container subtrees and the candidates for the article, in page order."""
+    """Hash all subtrees; mark junk, offer named paragraphs and runs of text as
+    templates, and measure what remains.  Returns the hashes of container and offered
+    subtrees and the outermost main and article elements, in page order."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -152,9 +157,9 @@ def _survey(root: Node) -> tuple[set[int], list[Node]]:
     for node in order:                                  # from above: junk passes down
         up = node.parent
         named = node.tag in CONTAINERS and node.tag not in ("main", "article") and _named(node, OTHER)
-        said = node.tag not in CONTAINERS and node.tag not in ("html", "body") and _named(node, OTHER) and node.tag not in HEADINGS
+        node.offer = node.tag not in CONTAINERS and node.tag not in ("html", "body") and node.tag not in HEADINGS and _named(node, OTHER)
         comment = node.tag == "article" and _named(node, OTHER)
-        node.junk = (up.junk if up else False) or node.tag in DROPPED or node.off or named or said or comment
+        node.junk = (up.junk if up else False) or node.tag in DROPPED or node.off or named or comment
     for node in reversed(order):                        # from below: sizes and hashes
         digest = xxhash.xxh64(f"{node.tag} {' '.join(sorted(node.names))}")
         size = 0
@@ -167,42 +172,45 @@ def _survey(root: Node) -> tuple[set[int], list[Node]]:
                 size += len(text)
         node.hash = digest.intdigest()
         node.size = 0 if node.junk else size
-        if node.tag in CONTAINERS and node.kids:
+        if (node.tag in CONTAINERS or node.offer) and node.kids:
             hashes.add(node.hash)
+    inside: set[int] = set()
     for node in order:
-        if node.tag in ("main", "article") and not node.junk and node.size:
+        below = node.parent is not None and id(node.parent) in inside
+        if not below and node.tag in ("main", "article") and not node.junk and node.size:
             mains.append(node)
+            below = True
+        if below:
+            inside.add(id(node))
     return hashes, mains
 
 
-def _article(root: Node, mains: list[Node]) -> tuple[Node, bool]:
-    """The element with the main text, and whether the page names it."""
-    articles = [n for n in mains if n.tag == "article"]
-    if articles:
-        return max(articles, key=lambda n: n.size), True   # the first of equal ones
-    if mains:
-        return max(mains, key=lambda n: n.size), True
-    return root, False
-
-
 def extract(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """(blocks, subtrees) of a page.  A block is its text and the hashes of the
     containers above it; subtrees are the page's container hashes."""
     root = parse(source)
     hashes, mains = _survey(root)
-    top, _ = _article(root, mains)
     blocks: list[tuple[str, list[int]]] = []
-    inline: list[str] = []
+    inline: list[tuple[str, int | None]] = []      # text and the offered element it stands in
     above: list[int] = []
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(inline)).split())
+        text = " ".join(html.unescape("".join(t for t, _ in inline)).split())
+        offers = {o for t, o in inline if t.strip()}
         inline.clear()
-        if text:
-            blocks.append((text, list(above)))
+        if text:     # a block that is nothing but an offered element goes with it
+            blocks.append((text, [*above, *(offers if len(offers) == 1 and None not in offers else ())]))
 
-    # explicit stack: (node, next child, was a container pushed, only headings count)
-    stack = [(top, 0, False, False)]
+    for top in mains or [root]:
+        _write(top, inline, above, flush)
+    return blocks, sorted(hashes)
+
+
+def _write(top: Node, inline: list, above: list[int], flush) -> None:
+    """Text of one element: fills ``inline``, flushed at the edges of blocks."""
+    offered: list[int] = []
+    # explicit stack: (node, next child, list its hash was pushed to, only headings count)
+    stack = [(top, 0, None, False)]
     while stack:
         node, i, pushed, heads = stack.pop()
         kids = node.kids
@@ -211,38 +219,39 @@ def extract(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             i += 1
             if not isinstance(k, Node):
                 if not heads:
-                    inline.append(k)
+                    inline.append((k, offered[-1] if offered else None))
                 continue
             if k.junk:
                 if k.tag in BLOCKS:
                     flush()
                 else:
-                    inline.append(" ")
+                    inline.append((" ", None))
                 continue
             if k.tag == "br" or k.tag in VOID:
-                inline.append(" ")
+                inline.append((" ", None))
                 if k.tag == "hr":
                     flush()
                 continue
             if k.tag in BLOCKS:
                 flush()
-                removable = k.tag in CONTAINERS
+                held = above if k.tag in CONTAINERS or k.offer else None
                 stack.append((node, i, pushed, heads))
-                if removable:
-                    above.append(k.hash)
+                if held is not None:
+                    held.append(k.hash)
                 # of a header only headings belong to the article
                 only = k.tag not in HEADINGS and (heads or (k.tag in CONTAINERS and (k.tag == "header" or _named(k, HEADER))))
-                stack.append((k, 0, removable, only))
+                stack.append((k, 0, held, only))
                 break
             stack.append((node, i, pushed, heads))
-            stack.append((k, 0, False, heads))
+            if k.offer:
+                offered.append(k.hash)
+            stack.append((k, 0, offered if k.offer else None, heads))
             break
         else:
             if node.tag in BLOCKS or node is top:
                 flush()
-            if pushed:
-                above.pop()
-    return blocks, sorted(hashes)
+            if pushed is not None:
+                pushed.pop()
 
 
 def surroundings(blocks: list[tuple[str, list[int]]], subtrees: list[int]) -> list[int]:

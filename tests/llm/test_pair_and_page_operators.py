@@ -268,3 +268,51 @@ def test_pipeline_on_no_rows(spark):
         docs_out = stage(spark, docs, SF)
         assert docs_out.count() == 0
     assert packing.CAPACITY == 2048
+
+
+def test_op10_attributes_are_read_by_exact_name():
+    assert text_of('<article><p title="The hidden cost">Kept</p><p data-hidden="x" data-title="Hidden gems">Too</p></article>') == "Kept\nToo"
+    assert text_of('<article data-title="Hidden gems"><p>Kept</p></article>') == "Kept"
+    assert text_of('<article><p hidden>Gone</p><p aria-hidden="true">Gone</p><p aria-hidden="false">Kept</p><p style="display: none">Gone</p></article>') == "Kept"
+
+
+def test_op10_keeps_sentences_all_articles_and_the_lead():
+    assert text_of('<article><p>Now <span class="share-price">42 euros</span> each.</p><p class="legal">A law.</p></article>') == "Now 42 euros each.\nA law."
+    assert text_of("<article><p>One</p></article><p>Between</p><article><p>Two, longer</p></article>") == "One\nTwo, longer"
+    assert text_of("<main><h1>Title</h1><p>Lead</p><article><p>Body</p></article></main>") == "Title\nLead\nBody"
+    assert text_of('<article><p>Body</p></article><article class="comment"><p>Nonsense</p></article>') == "Body"
+
+
+def test_op10_named_paragraphs_go_where_the_site_repeats_them(spark):
+    def page(i, host, line):
+        return i, f"http://{host}/{i}", f'<article><p>Body {i}</p><p class="share">{line}</p><p><a class="skip">{line}</a></p></article>'
+
+    rows = [page(i, "a.org", "Share this") for i in range(6)] + [page(10 + i, "b.org", f"Only here {i}") for i in range(6)]
+    got = {r.page_id: r.text for r in site_templates.op10_site_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Body 0" and got[10] == "Body 10\nOnly here 0\nOnly here 0"
+
+
+def test_op10_templates_equal_a_plain_count(spark):
+    """Containers of every host counted page by page, by brute force."""
+    import random
+    rng = random.Random(6)
+    boxes = [f"<div><p>Box {i}</p></div>" for i in range(8)]
+    rows = []
+    for i in range(120):
+        parts = [f"<p>Page {i} says {rng.random()}</p>"] + rng.sample(boxes, rng.randint(0, 3)) + [f"<div><p>Own {i}</p></div>"]
+        rng.shuffle(parts)
+        rows.append((i, f"http://h{i % 9}.org/{i}", "<article>" + "".join(parts) + "</article>"))
+    seen = {}
+    for i, url, page in rows:
+        for b in boxes:
+            if b in page:
+                seen.setdefault((url.split("/")[2], b), set()).add(page.replace(b, ""))
+    gone = {k for k, pages in seen.items() if len(pages) >= site_templates.MIN_PAGES}
+    want = {}
+    for i, url, page in rows:
+        for host, b in gone:
+            if host == url.split("/")[2]:
+                page = page.replace(b, "")
+        want[i] = text_of(page)
+    got = {r.page_id: r.text for r in site_templates.op10_site_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and gone and len(gone) < len(seen)
