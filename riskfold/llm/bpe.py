@@ -13,6 +13,7 @@ other, so each worker remembers the ids of pieces it has met (bounded memory).
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -23,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from riskfold.llm.common import ship_package, text_chunks
 
@@ -32,9 +34,35 @@ SHORT = 64
 REMEMBER = 1_200_000
 NO_RANK = 1 << 60
 
-#: The word pattern and the white space class of the tokenizer file's engine.
+#: The white space class of the tokenizer file's engine.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
+
+
+def engine_class(kind: str) -> str:
+    """A character class of exactly the code points that the tokenizer's own engine, which
+    knows an older Unicode, counts as ``\\p{kind}``: asked once for every code point."""
+    split = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True)
+    known, own = set(), regex.compile(rf"\p{{{kind}}}")
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 1 << 16):
+        for piece, _ in split.pre_tokenize_str("".join(every[at:at + (1 << 16)])):
+            known.update(piece)
+    spans: list[list[int]] = []
+    for c in every:
+        if (c in known) != bool(own.match(c)):
+            if spans and spans[-1][1] == ord(c) - 1:
+                spans[-1][1] += 1
+            else:
+                spans.append([ord(c), ord(c)])
+    listed = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+    return rf"[\p{{{kind}}}~~[{listed}]]" if listed else rf"\p{{{kind}}}"
+
+
+@functools.cache
+def word_pattern() -> regex.Pattern:
+    """Words of the tokenizer file, built once per worker."""
+    letter, digit = engine_class("L"), engine_class("N")
+    return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|[^{_WHITE}{letter}{digit}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,8 +72,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(spare)) for b in range(256)}
 
 
+@functools.cache
+def odd_lower() -> dict[str, str]:
+    """Letters that the tokenizer's engine, which knows a newer table of cases, lowers otherwise than Python."""
+    lower, out = normalizers.Lowercase(), {}
+    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 1 << 16):
+        part = every[at:at + (1 << 16)]
+        for c, low in zip(part, lower.normalize_str("\n".join(part)).split("\n"), strict=True):
+            if low != c.replace("Σ", "σ").lower():
+                out[c] = low
+    return out
+
+
 def lower_each(text: str) -> str:
     """Lower case letter by letter (a final sigma is like any other)."""
+    if not text.isascii() and not odd_lower().keys().isdisjoint(text):
+        text = text.translate({ord(c): low for c, low in odd_lower().items()})
     return text.replace("Σ", "σ").lower()
 
 
@@ -123,7 +166,7 @@ class WordBpe:
             if part in self.added:
                 out.append(self.added[part])
                 continue
-            for word in _WORD.findall(lower_each(unicodedata.normalize("NFC", part))):
+            for word in word_pattern().findall(lower_each(unicodedata.normalize("NFC", part))):
                 raw = word.encode()
                 parts = [self.inner[b] for b in raw]
                 parts[-1] = self.last[raw[-1]]
@@ -193,7 +236,11 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
 
 def op2_bpe_codec(docs: DataFrame, path: str) -> DataFrame:
     """Digests of ids and decoded text per document.  Encoding, decoding and
-    hashing run block by block, so ids are never held for more than one text."""
+    hashing run block by block, so ids are never held for more than one text.
+
+    Null or empty text has no ids: both digests are that of nothing.  A null id is kept,
+    every repeated row is answered, further columns are not read, and an empty table
+    gives an empty result."""
     ship_package(docs.sparkSession)
 
     def run(batches):

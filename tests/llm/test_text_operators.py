@@ -258,3 +258,13 @@ def test_op9_equals_brute_force(spark, nothing):
 
 def test_op9_odd_rows(docs):
     assert line_runs.op9_line_dedup(docs).count() == docs.count()
+
+
+def test_codec_equals_library_on_every_code_point(tool):
+    own = bpe.WordBpe(PATH)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for shape in ("{} a{}b {}1.{}a",):
+        for at in range(0, len(letters), 1 << 15):
+            some = [shape.replace("{}", c) for c in letters[at:at + (1 << 15)]]
+            wrong = [t for t, e in zip(some, tool.encode_batch(some, add_special_tokens=False)) if own.encode(t) != e.ids]
+            assert not wrong
