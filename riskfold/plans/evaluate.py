@@ -33,7 +33,7 @@ from riskfold.plans import models as MO
 from riskfold.plans import report as RP
 from riskfold.plans import selection as SE
 from riskfold.plans import units as UN
-from riskfold.session import cut_lineage, scratch_path
+from riskfold.session import cut_lineage, finished, scratch_path
 
 LOG = logging.getLogger(__name__)
 
@@ -52,7 +52,8 @@ class EvalConfig:
     pretune: bool = False           # random search per seed first; its best parameters hold everywhere
     pretune_draws: int = 30
     model_path: str | None = None   # folder that keeps the fitted model of each (endpoint, seed, model, outer split)
-    attribution: bool = False       # attributions of the test rows (linear, tree and forest models)
+    attribution: bool = False       # attributions of the test rows, for every family but the constant
+    run_path: str | None = None     # folder of finished waves: a restarted run reads them and fits the others
     balancing: str | None = "class_weight"   # None | class_weight | random_oversampling | SMOTE | ADASYN
     calibrate: bool = True
     threshold_on: str = "train"     # train (calibration rows) | test (as the original workflow)
@@ -158,15 +159,17 @@ def _select(train: DataFrame, features, cfg: EvalConfig, seed: int) -> list:
 
 
 def _attributions(fitted, train: DataFrame, test: DataFrame, features, root: str):
-    """X1 / X2 of the test rows, or None for families without a closed form."""
+    """Attributions of the test rows: linear models in closed form (X1), Spark ML's gini trees and forests by
+    their nodes (X2), every other family by the kernel explainer on its score (X3); None for the constant."""
     family = fitted.spec.family
+    if family == "dummy":
+        return None
     if family in ("logistic", "svm"):
         means = train.agg(*[F.avg(col(f)).alias(f) for f in features]).first().asDict()
         return EX.linear_attribution(test, dict(MO.importances(fitted, features)), means).select("row_id", "feature", "phi")
     if family in ("tree", "forest") and fitted.spec.p["criterion"] == "gini":
-        nodes = MO.tree_nodes(train.sparkSession, fitted, f"{root}/trees/{uuid.uuid4().hex}").toPandas()  # bounded by trees x 2^depth
-        return EX.tree_shap(test, features, EX.ensemble_arrays(nodes))
-    return None
+        return EX.tree_shap(test, features, MO.tree_nodes(train.sparkSession, fitted, f"{root}/trees/{uuid.uuid4().hex}"))
+    return EX.kernel_shapley(test, train, features, lambda rows: fitted.score(MO.assemble(rows, features))).drop("error")
 
 
 def _task(spark: SparkSession, data: DataFrame, plan: DataFrame, features, key, cfg: EvalConfig, root: str):
@@ -294,28 +297,55 @@ def _constant(cells: UN.Cells) -> DataFrame:
     return full.unionByName(inner).select(*[given.get(c, F.col(c) if c not in given else None).cast(t).alias(c) for c, t in types])
 
 
+def _same_run(spark: SparkSession, cfg: EvalConfig, features, models) -> None:
+    """A folder of finished waves belongs to one configuration."""
+    own = json.dumps([{k: v for k, v in vars(cfg).items() if k not in ("run_path", "parallelism", "concurrent_fits")}, list(features), list(models)],
+                     default=str, sort_keys=True)
+    path = f"{cfg.run_path.rstrip('/')}/signature"
+    if not finished(spark, path):
+        spark.createDataFrame([(own,)], "signature string").write.mode("overwrite").parquet(path)
+    elif spark.read.parquet(path).first()[0] != own:
+        raise ValueError(f"{cfg.run_path} holds a run of another configuration")
+
+
 def _keyed(df: DataFrame, plan: DataFrame, features, models, cfg: EvalConfig, fit_on: DataFrame) -> Results:
     """All units of ``models`` in a number of jobs that does not depend on how many units there are."""
     spark = df.sparkSession
+    if cfg.run_path is not None:
+        _same_run(spark, cfg, features, models)
     cells = UN.pack(df, plan, features, fit_on)
     groups = range(len(cells.groups))
     cands = {(g, m): list(enumerate(_candidates(m, cfg, cells.groups[g][1]))) for g in groups for m in models}
     balanced = cfg.balancing == "class_weight"
     inner, full = [(g, f) for g in groups for f in range(cfg.n_inner)], [(g, UN.FULL) for g in groups]
     means = UN.training_means(cells) if cfg.attribution and "logistic" in models else None
-    coefficients: dict = {}
 
-    def fitted(units, chosen, name) -> DataFrame:
-        parts = [_constant(cells).filter(F.col("f").isin(sorted({f for _, f in units})))] if "dummy" in models else []
+    def fits(units, chosen) -> DataFrame:
+        parts = [_constant(cells).filter(F.col("f").isin(sorted({f for _, f in units})) & F.col("g").isin(sorted({g for g, _ in units})))] \
+            if "dummy" in models else []
         if "logistic" in models:
             betas, passes = UN.fit_logistic(cells, {u: chosen[u[0], "logistic"] for u in units}, balanced)
             LOG.info("elastic net: %s coefficient vectors in %s passes", len(betas), passes)
-            coefficients.update({k: b for k, b in betas.items() if k[1] == UN.FULL})
             parts.append(UN.score_logistic(cells, betas, means))
+            parts.append(UN.coefficient_rows(cells, betas))
         trees = {k: v for k, v in chosen.items() if k[1] in ("tree", "forest", "gbt")}
         if trees:
             parts.append(UN.fit_trees(cells, units, UN.Job(trees, balanced, cfg.attribution)))
-        return UN.stash(reduce(DataFrame.unionByName, parts), name)
+        return reduce(DataFrame.unionByName, parts)
+
+    def fitted(units, chosen, name) -> DataFrame:
+        """Written results of the units: as one table, or with ``run_path`` as one table per
+        (endpoint, seed), of which a restarted run fits only those that were not finished."""
+        if cfg.run_path is None:
+            return UN.stash(fits(units, chosen), name)
+        waves: dict = {}
+        for u in units:
+            waves.setdefault(cells.groups[u[0]][:2], []).append(u)
+        paths = [f"{cfg.run_path.rstrip('/')}/{name}/{e}/{s}" for e, s in waves]
+        for path, part in zip(paths, waves.values()):
+            if not finished(spark, path):
+                fits(part, chosen).write.mode("overwrite").parquet(path)      # replaces what a lost run left half-written
+        return spark.read.schema(UN.OUT).parquet(*paths)
 
     best = {k: 0 for k in cands}
     found: dict = {}
@@ -363,9 +393,6 @@ def _keyed(df: DataFrame, plan: DataFrame, features, models, cfg: EvalConfig, fi
     array = F.array(*[F.lit(f) for f in cells.features])
     name = F.element_at(array, F.col("feature") + 1).alias("feature")
     imps = out.filter(F.col("kind") == UN.IMPORTANCE).join(names, "g").select(*label, name, F.col("score").alias("importance"))
-    linear = [(*cells.groups[g][:2], "logistic", cells.groups[g][2], n, float(v)) for (g, _, _), b in coefficients.items()
-              for n, v in zip(cells.features, b[1:])]
-    imps = imps.unionByName(spark.createDataFrame(linear, "endpoint string, seed int, model string, outer_fold int, feature string, importance double"))
     phi = out.filter(F.col("kind") == UN.ATTRIBUTION).join(names, "g").select(*label, "row_id", name, F.col("score").alias("phi"))
     return Results(validation, test, params, imps, phi)
 

@@ -1,12 +1,12 @@
 """Feature attributions.
 
 * linear: ``phi_j = coef_j * (x_j - mean_j)`` as one projection + unpivot;
-* tree ensembles: path-dependent tree Shapley values leaf by leaf, for all rows
-  of a batch at once, inside ``mapInPandas``; the node arrays of the ensemble
-  are small and shipped with the function, rows stay partitioned;
-* any other model: sampled-permutation Shapley values built as Spark rows
-  (row x permutation x prefix length → mixed rows, one ``transform``,
-  successive differences with ``lag``, averaged per feature).
+* tree ensembles: path-dependent tree Shapley values in time linear in the nodes
+  (:func:`riskfold.operators.grove.tree_attributions`), one task per tree and block
+  of rows; node tables stay in Spark;
+* any other model: the kernel explainer (row x background draw x coalition → mixed
+  rows, one ``transform``, a constrained weighted regression per draw), or
+  sampled permutations (row x permutation x prefix length, successive differences).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskfold.functions.exprs import col
+from riskfold.operators import grove as GR
 from riskfold.operators.split import ranked
 from riskfold.session import cut_lineage, ship_package
 
@@ -45,118 +46,166 @@ def attribution_summary(phi: DataFrame, keys=(), top: int = 40) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
+ROW_BLOCK = 20_000      # rows that meet a tree in one task
+
 # -- X2 TreeSHAP ---------------------------------------------------------------------
 
 
-def ensemble_arrays(nodes_pdf: pd.DataFrame) -> list[dict]:
-    """Per tree: child indices, split feature / threshold, cover and value arrays
-    (from the node table of a saved Spark tree model)."""
-    trees = []
-    for _tid, g in nodes_pdf.groupby("treeID"):
-        g = g.sort_values("id")
-        n = int(g["id"].max()) + 1
-        left = np.full(n, -1, dtype=np.int64)
-        right = np.full(n, -1, dtype=np.int64)
-        feat = np.full(n, -1, dtype=np.int64)
-        thr = np.zeros(n)
-        cover = np.zeros(n)
-        value = np.zeros(n)
-        for r in g.itertuples(index=False):
-            i = int(r.id)
-            left[i], right[i] = int(r.leftChild), int(r.rightChild)
-            cover[i], value[i] = float(r.rawCount), float(r.prediction)
-            if left[i] >= 0:
-                feat[i] = int(r.feature_index)
-                thr[i] = float(r.threshold[0])
-        trees.append({"left": left, "right": right, "feat": feat, "thr": thr, "cover": cover, "value": value})
-    return trees
-
-
-def leaf_paths(t: dict) -> list[dict]:
-    """Per leaf: its value, the distinct features on its path, the share of cover
-    that follows the path when a feature is unknown, and each feature's interval
-    (a row satisfies a feature if ``low < x <= high``)."""
-    out, stack = [], [(0, {}, {})]
-    while stack:
-        node, share, bounds = stack.pop()
-        if t["left"][node] < 0:
-            feats = sorted(share)
-            out.append({"value": float(t["value"][node]), "feats": feats, "share": np.array([share[f] for f in feats]),
-                        "low": np.array([bounds[f][0] for f in feats]), "high": np.array([bounds[f][1] for f in feats])})
-            continue
-        f, cut = int(t["feat"][node]), float(t["thr"][node])
-        low, high = bounds.get(f, (-np.inf, np.inf))
-        for child, span in ((t["left"][node], (low, min(high, cut))), (t["right"][node], (max(low, cut), high))):
-            part = share.get(f, 1.0) * t["cover"][child] / t["cover"][node]
-            stack.append((int(child), {**share, f: part}, {**bounds, f: span}))
-    return out
-
-
-def _leaf_shapley(leaf: dict, known: np.ndarray) -> np.ndarray:
-    """Shapley values of a leaf's features for each pattern of satisfied features.
-
-    The leaf pays ``value`` times the product, over its features, of 1 or 0 for a
-    known feature and of its share for an unknown one.  The products of all
-    coalitions of one size are a coefficient of ``prod(share + known * u)``."""
-    m, share = len(leaf["feats"]), leaf["share"]
-    weight = np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
-    phi = np.zeros(known.shape)
-    for j in range(m):
-        poly = np.ones((len(known), 1))
-        for i in range(m):
-            if i != j:
-                grown = np.zeros((len(known), poly.shape[1] + 1))
-                grown[:, :-1] = poly * share[i]
-                grown[:, 1:] += poly * known[:, i:i + 1]
-                poly = grown
-        phi[:, j] = (known[:, j] - share[j]) * (poly @ weight)
-    return phi * leaf["value"]
-
-
-def tree_shapley(x: np.ndarray, trees: list[dict]) -> np.ndarray:
-    """Attributions (rows x features) of the mean of the trees.  Rows that satisfy
-    the same features of a leaf are computed once."""
-    out = np.zeros(x.shape)
-    for t in trees:
-        for leaf in leaf_paths(t):
-            feats = leaf["feats"]
-            if not feats:
-                continue
-            known = (x[:, feats] > leaf["low"]) & (x[:, feats] <= leaf["high"])
-            code = known @ (1 << np.arange(len(feats), dtype=np.int64))
-            _, first, where = np.unique(code, return_index=True, return_inverse=True)
-            out[:, feats] += _leaf_shapley(leaf, known[first].astype(float))[where]
-    return out / len(trees)
-
-
-def expected_value(trees) -> float:
-    """Cover-weighted mean leaf value, averaged over trees (the SHAP base value)."""
-    vals = []
-    for t in trees:
-        leaves = t["left"] < 0
-        vals.append(float(np.sum(t["value"][leaves] * t["cover"][leaves]) / t["cover"][0]))
-    return float(np.mean(vals))
-
-
-def tree_shap(df: DataFrame, features, trees, key: str = "row_id") -> DataFrame:
-    """``(row_id, feature, phi)`` for an averaged tree ensemble;
-    ``sum(phi) + expected_value(trees)`` equals the ensemble prediction."""
+def grove_of(nodes: pd.DataFrame, cuts: list) -> GR.Grove:
+    """The trees of a Spark ML node table on bins between its own thresholds (``cuts`` per feature)."""
+    nodes = nodes.sort_values(["treeID", "id"])
+    tree = nodes["treeID"].to_numpy()
+    names, first = np.unique(tree, return_index=True)
+    size = np.diff(np.append(first, len(nodes)))
+    # roots come first, children of a node are neighbours
+    base = np.repeat(first, size)
+    left, right = nodes["leftChild"].to_numpy() + base, nodes["rightChild"].to_numpy() + base
+    inner = np.flatnonzero(nodes["leftChild"].to_numpy() >= 0)
+    place = np.full(len(nodes), -1, np.int64)
+    place[first], depth, level, made, order = np.arange(len(names)), np.zeros(len(nodes), np.int32), first, len(names), [first]
+    is_inner = np.zeros(len(nodes), bool)
+    is_inner[inner] = True
+    while len(level):
+        some = level[is_inner[level]]
+        kids = np.stack([left[some], right[some]], axis=1).ravel()
+        place[kids] = made + np.arange(len(kids))
+        depth[kids] = np.repeat(depth[some], 2) + 1
+        made += len(kids)
+        order.append(kids)
+        level = kids
+    at = np.concatenate(order)
+    feat = np.where(is_inner, nodes["feature_index"].fillna(-1).to_numpy(), -1).astype(np.int32)[at]
+    edge = np.array([np.nan if t is None or not len(t) else t[0] for t in nodes["threshold"]], float)[at]
+    cut = np.zeros(len(at), np.uint16)
+    for f in range(len(cuts)):
+        mine = feat == f
+        cut[mine] = np.searchsorted(cuts[f], edge[mine])
+    return GR.Grove(feat, cut, np.where(feat >= 0, place[left[at] * is_inner[at]], 0), nodes["prediction"].to_numpy(float)[at],
+                    nodes["rawCount"].to_numpy(float)[at], np.zeros(len(at)), depth[at], np.searchsorted(names, tree[at]), len(names))
+
+
+def tree_shap(df: DataFrame, features, nodes: DataFrame, key: str = "row_id") -> DataFrame:
+    """``(row_id, feature, phi)`` of the mean of a Spark ML forest's trees, given its node table
+    (:func:`riskfold.plans.models.tree_nodes`).
+
+    A task holds one tree: the node table is grouped by tree in Spark, rows are dealt into
+    blocks, every (tree, block) is a cogrouped task, and the attributions of a row are
+    averaged over trees by a keyed sum, so neither nodes nor rows pass the driver."""
     features = list(features)
     d = len(features)
-    ship_package(df.sparkSession)
-    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("feature", T.StringType()),
-                           T.StructField("phi", T.DoubleType())])
-
-    def fn(it):
-        for pdf in it:
-            ids = pdf[key].to_numpy()
-            x = pdf[features].to_numpy(dtype="float64")
-            out = tree_shapley(x, trees)
-            yield pd.DataFrame({key: np.repeat(ids, d).astype("int64"), "feature": np.tile(features, len(ids)),
-                                "phi": out.reshape(-1)})
-
-    return df.select(col(key).cast("long").alias(key), *[col(f).cast("double") for f in features]).mapInPandas(
-        fn, schema)
+    spark = df.sparkSession
+    ship_package(spark)
+    # a tree is bounded by its training rows; the number of trees and of blocks is a small product
+    n_trees = nodes.select("treeID").distinct().count()
+    blocks = max(1, -(-df.count() // ROW_BLOCK))
+    rows = df.select(col(key).alias("_k"), F.array(*[col(f).cast("double") for f in features]).alias("_x"),
+                     F.pmod(F.xxhash64(col(key)), F.lit(blocks)).cast("int").alias("_block"))
+    dealt = rows.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    trees = nodes.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_tree", F.col("treeID").cast("int"))
+
+    def run(part: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(tree):
+            return pd.DataFrame({"_k": [], "_phi": []})
+        x = np.stack([np.asarray(v, float) for v in part["_x"]])
+        inner = tree[tree["leftChild"] >= 0]
+        edges = np.array([t[0] for t in inner["threshold"]], float)
+        cuts = [np.unique(edges[inner["feature_index"].to_numpy() == f]) for f in range(d)]
+        bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1).astype(np.uint16)
+        phi = GR.tree_attributions(bins, grove_of(tree.drop(columns=["_block", "_tree"]), cuts), d)
+        return pd.DataFrame({"_k": part["_k"].to_numpy(), "_phi": list(phi)})
+
+    kind = df.schema[key].dataType.simpleString()
+    got = dealt.groupBy("_tree", "_block").cogroup(trees.groupBy("_tree", "_block")).applyInPandas(run, f"_k {kind}, _phi array<double>")
+    pairs = F.posexplode("_phi").alias("_j", "_v")
+    names = F.array(*[F.lit(f) for f in features])
+    return got.select("_k", pairs).groupBy("_k", "_j").agg((F.sum("_v") / F.lit(float(n_trees))).alias("phi")).select(
+        F.col("_k").alias(key), F.element_at(names, F.col("_j") + 1).alias("feature"), "phi")
+
+
+def expected_value(nodes: DataFrame) -> float:
+    """Cover-weighted mean leaf value, averaged over trees: what the attributions start from."""
+    root = nodes.filter("id = 0").select("treeID", F.col("rawCount").alias("_n"))
+    leaves = nodes.filter("leftChild < 0").join(root, "treeID")
+    return leaves.groupBy("treeID").agg(F.sum(F.col("prediction") * F.col("rawCount") / F.col("_n")).alias("v")).agg(F.avg("v")).first()[0]
+
+
+# -- X3 kernel explainer --------------------------------------------------------------------
+
+EXACT_FEATURES = 10     # up to so many features every coalition is evaluated
+
+
+def coalitions(n_features: int, n_samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(masks, weights) of coalitions, neither empty nor whole, with the Shapley kernel.
+
+    All of them up to ``EXACT_FEATURES``; beyond, ``n_samples`` drawn in pairs of a
+    coalition and its complement, sizes in proportion to the kernel's mass, equal draws merged."""
+    d = n_features
+    if d < 2:
+        return np.zeros((0, d), bool), np.zeros(0)
+    sizes = np.arange(1, d)
+    if d <= EXACT_FEATURES:
+        masks = (np.arange(1, (1 << d) - 1)[:, None] >> np.arange(d)) & 1 == 1
+        k = masks.sum(axis=1)
+        return masks, (d - 1) / (np.array([math.comb(d, int(x)) for x in k]) * k * (d - k))
+    mass = (d - 1) / (sizes * (d - sizes))
+    rng = np.random.default_rng(seed)
+    half = np.zeros((max(1, n_samples // 2), d), bool)
+    for row, k in zip(half, rng.choice(sizes, len(half), p=mass / mass.sum())):
+        row[rng.choice(d, k, replace=False)] = True
+    masks, counts = np.unique(np.concatenate([half, ~half]), axis=0, return_counts=True)
+    return masks, counts.astype(float)
+
+
+def kernel_solve(masks: np.ndarray, weights: np.ndarray, values: np.ndarray, none: float, whole: float) -> np.ndarray:
+    """Attributions that fit the coalitions' values best (weighted least squares) and add up to ``whole - none``."""
+    d = masks.shape[1]
+    if d < 2:
+        return np.full(d, whole - none)
+    z = masks.astype(float)
+    # the last attribution follows from the sum: regress on the others
+    x = z[:, :-1] - z[:, -1:]
+    y = values - none - z[:, -1] * (whole - none)
+    root = np.sqrt(weights)
+    head = np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
+    return np.append(head, whole - none - head.sum())
+
+
+def kernel_shapley(df: DataFrame, background: DataFrame, features, score_fn, draws: int = 4, n_samples: int = 64, seed: int = 42,
+                   key: str = "row_id", score: str = "score") -> DataFrame:
+    """Kernel Shapley values of any model: ``(row_id, feature, phi, error)``.
+
+    Each row meets ``draws`` background rows (md5 draw over all of them).  A coalition takes
+    its features from the row and the others from the background row; a constrained
+    weighted regression per draw gives attributions that add up to ``f(row) - f(background)``,
+    and their mean over draws is ``phi``, with its standard error over draws in ``error``
+    (null for one draw).  Coalitions are exact up to ``EXACT_FEATURES`` features, else
+    ``n_samples`` in pairs, the same for every row.  ``score_fn(DataFrame)`` adds ``score``."""
+    features, spark = list(features), df.sparkSession
+    d = len(features)
+    ship_package(spark)
+    masks, weights = coalitions(d, n_samples, seed)
+    every = np.concatenate([np.zeros((1, d), bool), masks, np.ones((1, d), bool)])
+    bg = cut_lineage(background.select(col(key).alias("_k"), *[col(f).cast("double").alias(f"_b_{f}") for f in features]))
+    n_bg = bg.count()
+    bgr = ranked(bg, [], F.md5(F.concat_ws("|", F.col("_k").cast("string"), F.lit(str(seed)))), "_bid").withColumn("_bid", F.col("_bid") - 1).drop("_k")
+    x = df.select(col(key).alias(key), *[col(f).cast("double").alias(f) for f in features])
+    x = x.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    x = x.withColumn("_bid", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(
+        "|", F.col(key).cast("string"), F.col("m").cast("string"), F.lit(str(seed)), F.lit("kernel"))), 1, 15), 16, 10).cast("long"), F.lit(n_bg)))
+    x = x.join(bgr, "_bid")
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(every)], "c int, mask array<boolean>")
+    mixed = x.join(F.broadcast(table)).select(key, "m", "c", *[     # a stated set of coalitions, bounded by its parameters
+        F.when(F.col("mask")[j], col(f)).otherwise(col(f"_b_{f}")).alias(f) for j, f in enumerate(features)])
+    values = score_fn(mixed).groupBy(key, "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", col(score).alias("v")))), lambda s: s["v"]).alias("v"))
+
+    def solve(batches):
+        for pdf in batches:
+            phi = [kernel_solve(masks, weights, np.asarray(v[1:-1], float), v[0], v[-1]) for v in pdf["v"]]
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), d), "feature": np.tile(features, len(pdf)), "phi": np.concatenate(phi) if phi else []})
+
+    kind = df.schema[key].dataType.simpleString()
+    per_draw = values.select(key, "v").mapInPandas(solve, f"`{key}` {kind}, feature string, phi double")
+    return per_draw.groupBy(key, "feature").agg(F.avg("phi").alias("phi"), (F.stddev_samp("phi") / F.sqrt(F.count("phi"))).alias("error"))
 
 
 # -- X3 sampled permutations ------------------------------------------------------------

@@ -199,15 +199,21 @@ def _forest_parts(spark, sf, n_trees=100, depth=5):
     train, test, feats = _split(spark, sf)
     fitted = MO.fit(MO.ModelSpec.of("forest", n_estimators=n_trees, max_depth=depth),
                     MO.assemble(train, feats), len(feats))
-    path = scratch_path(spark, "forest")
-    nodes = MO.tree_nodes(spark, fitted, path).toPandas()  # node table: bounded by trees x 2^depth
-    return train, test, feats, fitted, EX.ensemble_arrays(nodes)
+    return train, test, feats, fitted, MO.tree_nodes(spark, fitted, scratch_path(spark, "forest"))
 
 
 @query("tree_attribution", None, [], "X2 path-dependent TreeSHAP")
 def q_tree_attribution(spark, sf):
-    _train, test, feats, _fitted, trees = _forest_parts(spark, sf)
-    return EX.tree_shap(test, feats, trees)
+    _train, test, feats, _fitted, nodes = _forest_parts(spark, sf)
+    return EX.tree_shap(test, feats, nodes)
+
+
+@query("kernel_shapley", None, [], "X3 kernel explainer of a linear SVM's decision value")
+def q_kernel_shapley(spark, sf):
+    from riskfold.plans.q_models import _split
+    train, test, feats = _split(spark, sf)
+    fitted = MO.fit(MO.ModelSpec.of("svm"), MO.assemble(train, feats), len(feats))
+    return EX.kernel_shapley(test, train, feats, lambda d: fitted.score(MO.assemble(d, feats)))
 
 
 @query("permutation_shapley", None, [], "X3 sampled-permutation Shapley values")

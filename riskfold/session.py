@@ -103,6 +103,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables written so far.  Call it when no result that
     may still read them is needed; returns the number of folders."""

@@ -146,7 +146,7 @@ def test_evaluation_options(orders, monkeypatch, family, balancing, search, sele
     assert res.test.count() > 0 and res.summary().count() == 1
     phi = res.attributions.select("feature").distinct().collect()
     expected = {"importance": FEATS[1:], "rfecv": ["lines", "qty"], None: FEATS}[selection]
-    assert {r.feature for r in phi} == (set() if family == "mlp" else set(expected))
+    assert {r.feature for r in phi} == set(expected)
     assert {r.stage for r in res.calibration_curves().collect()} == {"raw", "calibrated"}
 
 

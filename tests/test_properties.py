@@ -87,12 +87,11 @@ def test_tree_shap_additivity(spark):
     d = oc.select("row_id", *feats, F.col("returned").alias("y"))
     fitted = MO.fit(MO.ModelSpec.of("forest", n_estimators=3, max_depth=3), MO.assemble(d, feats), len(feats))
     import tempfile
-    nodes = MO.tree_nodes(spark, fitted, tempfile.mkdtemp(prefix="rf-") + "/m").toPandas()
-    trees = EX.ensemble_arrays(nodes)
-    phi = EX.tree_shap(d, feats, trees).groupBy("row_id").agg(F.sum("phi").alias("s")).toPandas()
+    nodes = MO.tree_nodes(spark, fitted, tempfile.mkdtemp(prefix="rf-") + "/m")
+    phi = EX.tree_shap(d, feats, nodes).groupBy("row_id").agg(F.sum("phi").alias("s")).toPandas()
     pred = fitted.score(MO.assemble(d, feats)).select("row_id", "score").toPandas()
     m = phi.merge(pred, on="row_id")
-    np.testing.assert_allclose(m["s"] + EX.expected_value(trees), m["score"], atol=1e-9)
+    np.testing.assert_allclose(m["s"] + EX.expected_value(nodes), m["score"], atol=1e-9)
 
 
 def test_platt_is_monotone(spark):

@@ -295,3 +295,67 @@ def test_bins_hold_missing_and_few_values(spark):
     table = UN.fit_bins(df, ["few", "many", "one"])
     assert table.cuts[0].tolist() == [0.0, 1.0] and table.cuts[2].tolist() == [] and 30 < len(table.cuts[1]) < GR.MAX_BINS
     assert table.of(np.array([[np.nan, np.nan, np.nan], [9.0, 1e9, 9.0]])).tolist() == [[0, 0, 0], [2, len(table.cuts[1]), 0]]
+
+
+def test_a_restarted_run_fits_only_what_is_missing(orders, tmp_path, monkeypatch):
+    cfg = EvalConfig(models=("dummy", "tree", "logistic"), seeds=(0, 1), n_outer=1, n_inner=2, overrides={"tree": {"max_depth": 2}})
+    want = evaluate(orders, FEATS, ["returned"], cfg)
+    kept, fitted, fit = EV.replace(cfg, run_path=str(tmp_path / "run")), [], UN.fit_trees
+
+    def dying(cells, units, job):
+        if len(fitted) == 1:
+            raise RuntimeError("the driver is lost")
+        fitted.append(sorted({cells.groups[g][1] for g, _ in units}))
+        return fit(cells, units, job)
+
+    monkeypatch.setattr(UN, "fit_trees", dying)
+    with pytest.raises(RuntimeError):
+        evaluate(orders, FEATS, ["returned"], kept)
+    half = tmp_path / "run" / "units" / "returned" / "1"
+    half.mkdir(parents=True)
+    (half / "part-00000.parquet").write_bytes(b"half")        # no end mark: ignored and replaced
+
+    def counting(cells, units, job):
+        fitted.append(sorted({cells.groups[g][1] for g, _ in units}))
+        return fit(cells, units, job)
+
+    monkeypatch.setattr(UN, "fit_trees", counting)
+    for _ in range(2):
+        got = evaluate(orders, FEATS, ["returned"], kept)
+    assert fitted == [[0], [1]]
+    for name in ("validation", "test", "importances"):
+        a, b = collected(getattr(got, name)), collected(getattr(want, name))
+        assert len(a) == len(b) and all(x == pytest.approx(y) for x, y in zip(a, b))
+    with pytest.raises(ValueError):
+        evaluate(orders, FEATS, ["returned"], EV.replace(kept, calibrate=False))
+
+
+# -- kernel explainer -------------------------------------------------------------------------
+
+
+def test_kernel_regression_is_exact_over_all_coalitions():
+    from riskfold.plans import explain as EX
+    rng = np.random.default_rng(5)
+    for d in (1, 2, 5):
+        game = rng.normal(size=1 << d)
+        masks, weights = EX.coalitions(d, 0, 0)
+        code = masks @ (1 << np.arange(d)) if len(masks) else np.zeros(0, int)
+        got = EX.kernel_solve(masks, weights, game[code], game[0], game[-1])
+        for i in range(d):
+            want = sum(math.factorial(bin(s).count("1")) * math.factorial(d - bin(s).count("1") - 1) / math.factorial(d) * (game[s | 1 << i] - game[s])
+                       for s in range(1 << d) if not s >> i & 1)
+            assert abs(want - got[i]) < 1e-9
+
+
+def test_kernel_attributions_of_a_linear_model(orders):
+    from riskfold.plans import explain as EX
+    test, train = orders.filter("row_id % 50 = 0"), orders
+    score = sum((k + 1) * F.col(c) for k, c in enumerate(FEATS))
+    got = EX.kernel_shapley(test, train, FEATS, lambda d: d.withColumn("score", score), draws=3)
+    rows = got.groupBy("row_id").agg(F.sum("phi").alias("s"), F.count("*").alias("n"), F.min("error").alias("e")).collect()
+    assert len(rows) == test.count() and all(r.n == len(FEATS) and r.e >= 0 for r in rows)
+    masks, weights = EX.coalitions(14, 200, 1)
+    assert set(map(bytes, masks)) == set(map(bytes, ~masks)) and abs(weights.sum() - 200) < 1e-9
+    beta, x = np.arange(14.0), np.random.default_rng(0).normal(size=14)
+    phi = EX.kernel_solve(masks, weights, masks @ (beta * x) + 0.5, 0.5, float(beta @ x) + 0.5)
+    np.testing.assert_allclose(phi, beta * x, atol=1e-8)
