@@ -1,14 +1,16 @@
 """Exact k-nearest-neighbour search (J7 / K4) and kNN imputation.
 
-Plan: queries and donors are both distributed.  Queries are dealt by hash into
-blocks of about ``QUERY_BLOCK`` rows, donors into blocks of about
-``DONOR_BLOCK`` rows; every (query block, donor block) pair is one group of a
-cogrouped pandas function that computes masked distances with numpy and keeps
-the top-k of its block per query (and per missing column).  Only
-``donor blocks x k`` candidates per query are shuffled again; the final top-k is
-a window ordered by ``(distance, donor key)``, so ties resolve the same way
-everywhere.  Neither pairs nor queries reach the driver, the plan is the same
-at every size, and keys may be of any ordered type.
+Donors fall into cells: by the pattern of their present columns, and inside a pattern
+by the nearest of some sampled pivots.  A cell knows its radius, and the triangle
+inequality on the columns that a query shares with the pattern bounds the distance to
+every donor of the cell from below.  A query first visits its nearest cells until they
+hold ``k`` donors; the k-th distance found there then rules out all cells whose bound
+lies beyond it, and only the others are visited in a second round.  Every (cell,
+query block, donor block) with visits is one group of a cogrouped pandas function that
+keeps its top-k per query (and missing column); the final top-k is a window ordered by
+``(distance, donor key)``, so ties resolve the same way everywhere.  Neither pairs nor
+queries nor donors reach the driver, only pivots and sizes of cells (bounded numbers);
+the plan is the same at every size, and keys may be of any ordered type.
 
 Distance (missing-aware Euclidean): ``sqrt(d / m * sum over coordinates
 present in both of (a - b)^2)`` with ``d`` columns and ``m`` shared ones;
@@ -17,6 +19,9 @@ present in both of (a - b)^2)`` with ``d`` columns and ``m`` shared ones;
 
 from __future__ import annotations
 
+import logging
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,6 +34,11 @@ from riskfold.session import cut_lineage, ship_package
 QUERY_BLOCK = 4096     # query rows of a group
 DONOR_BLOCK = 16384    # donor rows of a group
 STEP = 1024            # donor rows of one numpy step inside a group
+CELL_ROWS = 1024       # donors that a cell holds on average, as long as there are
+MAX_PIVOTS = 4096      # at most so many pivots (beyond, cells grow and are dealt in blocks)
+MAX_PATTERNS = 64      # patterns of present columns with cells of their own; donors of others are always visited
+
+LOG = logging.getLogger(__name__)
 
 
 def donor_table(df: DataFrame, columns, key="row_id") -> DataFrame:
@@ -92,19 +102,171 @@ def _merge_topk(best_d, best_i, best_v, d, ids, vals, k):
     return nd[r, order], ni[r, order], nv[r, order]
 
 
-def _cogrouped(queries: DataFrame, donors: DataFrame, fn, schema: T.StructType) -> DataFrame:
-    """Run ``fn(query rows, donor rows)`` on every pair of blocks.  ``queries`` and
-    ``donors`` have the key ``_id``; a row is copied once per block of the other side."""
-    ship_package(queries.sparkSession)
-    nq = max(1, -(-queries.count() // QUERY_BLOCK))
-    nd = max(1, -(-donors.count() // DONOR_BLOCK))
+@dataclass
+class Cells:
+    """Donor cells: pivot coordinates (NaN where the pattern has no column), radius and size."""
+
+    pivot: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+    pattern: list          # per cell; the last cell is of no pattern and always visited
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """(queries, cells) lower bounds of the distance to any donor; inf where no column is shared."""
+        if len(self.pivot) == 1:
+            return np.full((len(q), 1), -np.inf)
+        near = _masked_dist(q, self.pivot[:-1])
+        shared = (~np.isnan(q)).astype(float) @ (~np.isnan(self.pivot[:-1])).astype(float).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slack = self.radius[:-1] * np.sqrt(q.shape[1] / shared)
+            low = np.where(shared > 0, (near - slack) - 1e-9 * (1.0 + near + slack), np.inf)
+        return np.concatenate([low, np.full((len(q), 1), -np.inf)], axis=1)
+
+    def first(self, low: np.ndarray, usable: np.ndarray, need: int) -> np.ndarray:
+        """Cells that a query visits first: the nearest usable ones that hold ``need`` donors together."""
+        low = np.where(usable, low, np.inf)
+        order = np.argsort(low, axis=1, kind="stable")
+        held = np.cumsum(np.where(np.isfinite(np.take_along_axis(low, order, axis=1)), self.size[order], 0), axis=1)
+        before = np.concatenate([np.zeros((len(low), 1), held.dtype), held[:, :-1]], axis=1)
+        out = np.zeros(low.shape, bool)
+        np.put_along_axis(out, order, before < need, axis=1)
+        out &= np.isfinite(low)
+        out[:, -1] = True
+        return out
+
+
+def _pattern(d: int) -> F.Column:
+    return F.concat(*[F.when(F.col(f"_c{i}").isNull() | F.isnan(f"_c{i}"), "0").otherwise("1") for i in range(d)])
+
+
+def donor_cells(donors: DataFrame, d: int) -> tuple[DataFrame, Cells]:
+    """(donors with ``_cell``, written once; the cells)."""
+    # written first: the passes below read numbers, not what they were made from
+    donors = cut_lineage(donors.select("_id", *[f"_c{i}" for i in range(d)]).withColumn("_p", _pattern(d)))
+    seed = F.xxhash64("_id")
+    point = F.array(*[F.col(f"_c{i}") for i in range(d)])
+    top = donors.groupBy("_p").agg(F.count("*").alias("n"), F.min_by(point, seed).alias("x")).orderBy(F.desc("n"), "_p").limit(MAX_PATTERNS).collect()
+    top = [r for r in top if "1" in r["_p"]]
+    total = max(1, sum(r["n"] for r in top))
+    pivots = {r["_p"]: [r["x"]] for r in top}
+    share, wanted = F.lit(0.0), False
+    for r in top:     # as many pivots of a pattern as it holds of the donors
+        want = min(-(-r["n"] // CELL_ROWS), MAX_PIVOTS * r["n"] // total)
+        wanted |= want > 1
+        share = F.when(F.col("_p") == r["_p"], F.lit(0.0 if want < 2 else want / r["n"])).otherwise(share)
+    drawn = donors.filter(F.pmod(seed, F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("_p", point.alias("x"))
+    for r in drawn.distinct().collect() if wanted else []:        # about MAX_PIVOTS at most
+        pivots[r["_p"]].append(r["x"])
+    names, at = [], {}
+    for p, xs in pivots.items():
+        at[p] = (len(names), np.array([[np.nan if v is None else v for v in x] for x in xs], float))
+        names += [p] * len(xs)
+    none = len(names)
+
+    def assign(batches):
+        for pdf in batches:
+            cell, dist = np.full(len(pdf), none, np.int32), np.zeros(len(pdf))
+            x = _numbers(pdf, d)
+            for p, rows in pdf.groupby("_p").indices.items():
+                if p in at:
+                    base, own = at[p]
+                    present = np.array([c == "1" for c in p])
+                    for s in range(0, len(rows), STEP):
+                        r = rows[s:s + STEP]
+                        far = np.sqrt(((x[r][:, None, present] - own[None, :, present]) ** 2).sum(axis=2))
+                        cell[r] = base + np.argmin(far, axis=1)
+                        dist[r] = far.min(axis=1)
+            yield pdf.drop(columns="_p").assign(_cell=cell, _r=dist)
+
+    kinds = T.StructType([donors.schema["_id"], *[T.StructField(f"_c{i}", T.DoubleType()) for i in range(d)],
+                          T.StructField("_cell", T.IntegerType()), T.StructField("_r", T.DoubleType())])
+    ship_package(donors.sparkSession)
+    placed = cut_lineage(donors.mapInPandas(assign, kinds))
+    radius, size = np.zeros(none + 1), np.zeros(none + 1, np.int64)
+    for r in placed.groupBy("_cell").agg(F.max("_r").alias("r"), F.count("*").alias("n")).collect():     # a row per cell
+        radius[r["_cell"]], size[r["_cell"]] = r["r"], r["n"]
+    every = [x for _, own in at.values() for x in own] + [np.full(d, np.nan)]
+    return placed.drop("_r"), Cells(np.array(every), radius, size, [*names, None])
+
+
+def _visit(visits: DataFrame, placed: DataFrame, cells: Cells, fn, schema: T.StructType) -> tuple[DataFrame, int]:
+    """Run ``fn(query rows, donor rows)`` on every cell's visits; also the number of pairs that this compares."""
+    spark = visits.sparkSession
+    counts = {r["_cell"]: r["count"] for r in visits.groupBy("_cell").count().collect()}
+    pairs = sum(n * int(cells.size[c]) for c, n in counts.items())
+    deal = F.broadcast(spark.createDataFrame([(c, -(-n // QUERY_BLOCK), max(1, -(-int(cells.size[c]) // DONOR_BLOCK))) for c, n in counts.items()],
+                                             "_cell int, _nq long, _nd long"))
 
     def dealt(df, own, n_own, other, n_other):
-        return df.withColumn(own, F.pmod(F.xxhash64("_id"), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
+        return df.join(deal, "_cell").withColumn(own, F.pmod(F.xxhash64("_id"), F.col(n_own))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))).drop("_nq", "_nd")
+
+    q = dealt(visits, "_qb", "_nq", "_db", "_nd").groupBy("_cell", "_qb", "_db")
+    return q.cogroup(dealt(placed, "_db", "_nd", "_qb", "_nq").groupBy("_cell", "_qb", "_db")).applyInPandas(fn, schema), pairs
 
-    q = dealt(queries, "_qb", nq, "_db", nd).groupBy("_qb", "_db")
-    return q.cogroup(dealt(donors, "_db", nd, "_qb", nq).groupBy("_qb", "_db")).applyInPandas(fn, schema)
+
+def _search(queries: DataFrame, donors: DataFrame, d: int, k: int, need: int, fn, schema: T.StructType, per_column: bool) -> DataFrame:
+    """Candidates that hold the exact top-k of every query (and, ``per_column``, of each of its missing columns)."""
+    placed, cells = donor_cells(donors, d)
+    columns = [f"_c{i}" for i in range(d)]
+    if queries is None:       # the donors themselves, or those of them that miss a column
+        queries = placed.filter(_pattern(d).contains("0")) if per_column else placed
+    else:
+        queries = cut_lineage(queries)
+    has = np.array([[p is None or p[i] == "1" for i in range(d)] for p in cells.pattern])
+
+    def goals(x):
+        """(target columns, usable cells of each) per target."""
+        return [(np.isnan(x[:, c]), has[:, c]) for c in range(d)] if per_column else [(np.ones(len(x), bool), np.ones(len(cells.size), bool))]
+
+    def spread(pdf, chosen):
+        row, cell = np.nonzero(chosen)
+        return pdf[["_id", *columns]].iloc[row].assign(_cell=cell.astype(np.int32))
+
+    def nearest(x):
+        low, out = cells.bounds(x), np.zeros((len(x), len(cells.size)), bool)
+        for asked, usable in goals(x):
+            out |= cells.first(low, usable[None, :], need) & asked[:, None]
+        return low, out & (cells.size > 0)
+
+    def pieces(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), STEP):
+                yield pdf.iloc[s:s + STEP]
+
+    def opening(batches):
+        for pdf in pieces(batches):
+            yield spread(pdf, nearest(_numbers(pdf, d))[1])
+
+    kinds = T.StructType([queries.schema["_id"], *[T.StructField(c, T.DoubleType()) for c in columns]])
+    visit = T.StructType([*kinds.fields, T.StructField("_cell", T.IntegerType())])
+    queries = queries.select("_id", *columns)
+    one, compared = _visit(queries.mapInPandas(opening, visit), placed, cells, fn, schema)
+    one = cut_lineage(one)
+    goal = F.col("c") if per_column else F.lit(0)
+    ranked = one.withColumn("_g", goal).withColumn("_rk", F.row_number().over(Window.partitionBy("qid", "_g").orderBy("dist")))
+    reach = ranked.filter(F.col("_rk") == k).groupBy(F.col("qid").alias("_q")).agg(
+        F.map_from_entries(F.collect_list(F.struct("_g", "dist"))).alias("_reach"))       # at most a distance per column
+
+    def closing(batches):
+        for pdf in pieces(batches):
+            low, seen = nearest(_numbers(pdf, d))
+            out = np.zeros(seen.shape, bool)
+            for c, (asked, usable) in enumerate(goals(_numbers(pdf, d))):
+                far = np.array([dict(m).get(c, np.inf) if m is not None else np.inf for m in pdf["_reach"]], float)
+                out |= (low <= far[:, None]) & np.isfinite(low) & usable[None, :] & asked[:, None]
+            yield spread(pdf, out & ~seen & (cells.size > 0))
+
+    asked = queries.join(reach, F.col("_id") == F.col("_q"), "left").drop("_q")
+    two, more = _visit(asked.mapInPandas(closing, visit), placed, cells, fn, schema)
+    two = two if more else one.limit(0)
+    LOG.info("neighbours: %s pairs compared in %s cells", compared + more, len(cells.size))
+    SEARCHED.update(pairs=compared + more, cells=len(cells.size))
+    return one.unionByName(two)
+
+
+#: Figures of the last search: compared pairs and cells.
+SEARCHED: dict[str, int] = {}
 
 
 def _schema(qtype, dtype, *names) -> T.StructType:
@@ -153,7 +315,8 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "row_id", donors:
     d = len(columns)
     if d == 0:
         return df
-    donors = donors if donors is not None else donor_table(df, columns, key)
+    own = donors is None
+    donors = donor_table(df, columns, key) if own else donors
     if means is None:
         mrow = donors.agg(*[F.avg(f"_c{i}").alias(f"m{i}") for i in range(d)]).first()
         means = {c: mrow[f"m{i}"] for i, c in enumerate(columns)}
@@ -163,7 +326,7 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "row_id", donors:
     queries = df.filter(any_null).select(col(key).alias("_id"),
                                          *[col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
     schema = _schema(queries.schema["_id"].dataType, donors.schema["_id"].dataType, "qid", "c", "dist", "did", "v")
-    cand = _cogrouped(queries, donors, _impute_candidates(k, d), schema)
+    cand = _search(None if own else queries, donors, d, k, k, _impute_candidates(k, d), schema, per_column=True)
     w = Window.partitionBy("qid", "c").orderBy("dist", "did")
     found = (cand.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
              .groupBy("qid", "c").agg(F.avg("v").alias("v")))
@@ -221,7 +384,8 @@ def nearest_neighbours(queries: DataFrame, donors: DataFrame, columns, k: int, k
 
     q, x = numbered(queries), numbered(donors)
     schema = _schema(q.schema["_id"].dataType, x.schema["_id"].dataType, "qid", "dist", "did")
-    cand = _cogrouped(q, x, _neighbour_candidates(k, len(columns)), schema)
+    # one donor more than k, since a row is not its own neighbour
+    cand = _search(None if queries is donors else q, x, len(columns), k, k + 1, _neighbour_candidates(k, len(columns)), schema, per_column=False)
     w = Window.partitionBy("qid").orderBy("dist", "did")
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return cut_lineage(top.select("qid", F.col("rank").cast("int").alias("rank"), "did", "dist"))

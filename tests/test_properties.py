@@ -145,3 +145,35 @@ def test_iterative_imputation_fills_everything(spark):
     # observed values are kept as they are
     j = oc.join(out.select("row_id", F.col("acctbal").alias("a2")), "row_id").filter("acctbal IS NOT NULL")
     assert j.filter("acctbal <> a2").count() == 0
+
+
+@pytest.mark.parametrize("shape", ["spread", "lumps"])
+def test_neighbours_by_cells_equal_all_pairs(spark, monkeypatch, shape):
+    from riskfold.operators import knn
+    rng = np.random.default_rng(8)
+    n, d, k = 900, 4, 5
+    x = rng.normal(size=(n, d)) + (rng.integers(0, 12, (n, 1)) * 9.0 if shape == "lumps" else 0.0)
+    x[:60] = x[60:120]                                  # ties
+    holes = x.copy()
+    holes[rng.random((n, d)) < 0.15] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(holes)]
+    columns = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double, d double")
+    monkeypatch.setattr(knn, "CELL_ROWS", 30)
+    monkeypatch.setattr(knn, "MAX_PATTERNS", 9)         # rarer patterns have no bound
+    got = np.array([r[1:] for r in sorted(knn_impute(df, columns, k=k).collect())])
+    dist = knn._masked_dist(holes, holes)
+    for i, c in zip(*np.nonzero(np.isnan(holes))):
+        usable = np.flatnonzero(~np.isnan(holes[:, c]) & np.isfinite(dist[i]))
+        best = usable[np.lexsort((usable, dist[i, usable]))][:k]
+        assert got[i, c] == pytest.approx(holes[best, c].mean() if len(best) else np.nanmean(holes[:, c]))
+    full = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a double, b double, c double, d double")
+    near = {}
+    for r in knn.nearest_neighbours(full, full, columns, k).collect():
+        near.setdefault(r.qid, {})[r.rank] = r.dist
+    plain = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(plain, np.inf)
+    want = np.sort(plain, axis=1)[:, :k]
+    for i in range(n):
+        np.testing.assert_allclose([near[i][j] for j in range(1, k + 1)], want[i], atol=1e-9)
+    assert knn.SEARCHED["cells"] > 10 and knn.SEARCHED["pairs"] < n * n * (0.25 if shape == "lumps" else 0.8)
