@@ -180,9 +180,9 @@ def kernel_shapley(df: DataFrame, background: DataFrame, features, score_fn, dra
     and their mean over draws is ``phi``, with its standard error over draws in ``error``
     (null for one draw).  Coalitions are exact up to ``EXACT_FEATURES`` features, else
     ``n_samples`` in pairs, the same for every row.  ``score_fn(DataFrame)`` adds ``score``."""
-    features, spark = list(features), df.sparkSession
+    features = list(features)
     d = len(features)
-    ship_package(spark)
+    ship_package(df.sparkSession)
     masks, weights = coalitions(d, n_samples, seed)
     every = np.concatenate([np.zeros((1, d), bool), masks, np.ones((1, d), bool)])
     bg = cut_lineage(background.select(col(key).alias("_k"), *[col(f).cast("double").alias(f"_b_{f}") for f in features]))
@@ -193,9 +193,10 @@ def kernel_shapley(df: DataFrame, background: DataFrame, features, score_fn, dra
     x = x.withColumn("_bid", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(
         "|", F.col(key).cast("string"), F.col("m").cast("string"), F.lit(str(seed)), F.lit("kernel"))), 1, 15), 16, 10).cast("long"), F.lit(n_bg)))
     x = x.join(bgr, "_bid")
-    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(every)], "c int, mask array<boolean>")
-    mixed = x.join(F.broadcast(table)).select(key, "m", "c", *[     # a stated set of coalitions, bounded by its parameters
-        F.when(F.col("mask")[j], col(f)).otherwise(col(f"_b_{f}")).alias(f) for j, f in enumerate(features)])
+    x = x.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))))
+    holds = ["".join("01"[int(v)] for v in every[:, j]) for j in range(d)]       # per feature: which coalitions hold it
+    mixed = x.select(key, "m", "c", *[F.when(F.substring(F.lit(holds[j]), F.col("c") + 1, F.lit(1)) == "1", col(f)).otherwise(col(f"_b_{f}")).alias(f)
+                                      for j, f in enumerate(features)])
     values = score_fn(mixed).groupBy(key, "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", col(score).alias("v")))), lambda s: s["v"]).alias("v"))
 
     def solve(batches):
