@@ -1,20 +1,23 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a weighted backoff automaton of order three.
 
-The model is a bigram model over words with Dirichlet smoothing toward an
-add-one unigram model.  As an automaton: the root emits every token with its
-unigram weight; the state of a word ``h`` has an arc for each token seen after
-it, and a failure arc to the root with weight ``mu / (count(h) + mu)``.  A text is
-read once from left to right; the state is carried from token to token, and the
-log weights of the arcs taken add up.
+Model: words with add-one unigrams at the root, and Dirichlet smoothing of each
+longer history toward the next shorter one.  Automaton: the root has an arc for
+every token; the start, each known word and each known pair of words is a state
+with an arc for every token seen after it, weighted with the smoothed probability,
+and a failure arc to the state of the next shorter history, weighted with the mass
+that the state leaves to unseen tokens.  A text is read once from left to right:
+the state is carried along, a token that has no arc takes failure arcs until one
+of the states reached has it, and the log weights of all arcs taken add up.
 
 The model is never gathered.  Texts are dealt by hash into parts of about
-``PART_BYTES``; each part lists its distinct n-grams with their training counts,
-sorted by hash, and sends them in packed blocks, one per range of hashes.  The
-task of a range adds up equal n-grams of all parts and answers each part with
-totals in the part's own order.  With its answers a part builds the piece of the
-automaton that its texts can reach, and scores them.  A frequent n-gram is one
-entry per part, so none is hot; a block holds at least one n-gram, so there are
-never more blocks than rows of a plain join on n-grams.
+``PART_BYTES``; each part lists its distinct n-grams of orders one to three with
+their training counts, sorted by hash, and sends them in packed blocks, one per
+range of hashes that it has n-grams in, so there are never more blocks than rows
+of a plain join on (part, n-gram).  The task of a range adds up equal n-grams of
+all parts and answers each part, in the part's own order, with what the others
+hold.  From the answers a part builds the states and arcs that its texts can reach,
+some texts at a time, and walks them.  A frequent n-gram is one entry per part, so
+none is hot.  N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import Words, mix64, ship_package, stash, text_chunks
+from riskfold.llm.common import Words, mix64, ship_package, text_chunks
 
-PART_BYTES = 4 << 20
-MU = 200.0
+PART_BYTES = 8 << 20
+#: Weight of the shorter history against the counts of a one-word and of a two-word history.
+MU = (200.0, 50.0)
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
+#: Tokens that one piece of the automaton is built for (a longer single text goes alone).
+PIECE_TOKENS = 200_000
+ORDERS = ("one", "two", "three")
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,12 +53,22 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
-def bigrams(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it (or the start of the text)."""
+def extend(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from those of all but its last token and of its last token."""
+    return mix64(before * np.uint64(0x9FB21C651E98DF25) + mix64(keys))
+
+
+def ngrams(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bigram, trigram, place of each trigram): a bigram ends at every token, the
+    first of a text after the start; a trigram at every token but the first."""
     before = np.empty_like(keys)
     before[1:] = keys[:-1]
     before[first[:-1]] = START
-    return mix64(before * np.uint64(0x9FB21C651E98DF25) + mix64(keys))
+    two = extend(before, keys)
+    inner = np.ones(len(keys), bool)
+    inner[first[:-1]] = False
+    at = np.flatnonzero(inner)
+    return two, extend(two[at - 1], keys[at]), at
 
 
 def ranges(sorted_keys: np.ndarray, n: int) -> np.ndarray:
@@ -60,119 +77,180 @@ def ranges(sorted_keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_keys, edges), [len(sorted_keys)]])
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences, byte planes first, so that high bytes compress."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+def pack(values: np.ndarray) -> bytes:
+    """64-bit values, byte planes first, so that high bytes compress."""
+    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
+def unpack(data: bytes, kind=np.int64) -> np.ndarray:
     flat = np.frombuffer(zlib.decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view(kind).ravel()
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(counts, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def unpack_counts(data: bytes) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).ravel()
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
 class Automaton:
-    """The arcs that some texts can take: root weights by token, and for each
-    state (token index, or -1 for the start) the arc and failure weights."""
-
-    def __init__(self, total: int, types: int, starts: int, mu: float = MU):
-        self.scale, self.starts, self.mu = total + types + 1.0, float(starts), mu
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return (count + 1.0) / self.scale
-
-    def failure(self, history: np.ndarray) -> np.ndarray:
-        return self.mu / (history + self.mu)
-
-    def traverse(self, first: np.ndarray, count: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(base, score) per text; ``count`` and ``pair``: training counts of each
-        position's token and of its bigram.  After a token the automaton stands in
-        that token's state, so the state of a position is the token before it."""
-        history = np.empty(len(count))
-        history[1:] = count[:-1]
-        history[first[:-1]] = self.starts
-        low = self.root(count)
-        arc = np.where(pair > 0, (pair + self.mu * low) / (history + self.mu), self.failure(history) * low)
-        base, full = np.zeros(len(first) - 1), np.zeros(len(first) - 1)
-        if len(count):
-            base, full = np.add.reduceat(np.log10(low), first[:-1]), np.add.reduceat(np.log10(arc), first[:-1])
-        return base, full
-
-
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", mu: float = MU,
+    """States and arcs that a run of texts can reach.
+
+    State 0 is the root, 1 the start; then one per distinct token, then one per
+    distinct pair of tokens.  ``arcs`` maps state * ``width`` + token to an arc with
+    a log weight and a target; ``fail`` and ``fail_weight`` belong to states.
+    """
+
+    def __init__(self, keys, first, n1, n2, n3, at3, total: int, types: int, starts: int, mu=MU):
+        """``keys``: token hashes; ``n1``, ``n2``: training counts of the token and of the
+        bigram at each place; ``n3``: those of the trigrams, which end at the places ``at3``."""
+        _, some, self.tokens = np.unique(keys, return_index=True, return_inverse=True)
+        two, three, _ = ngrams(keys, first)
+        _, some2, pair = np.unique(two, return_index=True, return_inverse=True)
+        _, some3 = np.unique(three, return_index=True)
+        self.width = width = max(1, len(some))
+        is_first = np.zeros(len(keys), bool)
+        is_first[first[:-1]] = True
+        history = np.ones(len(keys), np.int64)                      # state of the word before
+        history[1:] = 2 + self.tokens[:-1]
+        history[is_first] = 1
+        count = np.full(len(keys), float(starts))                   # how often that word was seen
+        count[1:] = n1[:-1]
+        count[is_first] = starts
+        ends = keys == END
+        low = (n1 + 1.0) / (total + types + 1.0)
+        mid = (n2 + mu[0] * low) / (count + mu[0])
+        pair_state = np.where(ends, 0, 2 + width + pair)
+        word_state = np.where(ends | (n1 == 0), 0, 2 + self.tokens)
+
+        b = some2[n2[some2] > 0]
+        c = some3[n3[some3] > 0]
+        t = at3[c]
+        high = (n3[c] + mu[1] * mid[t]) / (n2[t - 1] + mu[1])
+        state = np.concatenate([np.zeros(len(some), np.int64), history[b], 2 + width + pair[t - 1]])
+        token = np.concatenate([self.tokens[some], self.tokens[b], self.tokens[t]])
+        self.arcs = dict(zip((state * width + token).tolist(), range(len(state)), strict=True))
+        self.weight = np.log10(np.concatenate([low[some], mid[b], high])).tolist()
+        self.target = np.concatenate([word_state[some], pair_state[b], pair_state[t]]).tolist()
+
+        self.fail = np.concatenate([[0, 0], np.zeros(len(some), np.int64), 2 + self.tokens[some2]]).tolist()
+        self.fail_weight = np.concatenate([
+            [0.0, np.log10(mu[0] / (starts + mu[0]))], np.log10(mu[0] / (n1[some] + mu[0])),
+            np.log10(mu[1] / (n2[some2] + mu[1]))]).tolist()
+
+    def walk(self, begin: int, end: int) -> float:
+        """Log probability of the text whose tokens are at ``begin`` to ``end``."""
+        arcs, width, weight, target, fail, fail_weight = \
+            self.arcs, self.width, self.weight, self.target, self.fail, self.fail_weight
+        state, score = 1, 0.0
+        for token in self.tokens[begin:end].tolist():
+            arc = arcs.get(state * width + token)
+            while arc is None:
+                score += fail_weight[state]
+                state = fail[state]
+                arc = arcs.get(state * width + token)
+            score += weight[arc]
+            state = target[arc]
+        return score
+
+
+def walk_all(keys, first, n1, n2, n3, at3, total: int, types: int, starts: int, mu=MU,
+             piece_tokens: int = PIECE_TOKENS) -> np.ndarray:
+    """Score of every text, by one automaton for each run of texts of about ``piece_tokens``."""
+    out = np.zeros(len(first) - 1)
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + piece_tokens, "right")) - 1)
+        a, b = first[at], first[to]
+        c, d = np.searchsorted(at3, [a, b])
+        cut = first[at:to + 1] - a
+        part = Automaton(keys[a:b], cut, n1[a:b], n2[a:b], n3[c:d], at3[c:d] - a, total, types, starts, mu)
+        out[at:to] = [part.walk(x, y) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        at = to
+    return out
+
+
+def sizes_of(rows: DataFrame) -> tuple[int, int, int]:
+    """(tokens, distinct tokens, texts) of the ``text`` column, by a grouped count."""
+    def run(batches):
+        for batch in batches:
+            keys, n = np.unique(tokens(batch.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    counts = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    end = int(END.view(np.int64))
+    found = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("h") == end, F.col("n")))).first()
+    return tuple(int(x or 0) for x in found)
+
+
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", mu=MU,
           part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` is a boolean column: rows that the model learns from.  Null or empty
-    text is one end token.  Repeated rows count as often as they occur.
+    text is one end token.  Repeated rows count as often as they occur; they are
+    dealt to parts by their place in the table, so ``docs`` should be a stored table.
     """
     ship_package(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), train.alias("train"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, types, starts = sizes_of(rows.filter("train"))
+    parts = max(1, -(-size // part_bytes))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
 
-    def listing(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list, list]:
-        """Tokens of a part: (first, is the text trained on, [unique, inverse] of unigrams, of bigrams)."""
+    def listing(t: pa.Table):
+        """Tokens of a part: (hashes, firsts, is the text trained on, places of trigrams,
+        and by order the distinct n-grams, the place of each in that list, own training counts)."""
         keys, first = tokens(t.column("text"))
-        return first, t.column("train").to_numpy().astype(bool), np.unique(keys, return_inverse=True), \
-            np.unique(bigrams(keys, first), return_inverse=True)
+        learn = t.column("train").to_numpy().astype(bool)
+        two, three, at = ngrams(keys, first)
+        weight = np.repeat(learn, np.diff(first))
+        grams = []
+        for values, w in ((keys, weight), (two, weight), (three, weight[at])):
+            every, place = np.unique(values, return_inverse=True)
+            grams.append((every, place, np.bincount(place[w], minlength=len(every))))
+        return keys, first, learn, at, grams
 
     def send(t: pa.Table) -> pa.Table:
-        first, learn, *grams = listing(t)
-        weight = np.repeat(learn, np.diff(first))
-        out = {"range": np.arange(parts, dtype=np.int32), "part": np.full(parts, t.column("part")[0].as_py(), np.int32)}
-        for name, (keys, place) in zip(("one", "two"), grams, strict=True):
-            counts = np.bincount(place[weight], minlength=len(keys))
-            cuts = ranges(keys, parts)
-            out[f"{name}_key"] = [pack_keys(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            out[f"{name}_n"] = [pack_counts(counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        *_, grams = listing(t)
+        cuts = [ranges(keys, parts) for keys, _, _ in grams]
+        used = np.flatnonzero(sum(np.diff(c) for c in cuts))
+        out = {"range": used.astype(np.int32), "part": np.full(len(used), t.column("part")[0].as_py(), np.int32)}
+        for name, (keys, _, n), cut in zip(ORDERS, grams, cuts, strict=True):
+            out[f"{name}_key"] = [pack_keys(keys[cut[r]:cut[r + 1]]) for r in used]
+            out[f"{name}_n"] = [pack(n[cut[r]:cut[r + 1]]) for r in used]
         return pa.table(out)
 
     blocks = rows.groupBy("part").applyInArrow(
-        send, "range int, part int, one_key binary, one_n binary, two_key binary, two_n binary")
+        send, "range int, part int, " + ", ".join(f"{o}_key binary, {o}_n binary" for o in ORDERS))
 
     def add_up(t: pa.Table) -> pa.Table:
         out = {"range": t.column("range"), "part": t.column("part")}
-        total, types = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows, np.int64)
-        starts = np.zeros(t.num_rows, np.int64)
-        for name in ("one", "two"):
+        for name in ORDERS:
             keys = [unpack_keys(k.as_py()) for k in t.column(f"{name}_key")]
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.concatenate([unpack_counts(k.as_py()) for k in t.column(f"{name}_n")])
-            sums = np.bincount(place, n, len(every)).astype(np.int64)
-            if name == "one":
-                total[0], types[0], starts[0] = sums.sum(), (sums > 0).sum(), sums[every == END].sum()
-            ends = np.cumsum([len(k) for k in keys])
-            out[f"{name}_sum"] = [pack_counts(x) for x in np.split(sums[place], ends[:-1])]
-        return pa.table(out | {"total": total, "types": types, "starts": starts})
-
-    answers = stash(blocks.groupBy("range").applyInArrow(
-        add_up, "range int, part int, one_sum binary, two_sum binary, total long, types long, starts long"), "ngrams")
-    known = answers.agg(F.sum("total"), F.sum("types"), F.sum("starts")).first()
-    total, types, starts = (int(x or 0) for x in known)
+            n = np.concatenate([unpack(k.as_py()) for k in t.column(f"{name}_n")])
+            others = np.bincount(place, n, len(every)).astype(np.int64)[place] - n
+            out[f"{name}_sum"] = [pack(x) for x in np.split(others, np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table(out)
+
+    answers = blocks.groupBy("range").applyInArrow(
+        add_up, "range int, part int, " + ", ".join(f"{o}_sum binary" for o in ORDERS))
 
     def read(t: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("range")
-        first, learn, *grams = listing(t)
-        seen = []
-        for name, (_, place) in zip(("one", "two"), grams, strict=True):
-            sums = np.concatenate([unpack_counts(x.as_py()) for x in told.column(f"{name}_sum")])
-            seen.append(sums[place])
-        base, full = Automaton(total, types, starts, mu).traverse(first, *seen)
+        keys, first, learn, at, grams = listing(t)
+        n1, n2, n3 = ((own + np.concatenate([unpack(x.as_py()) for x in told.column(f"{name}_sum")]))[place]
+                      for name, (_, place, own) in zip(ORDERS, grams, strict=True))
         return pa.table({
             id_col: t.column("id"), "held_out": ~learn, "n_tokens": np.diff(first),
-            "n_known": np.add.reduceat((seen[0] > 0).astype(np.int64), first[:-1]) if len(learn) else np.zeros(0, np.int64),
-            "train_tokens": np.full(len(learn), total), "base_score": base, "score": full})
+            "n_known": np.add.reduceat((n1 > 0).astype(np.int64), first[:-1]),
+            "train_tokens": np.full(len(learn), total),
+            "base_score": np.add.reduceat(np.log10((n1 + 1.0) / (total + types + 1.0)), first[:-1]),
+            "score": walk_all(keys, first, n1, n2, n3, at, total, types, starts, mu)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(

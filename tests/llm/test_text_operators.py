@@ -211,16 +211,19 @@ def test_op8_equals_brute_force(docs, nothing):
         out[r.doc_id].append(r)
     tokens = [(r.doc_id, zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 == 2,
                [*WORDS.findall((r.text or "").translate(LOWER)), None]) for r in rows]
-    one, two = collections.Counter(), collections.Counter()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for _, held, w in tokens:
         if not held:
             one.update(w)
             two.update(zip(["<start>"] + w, w))
+            three.update(zip(["<start>"] + w, w, w[1:]))
     n, v, mu = sum(one.values()), len(one), backoff_lm.MU
     for i, held, w in tokens:
         low = [(one[x] + 1) / (n + v + 1) for x in w]
-        full = sum(math.log10((two[h, x] + mu * p) / ((one[None] if h == "<start>" else one[h]) + mu))
-                   for h, x, p in zip(["<start>"] + w, w, low))
+        mid = [(two[h, x] + mu[0] * p) / ((one[None] if h == "<start>" else one[h]) + mu[0])
+               for h, x, p in zip(["<start>"] + w, w, low)]
+        high = [(three[g, h, x] + mu[1] * p) / (two[g, h] + mu[1]) for g, h, x, p in zip(["<start>"] + w, w, w[1:], mid[1:])]
+        full = sum(map(math.log10, mid[:1] + high))
         r = out[i][0]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(w), sum(one[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(map(math.log10, low)), rel=1e-9, abs=1e-9)
@@ -229,6 +232,37 @@ def test_op8_equals_brute_force(docs, nothing):
     assert backoff_lm.op8_backoff_automaton(nothing).count() == 0
 
 
+def test_automaton_states_and_arcs():
+    """Texts ``a b``, ``a b``, ``a c`` are known; walks take the longest known history and its failures."""
+    keys = {w: np.uint64(k + 1) for k, w in enumerate("abcx")} | {"": backoff_lm.END}
+    known = [["a", "b", ""], ["a", "b", ""], ["a", "c", ""]]
+    asked = [["a", "b", ""], ["x", "a", "c", "c", ""], [""]]
+    grams = [collections.Counter(tuple((["<"] + t)[i:i + n]) for t in known for i in range(n == 1, len(t) + 2 - n)) for n in (1, 2, 3)]
+    first = np.cumsum([0] + [len(t) for t in asked])
+    n1, n2, n3 = (np.array([grams[n - 1][tuple((["<"] + t)[i + 2 - n:i + 2])] for t in asked for i in range(len(t)) if i + 2 >= n])
+                  for n in (1, 2, 3))
+    at3 = np.setdiff1d(np.arange(first[-1]), first[:-1])
+    flat = np.array([keys[w] for t in asked for w in t], np.uint64)
+    auto = backoff_lm.Automaton(flat, first, n1, n2, n3, at3, 9, 4, 3)
+    m, k = backoff_lm.MU
+
+    def low(w):
+        return (grams[0][w,] + 1) / 14
+
+    def end(n):
+        return (n + m * low("")) / (n + m)
+
+    fall = m / (3 + m)                                   # the start is left without an arc
+    b = (2 + m * low("b")) / (3 + m)
+    c = (1 + m * low("c")) / (3 + m)
+    first_text = (3 + m * low("a")) / (3 + m) * (2 + k * b) / (3 + k) * (2 + k * end(2)) / (2 + k)
+    second = fall * low("x") * low("a") * c * (k / (1 + k)) * (m / (1 + m)) * low("c") * end(1)
+    got = [auto.walk(x, y) for x, y in zip(first[:-1], first[1:])]
+    assert got == pytest.approx([math.log10(p) for p in (first_text, second, fall * low(""))])
+    whole = [backoff_lm.walk_all(flat, first, n1, n2, n3, at3, 9, 4, 3, piece_tokens=p).tolist() for p in (1, 4, 100)]
+    assert whole == [pytest.approx(got)] * 3
+
+
 def dedup(rows, min_chars=40, min_docs=5):
     def key(line):
         return line.strip(" \t\n\x0b\f\r").translate(LOWER)
