@@ -12,8 +12,8 @@ import warnings
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import FeatureHasher
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskfold.functions.exprs import add_all, col
@@ -33,14 +33,24 @@ def fill_category(df: DataFrame, columns) -> DataFrame:
                        for c in df.columns])
 
 
-def fit_vocabulary(df: DataFrame, columns, max_levels: int = 10000) -> dict:
-    """Sorted distinct levels per categorical column (after the fill).
+@dataclass
+class Dictionary:
+    """Levels of a column that has too many for one column each.
+
+    ``levels`` is a written table ``(level, slot)``: slots number the sorted levels
+    from 0 without gaps, so slot ``i`` is what the ``i``-th dummy column would be."""
+    levels: DataFrame
+    size: int
+
 
-    One distinct aggregation over ``(column, level)``; levels are counted per
-    column before anything reaches the driver.  A column with more than
-    ``max_levels`` levels has no vocabulary: its entry is ``None``, and
-    :func:`wide_encode` turns it into one hashed vector column instead of
-    thousands of dummies."""
+def fit_vocabulary(df: DataFrame, columns, dense_levels: int = 10000) -> dict:
+    """Distinct levels per categorical column (after the fill), in sorted order.
+
+    One distinct aggregation over ``(column, level)``; levels are counted per column
+    before anything reaches the driver.  A column of at most ``dense_levels`` levels
+    has a list, which becomes dummy columns; one with more has a :class:`Dictionary`
+    that stays in Spark, which becomes one sparse vector column of the same slots.
+    Assembled features are equal either way."""
     columns = list(columns)
     if not columns:
         return {}
@@ -49,19 +59,36 @@ def fit_vocabulary(df: DataFrame, columns, max_levels: int = 10000) -> dict:
                                 for c in columns]))
     levels = cut_lineage(df.select(pairs.alias("p")).select("p.k", "p.v").distinct())
     n = {r["k"]: r["n"] for r in levels.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    narrow = [c for c in columns if n.get(c, 0) <= max_levels]
-    vocab = {c: ([] if c in narrow else None) for c in columns}
+    narrow = [c for c in columns if n.get(c, 0) <= dense_levels]
+    vocab = {c: [] if c in narrow else Dictionary(level_slots(levels.filter(F.col("k") == c).select(F.col("v").alias("level"))), n[c])
+             for c in columns}
     for r in levels.filter(F.col("k").isin(narrow)).collect():
         vocab[r["k"]].append(r["v"])
-    return {c: v if v is None else sorted(v) for c, v in vocab.items()}
-
-
-def wide_encode(df: DataFrame, columns, size: int = 1 << 18) -> DataFrame:
-    """T2 for columns without a vocabulary: each becomes the sparse vector
-    ``<col>_hashed`` of fixed width (two levels may share a slot)."""
-    for c in columns:
-        filled = df.withColumn("_level", F.coalesce(col(c).cast("string"), F.lit(CATEGORY_FILL)))
-        df = FeatureHasher(inputCols=["_level"], outputCol=f"{c}_hashed", numFeatures=size).transform(filled).drop("_level", c)
+    return {c: sorted(v) if isinstance(v, list) else v for c, v in vocab.items()}
+
+
+def level_slots(levels: DataFrame) -> DataFrame:
+    """``(level, slot)`` of distinct levels: ranges of levels are numbered inside
+    themselves, after an offset from the sizes of the ranges before them."""
+    ranged = cut_lineage(levels.repartitionByRange("level").withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))       # one row per partition
+    before = sizes.alias("a").join(sizes.toDF("_earlier", "_m").alias("b"), F.col("_earlier") < F.col("_range"), "left") \
+        .groupBy("_range").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("level")) - 1
+    return cut_lineage(ranged.withColumn("_place", place).join(before, "_range")
+                       .select("level", (F.col("_before") + F.col("_place")).alias("slot")))
+
+
+def wide_encode(df: DataFrame, dictionaries: dict) -> DataFrame:
+    """T2 for columns with a :class:`Dictionary`: each becomes the sparse vector
+    ``<col>_levels`` with a one in its level's slot; unseen level → all zeros."""
+    for c, known in dictionaries.items():
+        out = [x for x in df.columns if x != c] + [f"{c}_levels"]
+        one = OneHotEncoder(inputCol="_slot", outputCol=f"{c}_levels", handleInvalid="keep", dropLast=True) \
+            .fit(df.sparkSession.createDataFrame([(float(known.size - 1),)], "_slot double"))
+        held = df.withColumn("_level", F.coalesce(col(c).cast("string"), F.lit(CATEGORY_FILL))) \
+            .join(known.levels.select(F.col("level").alias("_level"), F.col("slot").cast("double").alias("_slot")), "_level", "left")
+        df = one.transform(held.withColumn("_slot", F.coalesce("_slot", F.lit(float(known.size))))).select(*[col(x) for x in out])
     return df
 
 
@@ -74,10 +101,15 @@ def one_hot_exprs(vocab: dict) -> list:
     return out
 
 
+def split_vocabulary(vocab: dict) -> tuple[dict, dict]:
+    """(columns with a list of levels, columns with a dictionary)."""
+    return ({c: v for c, v in vocab.items() if not isinstance(v, Dictionary)},
+            {c: v for c, v in vocab.items() if isinstance(v, Dictionary)})
+
+
 def one_hot(df: DataFrame, vocab: dict) -> DataFrame:
-    """Replace the categorical columns by their dummies (or hashed vectors), appended at the end."""
-    narrow = {c: v for c, v in vocab.items() if v is not None}
-    wide = [c for c in vocab if c not in narrow]
+    """Replace the categorical columns by their dummies (or sparse vectors), appended at the end."""
+    narrow, wide = split_vocabulary(vocab)
     keep = [col(c) for c in df.columns if c not in narrow]
     return wide_encode(df.select(*keep, *one_hot_exprs(narrow)), wide)
 
@@ -244,10 +276,30 @@ class Prepared:
 
     @property
     def features(self) -> list:
-        dummies = [x for c, lvs in self.vocab.items() for x in ([f"{c}_hashed"] if lvs is None else [f"{c}_{lv}" for lv in lvs])]
+        dummies = [x for c, lvs in self.vocab.items()
+                   for x in ([f"{c}_levels"] if isinstance(lvs, Dictionary) else [f"{c}_{lv}" for lv in lvs])]
         nums = [c for c in self.numeric if self.impute.get(c, 0.0) is not None]
         return list(self.binary) + dummies + nums
 
+    def feature_slots(self, spark) -> DataFrame:
+        """``(slot, feature)``: what each place of the assembled feature vector (the places of
+        coefficients and importances) stands for; levels of a dictionary come from its table."""
+        at, plain, tables = 0, [], []
+        owner = {f"{c}_levels": (c, v) for c, v in split_vocabulary(self.vocab)[1].items()}
+        for f in self.features:
+            if f in owner:
+                c, known = owner[f]
+                tables.append(known.levels.select((F.col("slot") + F.lit(at)).cast("long").alias("slot"),
+                                                  F.concat(F.lit(f"{c}_"), "level").alias("feature")))
+                at += known.size
+            else:
+                plain.append((at, f))
+                at += 1
+        out = spark.createDataFrame(plain, "slot long, feature string")
+        for t in tables:
+            out = out.unionByName(t)
+        return out
+
     def keep_rows(self, df: DataFrame) -> DataFrame:
         """P5 with the threshold of the fit; a column that ``df`` lacks counts as missing."""
         if not self.min_non_null:
@@ -267,9 +319,9 @@ class Prepared:
 
     def _filled(self, df: DataFrame, keep_endpoints: bool = True) -> DataFrame:
         nums = [c for c in self.numeric if self.impute.get(c, 0.0) is not None]
-        wide = [c for c, v in self.vocab.items() if v is None]
+        narrow, wide = split_vocabulary(self.vocab)
         base = self.keep_rows(df).select(
-            col(self.key), *binary_exprs(self.binary), *one_hot_exprs({c: v for c, v in self.vocab.items() if v is not None}),
+            col(self.key), *binary_exprs(self.binary), *one_hot_exprs(narrow),
             *[col(c) for c in wide], *[col(c).cast("double").alias(c) for c in nums],
             *([col(e) for e in self.endpoints] if keep_endpoints else []))
         base = wide_encode(base, wide)

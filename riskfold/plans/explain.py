@@ -3,7 +3,8 @@
 * linear: ``phi_j = coef_j * (x_j - mean_j)`` as one projection + unpivot;
 * tree ensembles: path-dependent tree Shapley values in time linear in the nodes
   (:func:`riskfold.operators.grove.tree_attributions`), one task per tree and block
-  of rows; node tables stay in Spark;
+  of rows; node tables stay in Spark; or against background rows, which are counted by
+  leaf and pattern of satisfied path features;
 * any other model: the kernel explainer (row x background draw x coalition → mixed
   rows, one ``transform``, a constrained weighted regression per draw), or
   sampled permutations (row x permutation x prefix length, successive differences).
@@ -129,6 +130,142 @@ def expected_value(nodes: DataFrame) -> float:
     return leaves.groupBy("treeID").agg(F.sum(F.col("prediction") * F.col("rawCount") / F.col("_n")).alias("v")).agg(F.avg("v")).first()[0]
 
 
+# -- X2 with background rows ---------------------------------------------------------------
+
+
+def leaf_boxes(tree: pd.DataFrame) -> list[tuple]:
+    """(leaf, value, features, lows, highs) of a node table: a leaf holds the rows with
+    ``low < x <= high`` in each feature that its path asks for."""
+    at = {int(r.id): r for r in tree.itertuples()}
+    out, todo = [], [(0, {})]
+    while todo:
+        i, box = todo.pop()
+        r = at[i]
+        if r.leftChild < 0:
+            js = sorted(box)
+            out.append((i, float(r.prediction), js, [box[j][0] for j in js], [box[j][1] for j in js]))
+            continue
+        j, cut = int(r.feature_index), float(r.threshold[0])
+        lo, hi = box.get(j, (-math.inf, math.inf))
+        todo.append((int(r.leftChild), {**box, j: (lo, min(hi, cut))}))
+        todo.append((int(r.rightChild), {**box, j: (max(lo, cut), hi)}))
+    return out
+
+
+def box_patterns(x: np.ndarray, js, lows, highs) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct patterns of satisfied path features, pattern of each row); missing values go right."""
+    held = np.where(np.isnan(x[:, js]), np.inf, x[:, js])
+    fits = (held > lows) & (held <= highs)
+    if not len(js):
+        return np.zeros((1, 0), bool), np.zeros(len(x), np.int64)
+    packed = np.ascontiguousarray(np.packbits(fits, axis=1))
+    _, first, place = np.unique(packed.view([("", packed.dtype)] * packed.shape[1]).ravel(), return_index=True, return_inverse=True)
+    return fits[first], place
+
+
+def pattern_shapley(rows: np.ndarray, background: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Attributions (row patterns x path features) of a leaf of value 1.
+
+    Against one background pattern a leaf is reached by the coalitions that hold every
+    feature which only the row satisfies (``a`` of them) and none that only the background
+    satisfies (``b``); where neither satisfies a feature, by none.  Summed over
+    orders this gives 1 / (a C(a+b, a)) to the first kind and -1 / (b C(a+b, b)) to the
+    second; ``share`` weights the background patterns."""
+    u, v = rows.astype(float), background.astype(float)
+    m = u.shape[1]
+    one, two = np.zeros((m + 1, m + 1)), np.zeros((m + 1, m + 1))
+    for a in range(m + 1):
+        for b in range(m + 1 - a):
+            one[a, b] = 1 / (a * math.comb(a + b, a)) if a else 0
+            two[a, b] = 1 / (b * math.comb(a + b, b)) if b else 0
+    out = np.zeros_like(u)
+    step = max(1, (1 << 22) // max(1, len(u)))
+    for at in range(0, len(v), step):
+        w, part = v[at:at + step], share[at:at + step]
+        a, b = (u @ (1 - w).T).astype(int), ((1 - u) @ w.T).astype(int)
+        met = ((1 - u) @ (1 - w).T < 0.5) * part
+        out += u * ((one[a, b] * met) @ (1 - w)) - (1 - u) * ((two[a, b] * met) @ w)
+    return out
+
+
+def background_shap(df: DataFrame, background: DataFrame, features, nodes: DataFrame, weights=None, key: str = "row_id") -> DataFrame:
+    """X2 against background rows: ``(row_id, feature, phi)`` of a Spark ML ensemble's output.
+
+    Interventional tree Shapley values, exact over all ``background`` rows: attributions of
+    a row add up to its output minus the mean output of the background.  ``weights`` are
+    the trees' weights by number (boosting margins); by default the trees' mean.
+
+    Background rows are grouped by (tree, leaf, pattern of satisfied path features) and
+    counted in Spark, so a task meets patterns with counts, never the rows; rows are dealt
+    into blocks, and a task holds one tree, its counted patterns and one block.  The work of
+    a leaf is its row patterns times its background patterns."""
+    features = list(features)
+    spark = df.sparkSession
+    ship_package(spark)
+    trees = [r[0] for r in nodes.select("treeID").distinct().orderBy("treeID").collect()]       # one number per tree
+    weights = [1.0 / len(trees)] * len(trees) if weights is None else [float(w) for w in weights]
+    scale = F.element_at(F.array(*map(F.lit, weights)), F.col("_tree") + 1)
+
+    def boxes_of(tree: pd.DataFrame) -> pd.DataFrame:
+        found = leaf_boxes(tree)
+        return pd.DataFrame({"_tree": int(tree["treeID"].iloc[0]), "_leaf": [f[0] for f in found], "_value": [f[1] for f in found],
+                             "_js": [f[2] for f in found], "_lo": [f[3] for f in found], "_hi": [f[4] for f in found]})
+
+    boxes = cut_lineage(nodes.groupBy("treeID").applyInPandas(
+        boxes_of, "_tree int, _leaf int, _value double, _js array<int>, _lo array<double>, _hi array<double>"))
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-rows.count() // ROW_BLOCK))
+        cut = rows.select(col(key).alias("_k"), F.array(*[col(f).cast("double") for f in features]).alias("_x"),
+                          F.pmod(F.xxhash64(col(key)), F.lit(blocks)).cast("int").alias("_block"))
+        return cut.withColumn("_tree", F.explode(F.array(*map(F.lit, trees)))), blocks
+
+    def by_block(table: DataFrame, blocks: int):
+        return table.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("_tree", "_block")
+
+    def matrix(part: pd.DataFrame) -> np.ndarray:
+        return np.array([[np.nan if x is None else x for x in v] for v in part["_x"]], float)
+
+    def count(part: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(part) and len(leaves):
+            x = matrix(part)
+            for _, leaf in leaves.iterrows():
+                seen, place = box_patterns(x, list(leaf["_js"]), np.asarray(leaf["_lo"]), np.asarray(leaf["_hi"]))
+                out += [(leaf["_leaf"], np.packbits(p).tobytes(), n) for p, n in zip(seen, np.bincount(place, minlength=len(seen)).tolist())]
+        return pd.DataFrame(out, columns=["_leaf", "_pattern", "_n"]).assign(_tree=part["_tree"].iloc[0] if len(part) else 0)
+
+    cells, blocks = dealt(background)
+    named = boxes.select("_tree", "_leaf", "_value", "_js", "_lo", "_hi")
+    counted = cells.groupBy("_tree", "_block").cogroup(by_block(named, blocks)).applyInPandas(
+        count, "_leaf int, _pattern binary, _n long, _tree int")
+    patterns = counted.groupBy("_tree", "_leaf", "_pattern").agg(F.sum("_n").alias("_n")) \
+        .groupBy("_tree", "_leaf").agg(F.collect_list("_pattern").alias("_patterns"), F.collect_list("_n").alias("_counts"))
+    model = cut_lineage(named.join(patterns, ["_tree", "_leaf"]).withColumn("_value", F.col("_value") * scale))
+
+    def attribute(part: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(leaves):
+            return pd.DataFrame({"_k": [], "_phi": []})
+        x = matrix(part)
+        phi = np.zeros((len(x), len(features)))
+        for _, leaf in leaves.iterrows():
+            js = list(leaf["_js"])
+            if not js:
+                continue
+            seen, place = box_patterns(x, js, np.asarray(leaf["_lo"]), np.asarray(leaf["_hi"]))
+            known = np.array([np.unpackbits(np.frombuffer(p, np.uint8), count=len(js)) for p in leaf["_patterns"]], bool)
+            n = np.asarray(leaf["_counts"], float)
+            phi[:, js] += (leaf["_value"] * pattern_shapley(seen, known, n / n.sum()))[place]
+        return pd.DataFrame({"_k": part["_k"].to_numpy(), "_phi": list(phi)})
+
+    kind = df.schema[key].dataType.simpleString()
+    rows, blocks = dealt(df)
+    got = rows.groupBy("_tree", "_block").cogroup(by_block(model, blocks)).applyInPandas(attribute, f"_k {kind}, _phi array<double>")
+    names = F.array(*[F.lit(f) for f in features])
+    return got.select("_k", F.posexplode("_phi").alias("_j", "_v")).groupBy("_k", "_j").agg(F.sum("_v").alias("phi")).select(
+        F.col("_k").alias(key), F.element_at(names, F.col("_j") + 1).alias("feature"), "phi")
+
+
 # -- X3 kernel explainer --------------------------------------------------------------------
 
 EXACT_FEATURES = 10     # up to so many features every coalition is evaluated

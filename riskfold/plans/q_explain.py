@@ -208,6 +208,15 @@ def q_tree_attribution(spark, sf):
     return EX.tree_shap(test, feats, nodes)
 
 
+@query("background_attribution", None, [], "X2 against background rows: margins of a boosted model, all training rows as background")
+def q_background_attribution(spark, sf):
+    from riskfold.plans.q_models import _split
+    train, test, feats = _split(spark, sf)
+    fitted = MO.fit(MO.ModelSpec.of("gbt"), MO.assemble(train, feats), len(feats))
+    nodes = MO.tree_nodes(spark, fitted, scratch_path(spark, "boosted"))
+    return EX.background_shap(test, train, feats, nodes, fitted.model.treeWeights)
+
+
 @query("kernel_shapley", None, [], "X3 kernel explainer of a linear SVM's decision value")
 def q_kernel_shapley(spark, sf):
     from riskfold.plans.q_models import _split

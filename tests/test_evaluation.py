@@ -46,12 +46,22 @@ def test_knn_imputation_runs_once_and_matches(spark):
     np.testing.assert_allclose(a[prep.features], b[prep.features])
 
 
-def test_wide_vocabulary_becomes_a_vector(spark):
-    df = spark.createDataFrame([(i, f"v{i % 40}", "a") for i in range(200)], "row_id long, wide string, narrow string")
-    vocab = TR.fit_vocabulary(df, ["wide", "narrow"], max_levels=10)
-    assert vocab == {"wide": None, "narrow": ["a"]}
-    out = TR.one_hot(df, vocab)
-    assert set(out.columns) == {"row_id", "narrow_a", "wide_hashed"} and out.first()["wide_hashed"].numNonzeros() == 1
+def test_wide_vocabulary_equals_dummies(spark):
+    rows = [(i, None if i % 41 == 3 else f"v{i * 7 % 40}", "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, wide string, narrow string")
+    few, many = (TR.fit_vocabulary(df, ["wide", "narrow"], dense_levels=n) for n in (10, 1000))
+    assert few["narrow"] == many["narrow"] == ["a", "b"]
+    levels = {r.level: r.slot for r in few["wide"].levels.collect()}
+    assert levels == {v: i for i, v in enumerate(many["wide"])} and few["wide"].size == len(levels) == 41
+    new = df.unionByName(spark.createDataFrame([(1000, "unseen", "a"), (1001, None, None)], df.schema))
+    kinds = {}
+    for name, vocab in (("few", few), ("many", many)):
+        prep = TR.Prepared(key="row_id", binary={}, vocab=vocab, numeric=[], impute={}, scale={}, endpoints=[])
+        x = MO.assemble(prep.transform(new), prep.features).select("row_id", "features").collect()
+        kinds[name] = {r.row_id: r.features.toArray().tolist() for r in x}, sorted(prep.feature_slots(spark).collect())
+    assert kinds["few"] == kinds["many"] and len(kinds["few"][0]) == 402
+    assert sum(kinds["few"][0][1000]) == 1 and kinds["few"][0][1001][levels[TR.CATEGORY_FILL]] == 1
+    assert set(TR.one_hot(df, few).columns) == {"row_id", "narrow_a", "narrow_b", "wide_levels"}
 
 
 def test_quantiles_of_any_spread(spark):

@@ -11,6 +11,7 @@ from riskfold.operators.knn import knn_impute
 from riskfold.plans import explain as EX
 from riskfold.plans import models as MO
 from riskfold.sources.cohorts import order_cohort, text_cohort
+from riskfold.session import scratch_path
 from tests.conftest import SF001
 
 
@@ -81,6 +82,39 @@ def test_knn_no_shared_coordinate_gets_mean(spark):
     assert out[1][1] == pytest.approx(5.0)
 
 
+@pytest.mark.parametrize("family", ["forest", "gbt"])
+def test_background_shap_equals_enumeration(spark, family):
+    """All coalitions of four features over all background rows, and the sum against the margin."""
+    import itertools
+    import math
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(60, 4)), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.2)).astype(int)
+    feats = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))],
+                               "row_id long, a double, b double, c double, d double, y int")
+    params = {"forest": {"n_estimators": 4, "max_depth": 4}, "gbt": {"n_estimators": 6, "max_depth": 3}}[family]
+    fitted = MO.fit(MO.ModelSpec.of(family, **params), MO.assemble(df, feats), 4)
+    nodes = MO.tree_nodes(spark, fitted, scratch_path(spark, "t"))
+    weights = fitted.model.treeWeights if family == "gbt" else None
+    test, back = df.filter("row_id < 5"), df.filter("row_id >= 40")
+    phi = EX.background_shap(test, back, feats, nodes, weights).toPandas().pivot(index="row_id", columns="feature", values="phi")
+
+    sets = [s for n in range(5) for s in itertools.combinations(range(4), n)]
+    mixed = [(r * 10000 + z * 100 + k, *(float(x[r, j] if j in s else x[z, j]) for j in range(4)))
+             for r in range(5) for z in range(40, 60) for k, s in enumerate(sets)]
+    # margins of a forest are its unclipped mean
+    out = fitted.margin(MO.assemble(spark.createDataFrame(mixed, "row_id long, a double, b double, c double, d double"), feats))
+    margin = {r.row_id: r.margin for r in out.select("row_id", "margin").collect()}
+    for r in range(5):
+        value = {frozenset(s): np.mean([margin[r * 10000 + z * 100 + k] for z in range(40, 60)]) for k, s in enumerate(sets)}
+        for j in range(4):
+            want = sum(math.factorial(len(s)) * math.factorial(3 - len(s)) / 24 * (value[frozenset(s) | {j}] - value[frozenset(s)])
+                       for s in sets if j not in s)
+            assert phi.loc[r, feats[j]] == pytest.approx(want, abs=1e-9)
+        assert phi.loc[r].sum() == pytest.approx(value[frozenset(range(4))] - value[frozenset()], abs=1e-9)
+
+
 def test_tree_shap_additivity(spark):
     oc = order_cohort(spark, SF001).na.drop(subset=["lines", "qty", "price", "acctbal"])
     feats = ["total", "acctbal", "lines", "qty", "price"]
