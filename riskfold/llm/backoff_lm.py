@@ -10,19 +10,23 @@ the state is carried along, a token that has no arc takes failure arcs until one
 of the states reached has it, and the log weights of all arcs taken add up.
 
 The model is never gathered.  Texts are dealt by hash into parts of about
-``PART_BYTES``; each part lists its distinct n-grams of orders one to three with
+``PART_BYTES`` (and shuffled once, compressed); each part lists its distinct n-grams of orders one to three with
 their training counts, sorted by hash, and sends them in packed blocks, one per
 range of hashes that it has n-grams in, so there are never more blocks than rows
 of a plain join on (part, n-gram).  The task of a range adds up equal n-grams of
 all parts and answers each part, in the part's own order, with what the others
 hold.  From the answers a part builds the states and arcs that its texts can reach,
 some texts at a time, and walks them.  A frequent n-gram is one entry per part, so
-none is hot.  N-grams are told apart by 64-bit hashes.
+none is hot.  N-grams are told apart by fingerprints: the upper bits of a 64-bit
+hash, as many as number all n-grams that texts of this size can hold and ``SPARE_BITS``
+more, so the chance that one is taken for another is the same at every size.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 #: Tokens that one piece of the automaton is built for (a longer single text goes alone).
 PIECE_TOKENS = 200_000
 ORDERS = ("one", "two", "three")
+#: Bits of a fingerprint beyond those that number all n-grams: one in 2**SPARE_BITS meets another's.
+SPARE_BITS = 24
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +77,9 @@ def ngrams(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return two, extend(two[at - 1], keys[at]), at
 
 
-def ranges(sorted_keys: np.ndarray, n: int) -> np.ndarray:
-    """Cuts of a sorted key array into ``n`` equal ranges of hashes."""
-    edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+def ranges(sorted_keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
+    """Cuts of a sorted array of keys of so many bits into ``n`` equal ranges."""
+    edges = np.array([(i << bits) // n for i in range(1, n)], np.uint64)
     return np.concatenate([[0], np.searchsorted(sorted_keys, edges), [len(sorted_keys)]])
 
 
@@ -96,6 +102,13 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
+def numbers(kind: str, values: np.ndarray) -> array:
+    """Plain array of doubles (``d``) or whole numbers (``q``), quick to index one by one."""
+    out = array(kind)
+    out.frombytes(np.ascontiguousarray(values, {"d": np.float64, "q": np.int64}[kind]).tobytes())
+    return out
+
+
 class Automaton:
     """States and arcs that a run of texts can reach.
 
@@ -133,13 +146,12 @@ class Automaton:
         state = np.concatenate([np.zeros(len(some), np.int64), history[b], 2 + width + pair[t - 1]])
         token = np.concatenate([self.tokens[some], self.tokens[b], self.tokens[t]])
         self.arcs = dict(zip((state * width + token).tolist(), range(len(state)), strict=True))
-        self.weight = np.log10(np.concatenate([low[some], mid[b], high])).tolist()
-        self.target = np.concatenate([word_state[some], pair_state[b], pair_state[t]]).tolist()
-
-        self.fail = np.concatenate([[0, 0], np.zeros(len(some), np.int64), 2 + self.tokens[some2]]).tolist()
-        self.fail_weight = np.concatenate([
+        self.weight = numbers("d", np.log10(np.concatenate([low[some], mid[b], high])))
+        self.target = numbers("q", np.concatenate([word_state[some], pair_state[b], pair_state[t]]))
+        self.fail = numbers("q", np.concatenate([[0, 0], np.zeros(len(some), np.int64), 2 + self.tokens[some2]]))
+        self.fail_weight = numbers("d", np.concatenate([
             [0.0, np.log10(mu[0] / (starts + mu[0]))], np.log10(mu[0] / (n1[some] + mu[0])),
-            np.log10(mu[1] / (n2[some2] + mu[1]))]).tolist()
+            np.log10(mu[1] / (n2[some2] + mu[1]))]))
 
     def walk(self, begin: int, end: int) -> float:
         """Log probability of the text whose tokens are at ``begin`` to ``end``."""
@@ -174,11 +186,18 @@ def walk_all(keys, first, n1, n2, n3, at3, total: int, types: int, starts: int,
 
 
 def sizes_of(rows: DataFrame) -> tuple[int, int, int]:
-    """(tokens, distinct tokens, texts) of the ``text`` column, by a grouped count."""
+    """(tokens, distinct tokens, texts) of the ``text`` column, by a grouped count.
+    A task adds up its batches and sends what it has whenever that passes ``PART_BYTES``."""
     def run(batches):
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            keys, n = np.unique(tokens(batch.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
+            if len(keys) * 8 > PART_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
+                keys, n = keys[:0], n[:0]
+            more, m = np.unique(tokens(batch.column(0))[0], return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([n, m]), len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counts = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     end = int(END.view(np.int64))
@@ -186,6 +205,38 @@ def sizes_of(rows: DataFrame) -> tuple[int, int, int]:
     return tuple(int(x or 0) for x in found)
 
 
+def bundle(batches):
+    """(id, text, train, part) batches as one row for each part: its texts end to end, compressed."""
+    for batch in batches:
+        batch = batch.take(pa.array(np.argsort(batch.column(3).to_numpy(), kind="stable")))
+        part = batch.column(3).to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        data = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+        off = np.frombuffer(data.buffers()[1], np.int64)[data.offset:data.offset + len(part) + 1] if len(part) else np.zeros(1, np.int64)
+        raw = data.buffers()[2]
+        texts = [pa.compress(raw.slice(off[a], off[b] - off[a]), codec="zstd", asbytes=True) if off[b] > off[a] else b""
+                 for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[cuts[:-1]], pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), batch.column(0)),
+             pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), batch.column(2)),
+             pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.diff(off))), pa.array(texts, pa.binary())],
+            ["part", "ids", "train", "sizes", "texts"])
+
+
+def flat(t: pa.Table, name: str) -> pa.Array:
+    """All items of a list column, in order."""
+    return pa.concat_arrays([c.flatten() for c in t.column(name).chunks])
+
+
+def unbundle(t: pa.Table) -> pa.Array:
+    """Texts of bundled rows, in the order of ``flat``."""
+    sizes = flat(t, "sizes").to_numpy(zero_copy_only=False)
+    raw = [pa.decompress(z.as_py(), decompressed_size=int(sum(n.as_py())), codec="zstd", asbytes=True) if z.as_py() else b""
+           for z, n in zip(t.column("texts"), t.column("sizes"), strict=True)]
+    off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(off.tobytes()), pa.py_buffer(b"".join(raw)))
+
+
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", mu=MU,
           part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -199,24 +250,30 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     total, types, starts = sizes_of(rows.filter("train"))
     parts = max(1, -(-size // part_bytes))
+    # three n-grams end at a token, and no text is longer than its bytes and one
+    bits = min(64, math.ceil(math.log2(3 * (size + 1) + 1)) + SPARE_BITS)
+    drop = np.uint64(64 - bits)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = rows.mapInArrow(bundle, f"part int, ids array<{kind}>, train array<boolean>, sizes array<long>, texts binary")
+
     def listing(t: pa.Table):
         """Tokens of a part: (hashes, firsts, is the text trained on, places of trigrams,
         and by order the distinct n-grams, the place of each in that list, own training counts)."""
-        keys, first = tokens(t.column("text"))
-        learn = t.column("train").to_numpy().astype(bool)
+        keys, first = tokens(unbundle(t))
+        learn = flat(t, "train").to_numpy(zero_copy_only=False).astype(bool)
         two, three, at = ngrams(keys, first)
         weight = np.repeat(learn, np.diff(first))
         grams = []
         for values, w in ((keys, weight), (two, weight), (three, weight[at])):
-            every, place = np.unique(values, return_inverse=True)
+            every, place = np.unique(values >> drop, return_inverse=True)
             grams.append((every, place, np.bincount(place[w], minlength=len(every))))
         return keys, first, learn, at, grams
 
     def send(t: pa.Table) -> pa.Table:
         *_, grams = listing(t)
-        cuts = [ranges(keys, parts) for keys, _, _ in grams]
+        cuts = [ranges(keys, parts, bits) for keys, _, _ in grams]
         used = np.flatnonzero(sum(np.diff(c) for c in cuts))
         out = {"range": used.astype(np.int32), "part": np.full(len(used), t.column("part")[0].as_py(), np.int32)}
         for name, (keys, _, n), cut in zip(ORDERS, grams, cuts, strict=True):
@@ -246,13 +303,12 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         n1, n2, n3 = ((own + np.concatenate([unpack(x.as_py()) for x in told.column(f"{name}_sum")]))[place]
                       for name, (_, place, own) in zip(ORDERS, grams, strict=True))
         return pa.table({
-            id_col: t.column("id"), "held_out": ~learn, "n_tokens": np.diff(first),
+            id_col: flat(t, "ids"), "held_out": ~learn, "n_tokens": np.diff(first),
             "n_known": np.add.reduceat((n1 > 0).astype(np.int64), first[:-1]),
             "train_tokens": np.full(len(learn), total),
             "base_score": np.add.reduceat(np.log10((n1 + 1.0) / (total + types + 1.0)), first[:-1]),
             "score": walk_all(keys, first, n1, n2, n3, at, total, types, starts, mu)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
     return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
         read, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
