@@ -25,7 +25,6 @@ more, so the chance that one is taken for another is the same at every size.
 from __future__ import annotations
 
 import math
-import zlib
 from array import array
 
 import numpy as np
@@ -85,12 +84,14 @@ def ranges(sorted_keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
 
 def pack(values: np.ndarray) -> bytes:
     """64-bit values, byte planes first, so that high bytes compress."""
-    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.data, codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, kind=np.int64) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).view(kind).ravel()
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -110,11 +111,14 @@ def numbers(kind: str, values: np.ndarray) -> array:
 
 
 class Automaton:
-    """States and arcs that a run of texts can reach.
+    """States and arcs that the walks of a run of texts take.
 
     State 0 is the root, 1 the start; then one per distinct token, then one per
-    distinct pair of tokens.  ``arcs`` maps state * ``width`` + token to an arc with
-    a log weight and a target; ``fail`` and ``fail_weight`` belong to states.
+    distinct pair of tokens.  States are held times ``width``, so that state + token
+    names an arc: the root's arcs are numbered like the tokens, ``arcs`` has those of
+    all other states.  An arc has a log weight and a target; ``fail`` and
+    ``fail_weight`` belong to states.  A one-word state's arc is built where it can be
+    taken: at the start, or where a pair's state has none.
     """
 
     def __init__(self, keys, first, n1, n2, n3, at3, total: int, types: int, starts: int, mu=MU):
@@ -123,7 +127,6 @@ class Automaton:
         _, some, self.tokens = np.unique(keys, return_index=True, return_inverse=True)
         two, three, _ = ngrams(keys, first)
         _, some2, pair = np.unique(two, return_index=True, return_inverse=True)
-        _, some3 = np.unique(three, return_index=True)
         self.width = width = max(1, len(some))
         is_first = np.zeros(len(keys), bool)
         is_first[first[:-1]] = True
@@ -139,31 +142,35 @@ class Automaton:
         pair_state = np.where(ends, 0, 2 + width + pair)
         word_state = np.where(ends | (n1 == 0), 0, 2 + self.tokens)
 
-        b = some2[n2[some2] > 0]
-        c = some3[n3[some3] > 0]
+        falls = is_first.copy()
+        falls[at3[n3 == 0]] = True
+        b = np.flatnonzero(falls & (n2 > 0))
+        b = b[np.unique(pair[b], return_index=True)[1]]
+        c = np.flatnonzero(n3 > 0)
+        c = c[np.unique(three[c], return_index=True)[1]]
         t = at3[c]
         high = (n3[c] + mu[1] * mid[t]) / (n2[t - 1] + mu[1])
-        state = np.concatenate([np.zeros(len(some), np.int64), history[b], 2 + width + pair[t - 1]])
-        token = np.concatenate([self.tokens[some], self.tokens[b], self.tokens[t]])
-        self.arcs = dict(zip((state * width + token).tolist(), range(len(state)), strict=True))
+        state = np.concatenate([history[b], 2 + width + pair[t - 1]])
+        token = np.concatenate([self.tokens[b], self.tokens[t]])
+        self.arcs = dict(zip((state * width + token).tolist(), range(width, width + len(state)), strict=True))
         self.weight = numbers("d", np.log10(np.concatenate([low[some], mid[b], high])))
-        self.target = numbers("q", np.concatenate([word_state[some], pair_state[b], pair_state[t]]))
-        self.fail = numbers("q", np.concatenate([[0, 0], np.zeros(len(some), np.int64), 2 + self.tokens[some2]]))
+        self.target = numbers("q", np.concatenate([word_state[some], pair_state[b], pair_state[t]]) * width)
+        self.fail = numbers("q", np.concatenate([[0, 0], np.zeros(len(some), np.int64), 2 + self.tokens[some2]]) * width)
         self.fail_weight = numbers("d", np.concatenate([
             [0.0, np.log10(mu[0] / (starts + mu[0]))], np.log10(mu[0] / (n1[some] + mu[0])),
             np.log10(mu[1] / (n2[some2] + mu[1]))]))
 
     def walk(self, begin: int, end: int) -> float:
         """Log probability of the text whose tokens are at ``begin`` to ``end``."""
-        arcs, width, weight, target, fail, fail_weight = \
-            self.arcs, self.width, self.weight, self.target, self.fail, self.fail_weight
-        state, score = 1, 0.0
+        arc_of, width, weight, target, fail, fail_weight = \
+            self.arcs.get, self.width, self.weight, self.target, self.fail, self.fail_weight
+        state, score = width, 0.0
         for token in self.tokens[begin:end].tolist():
-            arc = arcs.get(state * width + token)
+            arc = arc_of(state + token) if state else token
             while arc is None:
-                score += fail_weight[state]
-                state = fail[state]
-                arc = arcs.get(state * width + token)
+                score += fail_weight[state // width]
+                state = fail[state // width]
+                arc = arc_of(state + token) if state else token
             score += weight[arc]
             state = target[arc]
         return score
