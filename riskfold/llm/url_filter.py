@@ -5,13 +5,16 @@ a unigram Viterbi pass splits each distinct name into words (``casinowin`` into
 ``casino`` and ``win``) by word counts of the pages' own text; multinomial naive
 Bayes adds up the words' log odds.  It is trained on all urls: those with a word
 of the seed list count as unwanted, all others as wanted, so words that keep
-company with seed words count against a url as well.  (Rules are a site's policy
-on whole domains and languages; they are no training labels.)
-
-Everything is keyed by distinct values: names are counted per class before they
-meet their words, word odds are summed per name, and names are joined to distinct
-urls, so hot hosts and words are single rows; the joins back to urls and pages
-have equi-keys that the skew join splits.
+company with seed words count against a url as well.  The labels do not judge
+themselves: seed words are left out of the counts and carry fixed odds instead (what
+is known about them beforehand), and a url's own words are taken out of its class
+before it is judged, so its company counts as it occurs in other urls.  (Rules are a
+site's policy on whole domains and languages; they are no training labels.)
+
+Names are split once for each distinct name, and urls are judged once for each
+distinct url, so hot names and urls are single rows; a word's counts are summed in
+tasks before they shuffle, and the joins on words and urls have equi-keys that the
+skew join splits.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 SEEDS = """ads adserver adult affiliate bet bets betting casino cialis escort gambling jackpot loan loans lottery malware
     phishing pills poker porn pornhub roulette sex slots spam spyware sweepstakes track tracker tracking viagra warez webcam
     xxx""".split()
+#: Log odds of block over allow that a seed word carries.
+SEED_ODDS = 4.0
 #: Longest word that a name is split into, in characters.
 MAX_WORD = 24
 
@@ -122,7 +127,7 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, id_col: str = "page_id", u
 
     ``odds`` is the method's log odds of allow over block, null where a rule
     decides.  Odds of 0 or more allow.  Null urls, and urls without names, are
-    judged by the classes' shares alone; where no url is unwanted all are allowed.
+    judged by the classes' shares alone.
     """
     spark = pages.sparkSession
     base = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"))
@@ -135,26 +140,34 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, id_col: str = "page_id", u
         .groupBy("word").agg(F.sum("n").alias("n"))
     words = stash(segment(held.select("name").distinct(), stash(counts, "counts")), "words")
 
-    # classes: a url with a seed word in any of its names is unwanted
-    marked = words.filter(F.arrays_overlap("words", F.array(*map(F.lit, seeds)))).select("name")
-    unwanted = held.join(marked, "name", "left_semi").select("url").distinct().withColumn("bad", F.lit(True))
-    classed = held.join(unwanted, "url", "left")
-    bad = F.coalesce("bad", F.lit(False))
-    per_name = stash(classed.groupBy("name").agg(F.sum(F.when(bad, 0).otherwise(F.col("n"))).alias("allow"),
-                                                 F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("block")), "names")
-    kind = F.substring_index("name", ":", 1)
-    exploded = words.select("name", F.explode("words").alias("w")).select("name", F.concat(kind, F.lit(":"), F.col("w")).alias("word"))
-    per_word = stash(exploded.join(per_name, "name").groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")),
-                     "odds")
+    # tokens of urls: (url, n, verdict, word, c), words as kind:word
+    spread = words.select("name", F.explode("words").alias("w")) \
+        .select("name", F.concat(F.substring_index("name", ":", 1), F.lit(":"), F.col("w")).alias("word"))
+    tokens = stash(held.join(spread, "name").groupBy("url", "word").agg(
+        F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.count("*").alias("c")), "tokens")
+    # classes: a url with a seed word is unwanted; seed words take no part in the counts
+    seed = F.substring_index("word", ":", -1).isin(*seeds)
+    classed = tokens.groupBy("url").agg(F.max(seed).alias("bad"), F.sum(F.when(seed, 0).otherwise(F.col("c"))).alias("size"))
+    known = stash(tokens.join(classed, "url"), "classed")
+    company, bad = known.filter(~seed), F.col("bad")
+    weight = F.col("n") * F.col("c")
+    per_word = stash(company.groupBy("word").agg(F.sum(F.when(bad, 0).otherwise(weight)).alias("allow"),
+                                                 F.sum(F.when(bad, weight).otherwise(0)).alias("block")), "odds")
     a, b, v = (x or 0 for x in per_word.agg(F.sum("allow"), F.sum("block"), F.count("*")).first())
-    n_bad = urls.join(unwanted, "url").agg(F.sum("n")).first()[0] or 0
+    n_bad = classed.filter("bad").join(urls, "url").agg(F.sum("n")).first()[0] or 0
     n_all = urls.agg(F.sum("n")).first()[0] or 0
-    prior = math.log((n_all - n_bad + 1) / (n_bad + 1)) if n_bad else 1.0
-    odds = F.log((F.col("allow") + 1.0) / float(a + v + 1)) - F.log((F.col("block") + 1.0) / float(b + v + 1))
-    per_name_odds = exploded.join(per_word.select("word", odds.alias("odds")), "word").groupBy("name").agg(F.sum("odds").alias("odds"))
-    if not n_bad:
-        per_name_odds = per_name_odds.withColumn("odds", F.lit(0.0))
-    open_urls = held.filter(F.col("verdict").isNull()).join(per_name_odds, "name").groupBy("url").agg(F.sum("odds").alias("odds"))
+    prior = math.log((n_all - n_bad + 1) / (n_bad + 1))
+
+    def share(count, total, own):
+        """Log share of a word in a class, without what the url itself brought to it."""
+        return F.log((F.col(count) - F.when(own, weight).otherwise(0) + 1.0)
+                     / (F.lit(float(total + v + 1)) - F.when(own, F.col("n") * F.col("size")).otherwise(0)))
+
+    open_ = F.col("verdict").isNull()
+    by_company = company.filter(open_).join(per_word, "word") \
+        .select("url", (F.col("c") * (share("allow", a, ~bad) - share("block", b, bad))).alias("odds"))
+    by_seed = known.filter(open_ & seed).select("url", (F.col("c") * F.lit(-SEED_ODDS)).alias("odds"))
+    open_urls = by_company.unionByName(by_seed).groupBy("url").agg(F.sum("odds").alias("odds"))
     scored = urls.join(open_urls.withColumnRenamed("url", "_u"), F.col("url").eqNullSafe(F.col("_u")), "left") \
         .select(F.col("url").alias("_u"), "host", "path", "rule", "verdict",
                 F.when(F.col("verdict").isNull(), F.coalesce("odds", F.lit(0.0)) + prior).alias("odds"))

@@ -1,5 +1,7 @@
 """URL filter, embedding graph, Jaccard join, HTML extraction and the pipeline."""
 
+import collections
+import math
 import random
 import re
 
@@ -53,6 +55,71 @@ def test_op3_rules_and_method(spark):
     assert url_filter.op3_host_words(df.limit(0)).count() == 0
 
 
+def plain_url_verdicts(rows, seeds=url_filter.SEEDS):
+    """Log odds of every url without a rule: splitting by enumeration, classes by seed words,
+    multinomial Bayes over the other words without the url's own rows."""
+    counts = collections.Counter(seeds)
+    for _, html in rows:
+        counts.update(w for w in re.findall(r"[^\W\d_]+", re.sub(r"<[^>]*>", " ", html or "").lower()) if len(w) <= url_filter.MAX_WORD)
+    total = sum(counts.values())
+
+    def price(w):
+        return math.log10(counts[w] / total) if counts[w] else 1 - math.log10(total) - len(w)
+
+    def split(name):
+        if not name:
+            return []
+        ways = []
+        for cuts in range(1 << (len(name) - 1)):
+            ends = [i + 1 for i in range(len(name) - 1) if cuts >> i & 1] + [len(name)]
+            words = [name[a:b] for a, b in zip([0] + ends, ends)]
+            ways.append((sum(map(price, words)), words))
+        return max(ways, key=lambda w: w[0])[1]
+
+    known, held = {}, collections.Counter(u for u, _ in rows if u)
+    for u in held:
+        words = []
+        for kind, text in zip("hp", parts(u)):
+            for name in re.findall(r"[^\W\d_]+|\d+", text):
+                words += [(kind, w) for w in (["#"] if name[0].isdigit() else split(name.lower()))]
+        known[u] = collections.Counter(words)
+    bad = {u: any(w in seeds for _, w in ws) for u, ws in known.items()}
+    own = {u: collections.Counter({w: c * held[u] for w, c in ws.items() if w[1] not in seeds}) for u, ws in known.items()}
+    classes = {k: sum((own[u] for u in held if bad[u] == k), collections.Counter()) for k in (True, False)}
+    v = len(set(classes[True]) | set(classes[False]))
+    n_bad, n_all = sum(held[u] for u in held if bad[u]), len(rows)
+    out = {}
+    for u, ws in known.items():
+        odds = math.log((n_all - n_bad + 1) / (n_bad + 1))
+        rest = {k: (classes[k] - own[u]) if bad[u] == k else classes[k] for k in classes}
+        for w, c in ws.items():
+            good, ill = ((rest[k][w] + 1) / (sum(rest[k].values()) + v + 1) for k in (False, True))
+            odds += -url_filter.SEED_ODDS * c if w[1] in seeds else c * (math.log(good) - math.log(ill))
+        out[u] = odds
+    return out
+
+
+def test_op3_equals_plain_viterbi_and_bayes(spark):
+    rng = random.Random(8)
+    good, ill = ["tea", "map", "art", "sun"], ["vip", "win", "hot"]
+    text = "<p>" + " ".join(["tea map art sun vip win hot com de"] * 4) + "</p>"
+    rows = []
+    for i in range(90):
+        words = rng.sample(good, 2) if i % 3 else [rng.choice(["casino", "slots", "poker"]), rng.choice(ill)]
+        rows.append((f"http://{''.join(words)}.com/{rng.choice(ill if not i % 3 else good)}/{i % 7}", text if i % 5 else None))
+    rows += [("http://viphot.com/win/3", text), ("http://hotwin.com/vip/win", None), ("http://casinotea.com/map/art", text),
+             ("http://suntea.com/map/1", text), (None, text)] + rows[:4]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    want = plain_url_verdicts(rows)
+    got = {r.page_id: r for r in url_filter.op3_host_words(df).collect()}
+    for i, (u, _) in enumerate(rows):
+        if u and got[i].rule is None:
+            assert got[i].odds == pytest.approx(want[u], abs=1e-9), u
+            assert got[i].verdict == ("allow" if want[u] >= 0 else "block")
+    # no seed word in these: their company decides
+    assert got[90].verdict == got[91].verdict == "block" and got[93].verdict == "allow"
+
+
 def test_names_are_split_by_counts():
     counts = {"casino": 1, "win": 5, "the": 50, "ring": 9, "in": 30, "g": 1}
     assert url_filter.split_name("casinowin", counts, 100) == ["casino", "win"]
