@@ -211,3 +211,40 @@ def test_neighbours_by_cells_equal_all_pairs(spark, monkeypatch, shape):
     for i in range(n):
         np.testing.assert_allclose([near[i][j] for j in range(1, k + 1)], want[i], atol=1e-9)
     assert knn.SEARCHED["cells"] > 10 and knn.SEARCHED["pairs"] < n * n * (0.25 if shape == "lumps" else 0.8)
+
+
+def test_group_measures_only_near_boxes(monkeypatch):
+    from riskfold.operators import knn
+    rng = np.random.default_rng(5)
+    x = rng.random((8192, 3))
+    donors = pd.DataFrame(x, columns=["_c0", "_c1", "_c2"]).assign(_id=np.arange(len(x)))
+    q = donors[(x[:, 0] < 0.1) & (x[:, 1] < 0.1)].assign(_c2=np.nan, _id=lambda t: t["_id"] + 10**6, _far=np.inf)
+    measured, whole = [], knn._masked_dist
+    monkeypatch.setattr(knn, "_masked_dist", lambda a, b: measured.append(len(a) * len(b)) or whole(a, b))
+    got = knn._impute_candidates(3, 3)(q, donors).sort_values(["qid", "dist", "did"])
+    plain = whole(q[["_c0", "_c1", "_c2"]].to_numpy(), x)
+    np.testing.assert_array_equal(got["did"].to_numpy().reshape(-1, 3), np.argsort(plain, axis=1, kind="stable")[:, :3])
+    assert sum(measured) < 0.5 * plain.size          # all of it before
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+def test_screened_neighbours_equal_all_pairs(shift):
+    from riskfold.operators import knn
+    rng = np.random.default_rng(6)
+    n, d, k = 5000, 24, 4
+    x = rng.integers(0, 3, (n, d)) + rng.normal(size=(n, d)) * 1e-3 + shift
+    x[100:140] = x[100]                                # copies
+    x[200], x[201, 3] = np.nan, np.inf
+    donors = pd.DataFrame(x, columns=[f"_c{i}" for i in range(d)]).assign(_id=np.arange(n))
+    q = donors.iloc[:300].assign(_far=np.inf)
+    got = knn._neighbour_candidates(k, d)(q, donors)
+    near = {i: g.sort_values(["dist", "did"]) for i, g in got.groupby("qid")}
+    for i in range(300):
+        t = np.zeros(n)
+        with np.errstate(invalid="ignore"):
+            for j in range(d):
+                t += (x[i, j] - x[:, j]) ** 2
+        t = np.sqrt(t)
+        t[i] = np.inf
+        best = [b for b in np.lexsort((np.arange(n), t))[:k] if np.isfinite(t[b])]
+        assert best == ([] if i not in near else near[i]["did"].tolist()), i
