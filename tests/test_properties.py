@@ -248,3 +248,20 @@ def test_screened_neighbours_equal_all_pairs(shift):
         t[i] = np.inf
         best = [b for b in np.lexsort((np.arange(n), t))[:k] if np.isfinite(t[b])]
         assert best == ([] if i not in near else near[i]["did"].tolist()), i
+
+
+def test_nested_plan_ranks_only_edge_rows(spark, monkeypatch):
+    import hashlib
+    written, cut = [], SP.cut_lineage
+    monkeypatch.setattr(SP, "cut_lineage", lambda df: written.append(1) or cut(df))
+    rows = [(i // 2, int(i % 7 == 0)) for i in range(1200)]           # every key twice
+    df = spark.createDataFrame(rows, "row_id long, e int")
+    plan = SP.nested_fold_plan(df, ["e"], seeds=(3,), n_outer=2, n_inner=3).toPandas()
+    assert len(written) == 1                                          # the labels; before, all rows of all splits too
+    for o in (0, 1):
+        for y in ("0", "1"):
+            mine = [k for k, v in rows if str(v) == y]
+            order = sorted(mine, key=lambda k: hashlib.md5(f"{k}|3|{o}".encode()).hexdigest())
+            got = plan[(plan.outer_fold == o) & (plan.y == y)]
+            assert len(got) == len(mine)
+            assert sorted(got[got.role == "test"].row_id) == sorted(order[:round(0.2 * len(mine))])
