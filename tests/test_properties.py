@@ -227,6 +227,64 @@ def test_group_measures_only_near_boxes(monkeypatch):
     assert sum(measured) < 0.5 * plain.size          # all of it before
 
 
+def test_columns_that_miss_together_share_their_pairs(monkeypatch):
+    from riskfold.operators import knn
+    rng = np.random.default_rng(9)
+    n, k = 4000, 3
+    x = rng.random((n, 4))
+    x[:300] = x[300:600]                                              # ties
+    x[rng.random(n) < 0.1, 0] = np.nan
+    x[rng.random(n) < 0.1, 1] = np.nan
+    donors = pd.DataFrame(x, columns=["_c0", "_c1", "_c2", "_c3"]).assign(_id=np.arange(n))
+    q = donors[x[:, 0] < 0.1].assign(_c2=np.nan, _c3=np.nan, _id=lambda t: t["_id"] + 10**6, _far=np.inf)
+    q = q[q["_c1"].notna()]
+    measured, close = [], knn._close
+    monkeypatch.setattr(knn, "_close", lambda a, b, *rest: measured.append(len(a) * len(b)) or close(a, b, *rest))
+    got = knn._impute_candidates(k, 4)(q, donors)
+    qx = q[["_c0", "_c1", "_c2", "_c3"]].to_numpy()
+    plain = knn._masked_dist(qx, x)
+    for c in (2, 3):
+        own = got[got["c"] == c].sort_values(["qid", "dist", "did"])
+        best = np.lexsort((np.broadcast_to(np.arange(n), plain.shape), plain), axis=1)[:, :k]
+        np.testing.assert_array_equal(own["did"].to_numpy().reshape(-1, k), best)
+        np.testing.assert_array_equal(own["dist"].to_numpy().reshape(-1, k), np.take_along_axis(plain, best, axis=1))
+        np.testing.assert_array_equal(own["v"].to_numpy().reshape(-1, k), x[best, c])
+    assert 0 < sum(measured) < 0.5 * plain.size                       # both columns in one search of near boxes
+
+
+def test_tables_of_the_search_are_written(spark, monkeypatch):
+    from riskfold.operators import knn
+    assert not hasattr(knn, "cut_lineage")                            # boxed rows of a checkpoint are slow to read
+    written, stash = [], knn.stash
+    monkeypatch.setattr(knn, "stash", lambda df, name: written.append(name) or stash(df, name))
+    df = spark.createDataFrame([(i, float(i % 7), None if i % 5 == 0 else float(i % 3)) for i in range(60)], "row_id long, a double, b double")
+    assert knn_impute(df, ["a", "b"], k=2).filter("b IS NULL").count() == 0
+    assert written == ["donors", "placed", "visits", "first", "visits", "filled"]
+
+
+def test_train_and_test_rows_are_ranked_once(spark, monkeypatch):
+    from riskfold.plans import q_models as QM
+    seen, split, calls = spark.sparkContext.accumulator(0), QM.train_test_split, []
+
+    def counted(*args):
+        def run(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b
+        calls.append(1)
+        roles = split(*args).select("row_id", "role")
+        return roles.mapInPandas(run, roles.schema)
+
+    df = spark.createDataFrame([(i, i % 4 // 3, float(i)) for i in range(400)], "row_id long, returned int, f double")
+    monkeypatch.setattr(QM, "_prepared", lambda spark, sf: (df, ["f"]))
+    monkeypatch.setattr(QM, "train_test_split", counted)
+    monkeypatch.setattr(QM, "_HELD", QM._Cache())
+    for _ in range(2):
+        train, test, _f = QM._split(spark, "own rows")
+        assert (train.count(), test.count()) == (320, 80) and train.intersect(test).count() == 0
+    assert calls == [1] and seen.value == 400
+
+
 @pytest.mark.parametrize("shift", [0.0, 1e7])
 def test_screened_neighbours_equal_all_pairs(shift):
     from riskfold.operators import knn
