@@ -154,6 +154,36 @@ def test_scan_prunes_columns(spark):
     assert "l_shipdate" not in plan and "o_orderdate" not in plan
 
 
+def test_background_shap_copies_rows_once_a_bundle(spark, monkeypatch):
+    """Rows meet bundles of trees, not single trees, and bundles of any size give the same attributions."""
+    assert EX.tree_bundles([3, 3, 3, 9, 1], 6) == [0, 0, 1, 2, 3] and EX.tree_bundles([8] * 100) == [0] * 100 and EX.tree_bundles([]) == []
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(50, 3)), 1)
+    df = spark.createDataFrame([(i % 40, *(None if rng.random() < 0.1 else float(v) for v in r), int(r[0] + r[1] > 0)) for i, r in enumerate(x)],
+                               "row_id long, a double, b double, c double, y int")       # ids repeat
+    fitted = MO.fit(MO.ModelSpec.of("gbt", n_estimators=7, max_depth=2), MO.assemble(df.na.fill(0.0), ["a", "b", "c"]), 3)
+    nodes = MO.tree_nodes(spark, fitted, scratch_path(spark, "t"))
+    whole = EX.background_shap(df, df, ["a", "b", "c"], nodes, fitted.model.treeWeights)
+    assert "[0,1" not in whole._jdf.queryExecution().optimizedPlan().toString()        # no copy per tree
+    monkeypatch.setattr(EX, "BUNDLE_LEAVES", 1)
+    monkeypatch.setattr(EX, "BACKGROUND_BLOCK", 7)
+    single = EX.background_shap(df, df, ["a", "b", "c"], nodes, fitted.model.treeWeights)
+    a, b = (t.toPandas().sort_values(["row_id", "feature"]).reset_index(drop=True) for t in (whole, single))
+    assert len(a) == 120 and a[["row_id", "feature"]].equals(b[["row_id", "feature"]])
+    np.testing.assert_allclose(a.phi, b.phi, atol=1e-12)
+
+
+def test_box_patterns_number_as_they_sort():
+    x = np.array([[0.0, 5.0], [2.0, 5.0], [0.0, np.nan], [0.0, 5.0]])
+    seen, place = EX.box_patterns(x, [0, 1], np.array([-np.inf, 1.0]), np.array([1.0, np.inf]))
+    assert seen.tolist() == [[False, True], [True, True]] and place.tolist() == [1, 0, 1, 1]
+    wide = np.random.default_rng(1).normal(size=(40, 13))
+    for d in (12, 13):      # numbered, and sorted
+        seen, place = EX.box_patterns(wide, list(range(d)), np.full(d, -1.0), np.full(d, 1.0))
+        want = (wide[:, :d] > -1.0) & (wide[:, :d] <= 1.0)
+        assert (seen[place] == want).all() and seen.tolist() == sorted(map(list, set(map(tuple, want.tolist()))))
+
+
 def test_exp_boost_scores_are_probabilities(spark):
     from riskfold.plans.boost import fit_exp_boost
     from riskfold.functions import curves as CV
