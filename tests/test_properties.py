@@ -197,6 +197,43 @@ def test_exp_boost_scores_are_probabilities(spark):
     assert CV.roc_auc(sc, []).first()["roc_auc"] > 0.6
 
 
+@pytest.mark.parametrize(("depth", "rate"), [(3, 1.0), (1, 0.5)])
+def test_exp_boost_by_passes_fits_the_trees_of_single_rounds(spark, monkeypatch, tmp_path, depth, rate):
+    from riskfold.plans import boost as BO
+    d = spark.range(0, 3000, 1, 3).select("id", F.round(F.randn(1), 2).alias("a"), F.when(F.rand(5) < 0.6, 0.0).otherwise(F.rand(6)).alias("b"),
+                                          F.floor(F.rand(2) * 3).cast("double").alias("c"))
+    d = MO.assemble(d.withColumn("y", (F.rand(9) < 0.2 + 0.4 * F.col("b") + 0.1 * F.col("c") * (F.col("a") > 0).cast("int")).cast("int")),
+                    ["a", "b", "c"]).persist()
+    want = BO.fit_exp_boost(d, 5, depth, rate)
+    monkeypatch.setattr(BO, "ML_ROWS", 100)
+    monkeypatch.setattr(BO, "BLOCK", 8 * 3 * 700)      # several blocks a task
+    monkeypatch.setattr(BO, "RENEW", 2)
+    spark.sparkContext.setJobGroup(f"passes-{depth}", "passes")
+    got = BO.fit_exp_boost(d, 5, depth, rate)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"passes-{depth}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 5 * depth + 10      # a pass a level; a fit of Spark ML takes more
+    assert isinstance(got.stages[0][0], BO.WeightedTree) and len(got.stages) == len(want.stages) == 5
+    for (t, a), (u, b) in zip(got.stages, want.stages):
+        assert a == pytest.approx(b, rel=1e-9) and np.allclose(t.featureImportances.toArray(), u.featureImportances.toArray(), atol=1e-9)
+    rows = got.score(d).select("id", F.col("score").alias("s")).join(want.score(d).select("id", "score"), "id")
+    assert rows.count() == 3000 and rows.agg(F.max(F.abs(F.col("s") - F.col("score")))).first()[0] < 1e-9
+    MO.Fitted(MO.ModelSpec.of("gbt", loss="exponential"), got).save(str(tmp_path))
+    kept = [spark.read.parquet(str(p)).count() for p in sorted(tmp_path.iterdir())]
+    assert kept == [len(t.feat) for t, _ in got.stages]
+
+
+def test_cuts_of_many_values_are_weighted_quantiles():
+    from riskfold.plans import boost as BO
+    rng = np.random.default_rng(0)
+    v, w = rng.normal(size=4000), rng.random(4000)
+    cuts = BO._cuts(np.append(v, np.nan), np.append(w, 5.0))
+    below = [w[v <= c].sum() / w.sum() for c in cuts]
+    assert len(cuts) == BO.BINS - 1 and np.allclose(below, np.arange(1, BO.BINS) / BO.BINS, atol=1e-3)
+    assert BO._cuts(np.array([2.0, 1.0, 2.0, 5.0]), np.ones(4)).tolist() == [1.5, 3.5] and not len(BO._cuts(np.ones(3), np.ones(3)))
+
+
+
 def test_iterative_imputation_fills_everything(spark):
     from riskfold.operators.iterative import apply_iterative, fit_iterative
     from riskfold.operators.transforms import fit_impute
