@@ -276,6 +276,22 @@ def test_growth_by_passes_equals_growth_in_a_task(orders, monkeypatch):
         evaluate(orders, FEATS, ["returned"], EvalConfig(models=("tree",), n_outer=1, n_inner=2, attribution=True)).attributions.count()
 
 
+def test_attributions_of_large_groups_equal_those_of_a_task(orders, monkeypatch):
+    from riskfold.plans import canopy
+    over = {"tree": {"max_depth": 6}, "forest": {"n_estimators": 3}, "gbt": {"n_estimators": 3}}
+    cfg = EvalConfig(models=("tree", "forest", "gbt", "logistic"), n_outer=2, n_inner=2, attribution=True, attribute_large=True, overrides=over)
+    want = evaluate(orders, FEATS, ["returned"], cfg)
+    for name, value in ((UN, "LOCAL_ROWS"), 150), ((canopy, "ROW_BLOCK"), 90), ((canopy, "BUNDLE_NODES"), 400):
+        monkeypatch.setattr(*name, value)
+    got = evaluate(orders, FEATS, ["returned"], cfg)
+    keys = ["model", "outer_fold", "row_id", "feature"]
+    a, b = (x.attributions.toPandas().sort_values(keys) for x in (got, want))
+    assert len(a) == len(b) > 0 and (a[keys].to_numpy() == b[keys].to_numpy()).all()
+    np.testing.assert_allclose(a.phi, b.phi, atol=1e-7)
+    for k in ("test", "importances"):
+        assert getattr(got, k).count() == getattr(want, k).count()
+
+
 def test_search_shares_fits_of_prefixes(orders, monkeypatch):
     grids = {**MO.GRIDS, "forest": {"n_estimators": [2, 4], "max_depth": [2, None]}, "gbt": {"n_estimators": [2, 5], "max_depth": [2, 3]},
              "tree": {"max_depth": [2, 4], "splitter": ["best", "random"]}, "logistic": {"l1_ratio": [0.0, 1.0], "C": [0.01, 1.0]}}
