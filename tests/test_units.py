@@ -292,6 +292,28 @@ def test_attributions_of_large_groups_equal_those_of_a_task(orders, monkeypatch)
         assert getattr(got, k).count() == getattr(want, k).count()
 
 
+def test_units_get_partitions_of_their_own(spark):
+    for n in (1, 6, 50):
+        keys = UN.even_keys(n)
+        rows = spark.createDataFrame([(k,) for k in keys * 3], "u int").repartition(n, "u")
+        assert rows.select(F.spark_partition_id().alias("p"), "u").distinct().groupBy("p").count().collect() and len(set(keys)) == n
+        assert {r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()} == {3}
+
+
+def test_histograms_of_parts_add_up(monkeypatch):
+    bins, y, table = cohort(500)
+    p = {"criterion": "gini", "max_depth": None, "max_features": "sqrt", "splitter": "random"}
+    boost = {"loss": "log_loss", "learning_rate": 0.3, "n_estimators": 4, "max_depth": 3, "max_features": None}
+
+    def grown():
+        trees = GR.fit_forest(bins, y, np.arange(500), 5, range(3), p, (1.3, 0.8), table, True)
+        return trees.value[trees.walk(bins)], GR.boost_margins(*GR.fit_boost(bins, y, 0, boost, table), 0.3, bins, (4,))[4]
+
+    want = grown()
+    monkeypatch.setattr(GR, "PAIRS", 7)
+    assert all((a == b).all() for a, b in zip(want, grown()))
+
+
 def test_search_shares_fits_of_prefixes(orders, monkeypatch):
     grids = {**MO.GRIDS, "forest": {"n_estimators": [2, 4], "max_depth": [2, None]}, "gbt": {"n_estimators": [2, 5], "max_depth": [2, 3]},
              "tree": {"max_depth": [2, 4], "splitter": ["best", "random"]}, "logistic": {"l1_ratio": [0.0, 1.0], "C": [0.01, 1.0]}}
