@@ -128,6 +128,24 @@ def test_tree_shap_additivity(spark):
     np.testing.assert_allclose(m["s"] + EX.expected_value(nodes), m["score"], atol=1e-9)
 
 
+def test_tree_shap_copies_rows_once_a_bundle(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, *[float(v) for v in rng.normal(size=3)], int(rng.random() < 0.4)) for i in range(300)],
+                               "row_id long, a double, b double, c double, y int")
+    fitted = MO.fit(MO.ModelSpec.of("forest", n_estimators=8, max_depth=4), MO.assemble(df, ["a", "b", "c"]), 3)
+    import tempfile
+    nodes = MO.tree_nodes(spark, fitted, tempfile.mkdtemp(prefix="rf-") + "/m")
+    twice = df.unionByName(df.filter("row_id < 5"))       # a key that comes twice adds up
+
+    whole = EX.tree_shap(twice, ["a", "b", "c"], nodes)
+    assert "[0,1" not in whole._jdf.queryExecution().optimizedPlan().toString()        # no copy per tree
+    monkeypatch.setattr(EX, "BUNDLE_LEAVES", 1)
+    monkeypatch.setattr(EX, "ROW_BLOCK", 40)
+    single = EX.tree_shap(twice, ["a", "b", "c"], nodes)
+    a, b = ({(r.row_id, r.feature): r.phi for r in x.collect()} for x in (whole, single))
+    assert a == pytest.approx(b, abs=1e-12) and len(a) == 900
+
+
 def test_platt_is_monotone(spark):
     tc = text_cohort(spark, SF001).filter(F.col("toxic").isNotNull())
     df = tc.select("row_id", F.col("toxic").alias("y"), (F.col("n_chars") / 1000.0).alias("margin"))
