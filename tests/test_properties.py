@@ -1,6 +1,10 @@
 """Property tests on the fixture tables: splits, kNN imputation against a numpy
 brute force, TreeSHAP additivity, calibration monotonicity, plan shapes."""
 
+import hashlib
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -408,3 +412,30 @@ def test_nested_plan_ranks_only_edge_rows(spark, monkeypatch):
             got = plan[(plan.outer_fold == o) & (plan.y == y)]
             assert len(got) == len(mine)
             assert sorted(got[got.role == "test"].row_id) == sorted(order[:round(0.2 * len(mine))])
+
+
+def test_fold_table_shuffles_numbers_once(spark):
+    """Ranks of classes with equal, missing and repeated keys as by sorting; a split's rows pass one shuffle of key and numbers."""
+    keys = [*range(150), *range(20), None]
+    rows = [(k, (k or 0) % 3, "a" if (k or 1) % 2 else None) for k in keys]
+    df = spark.createDataFrame(rows, "row_id long, e int, f string")
+    plan = SP.nested_fold_plan(df, ["e", "f"], seeds=(3, 5), n_outer=2, n_inner=4, test_fraction=0.3)
+    got = plan.toPandas()
+    assert set(got.endpoint) == {"e", "f"} and len(got) == 4 * sum((e is not None) + (f is not None) for _, e, f in rows)
+
+    def digest(k, *salt):
+        return hashlib.md5("|".join(str(v) for v in (k, *salt) if v is not None).encode()).hexdigest()
+
+    for seed, o, (j, name) in itertools.product((3, 5), (0, 1), ((1, "e"), (2, "f"))):
+        for y in {r[j] for r in rows} - {None}:
+            order = sorted((r[0] for r in rows if r[j] == y), key=lambda k: digest(k, seed, o))
+            test = math.floor(0.3 * len(order) + 0.5)
+            inner = [(k, i % 4) for i, k in enumerate(sorted(order[test:], key=lambda k: digest(k, seed, o, "inner")))]
+            want = sorted(map(str, [*((k, None) for k in order[:test]), *inner]))
+            mine = got[(got.endpoint == name) & (got.seed == seed) & (got.outer_fold == o) & (got.y == str(y))]
+            have = sorted(str((None if k != k else int(k), None if f != f else int(f))) for k, f in zip(mine.row_id, mine.inner_fold))
+            assert have == want
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [x for x in final.splitlines() if "Exchange hashpartitioning(_g" in x and "REPARTITION_BY_NUM" in x]
+    assert len(dealt) == 1 and "endpoint" not in dealt[0]
