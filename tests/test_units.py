@@ -314,6 +314,19 @@ def test_histograms_of_parts_add_up(monkeypatch):
     assert all((a == b).all() for a, b in zip(want, grown()))
 
 
+def test_only_the_smaller_child_is_counted(monkeypatch):
+    bins, y, table = cohort(3000)
+    p = {"loss": "log_loss", "learning_rate": 0.3, "n_estimators": 3, "max_depth": 3, "max_features": None}
+    counted, direct = [], GR.histograms
+    monkeypatch.setattr(GR, "histograms", lambda *a: counted.append(len(a[1])) or direct(*a))
+    _, trees = GR.fit_boost(bins, y, 0, p, table)
+    assert len(counted) == 9 and all(k <= 1500 for i, k in enumerate(counted) if i % 3)
+    monkeypatch.setattr(GR, "_siblings", lambda *a: None)       # every node by itself
+    _, plain = GR.fit_boost(bins, y, 0, p, table)
+    for a, b in zip(trees, plain):
+        assert (a.feat == b.feat).all() and (a.cut == b.cut).all() and (a.value == b.value).all() and (a.gain == b.gain).all()
+
+
 def test_search_shares_fits_of_prefixes(orders, monkeypatch):
     grids = {**MO.GRIDS, "forest": {"n_estimators": [2, 4], "max_depth": [2, None]}, "gbt": {"n_estimators": [2, 5], "max_depth": [2, 3]},
              "tree": {"max_depth": [2, 4], "splitter": ["best", "random"]}, "logistic": {"l1_ratio": [0.0, 1.0], "C": [0.01, 1.0]}}
